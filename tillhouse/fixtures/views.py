@@ -27,7 +27,9 @@ class Views(TestView):
 
     @cached_property
     def annotated(self) -> DataFrame:
-        return quality.annotate(self.transactions, self.stores, self.products, LINE_ORDER)
+        return quality.annotate(
+            self.transactions, self.stores, self.products, LINE_ORDER, ids=self.transaction_ids
+        )
 
     @cached_property
     def report(self) -> DataFrame:
@@ -49,11 +51,11 @@ class Views(TestView):
     def stg_quarantined_transactions(self) -> DataFrame:
         return quality.quarantined(self.annotated)
 
-    @property
+    @cached_property
     def dim_store(self) -> DataFrame:
         return star.dim_store(self.stores, AS_OF)
 
-    @property
+    @cached_property
     def dim_product(self) -> DataFrame:
         return star.dim_product(self.products)
 
@@ -132,7 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _view(name
     "raw_stores_csv": _csv("stores"),
     "raw_products_csv": _csv("products"),
     "raw_transactions_csv": _csv("transactions"),
-    "dq_duplicates": _of(lambda v: quality.repeats(v.transactions, LINE_ORDER)),
+    "dq_duplicates": _of(lambda v: quality.repeats(v.transactions, LINE_ORDER, ids=v.transaction_ids)),
     "dq_invalid_date": _of(lambda v: v.raw.filter(quality.bad_date())),
     "dq_non_positive_quantity": _of(lambda v: v.raw.filter(quality.bad_quantity())),
     "dq_unknown_store": _of(

@@ -19,18 +19,21 @@ def _within(limit: int, most: int) -> int:
 
 def daily_sales(daily_mart: DataFrame, store_id: str | None = None, limit: int = 30) -> DataFrame:
     """Newest daily sales, of one store if given; stores of a day in id order."""
+    wanted = _within(limit, 1000)
     rows = daily_mart.filter(F.col("store_id") == store_id) if store_id else daily_mart
-    return rows.orderBy(F.desc("date_key"), "store_id").limit(_within(limit, 1000))
+    return rows.orderBy(F.desc("date_key"), "store_id").limit(wanted)
 
 
 def monthly_by_category(monthly_mart: DataFrame, limit: int = 100) -> DataFrame:
     """Newest months; categories of a month in name order."""
-    return monthly_mart.orderBy(F.desc("year_month"), "category").limit(_within(limit, 1000))
+    wanted = _within(limit, 1000)
+    return monthly_mart.orderBy(F.desc("year_month"), "category").limit(wanted)
 
 
 def top_customers(customer_mart: DataFrame, limit: int = 10) -> DataFrame:
     """Customers with the highest lifetime revenue, ties in id order."""
-    return customer_mart.orderBy(F.desc("lifetime_revenue"), "customer_id").limit(_within(limit, 100))
+    wanted = _within(limit, 100)
+    return customer_mart.orderBy(F.desc("lifetime_revenue"), "customer_id").limit(wanted)
 
 
 def find_customer(customer_mart: DataFrame, customer_id: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillhouse.functions.numbers import amount, cents, half_up_div
-from tillhouse.operators.skew import lookup
+from tillhouse.operators.skew import fits_broadcast, lookup
 
 MONEY = ("gross_revenue", "net_revenue", "gross_profit")
 
@@ -27,21 +27,22 @@ def _amounts() -> list[Column]:
     return [amount(F.col(m)).alias(m) for m in MONEY]
 
 
-def daily_sales_by_store(fact: DataFrame, stores: DataFrame, small: bool | None = None) -> DataFrame:
+def daily_sales_by_store(fact: DataFrame, stores: DataFrame) -> DataFrame:
     """Sales per date and store."""
     per_store = fact.groupBy("date_key", "store_id").agg(*_sums())
-    return lookup(per_store, stores.select("store_id", "region"), "store_id", "inner", small).select(
+    regions = stores.select("store_id", "region")
+    return lookup(per_store, regions, "store_id", "inner", fits_broadcast(stores)).select(
         "date_key", "store_id", "region", "n_transactions", "total_quantity", *_amounts()
     )
 
 
-def monthly_sales_by_category(fact: DataFrame, products: DataFrame, small: bool | None = None) -> DataFrame:
+def monthly_sales_by_category(fact: DataFrame, products: DataFrame) -> DataFrame:
     """Sales per month and category; the margin is averaged over sales, not products."""
     month = F.substring("date_key", 1, 7).alias("year_month")
     per_product = fact.groupBy(month, "product_id").agg(*_sums())
     margins = products.select("product_id", "category", cents(F.col("margin_pct")).alias("_margin"))
     return (
-        lookup(per_product, margins, "product_id", "inner", small)
+        lookup(per_product, margins, "product_id", "inner", fits_broadcast(products))
         .groupBy("year_month", "category")
         .agg(
             F.sum("n_transactions").alias("n_transactions"),
@@ -75,8 +76,8 @@ def customer_summary(fact: DataFrame) -> DataFrame:
         )
         .select(
             "customer_id",
-            F.date_format("_first", "yyyy-MM-dd").alias("first_purchase"),
-            F.date_format("_last", "yyyy-MM-dd").alias("last_purchase"),
+            F.col("_first").cast("string").alias("first_purchase"),
+            F.col("_last").cast("string").alias("last_purchase"),
             "n_transactions",
             amount(revenue).alias("lifetime_revenue"),
             amount(half_up_div(revenue, n)).alias("avg_order_value"),

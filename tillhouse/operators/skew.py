@@ -1,35 +1,41 @@
 """Joins and ordering by a key that may hold a large share of all rows.
 
-Keys with more than ``HEAVY_ROWS`` rows are found first and take a path that spreads
-their rows; all other keys take the ordinary shuffle. Which path a row takes never
-changes the result, only where the work runs.
+Keys with more than ``HEAVY_ROWS`` rows are found first, by a count over the key column
+alone, and take a path that spreads their rows; all other keys take the ordinary
+shuffle. Which path a row takes never changes the result, only where the work runs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 # One shuffle group up to this size is left to one task (it sorts with spill).
 HEAVY_ROWS = 10_000_000
-# Most keys ever routed apart, so that their list can be broadcast. The next key after
-# the 100,000 largest holds under 1/100,000 of the rows.
+# Most keys ever routed apart, so that their list is bounded. The next key after the
+# 100,000 largest holds under 1/100,000 of the rows.
 HEAVY_KEYS = 100_000
-# Hash buckets of the first, cheap count; their list is broadcast too.
+# Hash buckets of the first, cheap count.
 HASH_BUCKETS = 1 << 18
 # A dimension with at most this many rows is broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
-def heavy_keys(rows: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Keys (column ``_heavy``) with more than ``min_rows`` rows, at most ``HEAVY_KEYS``.
+def heavy_keys(rows: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> DataFrame | None:
+    """Keys (column ``_heavy``) with more than ``min_rows`` rows, or None when there are none.
 
-    Counts hash buckets first: each task sends at most ``HASH_BUCKETS`` small rows, not
-    one per key. Only keys of overfull buckets are then counted one by one, so on data
-    without heavy keys the second count has no input.
+    Up to ``min_rows`` rows in all need no further look (on Parquet that count comes from
+    the footers). Otherwise hash buckets are counted first: each task sends at most
+    ``HASH_BUCKETS`` small rows, not one per key. Only keys of overfull buckets are then
+    counted one by one, so on data without heavy keys the second count has no input. At
+    most ``HEAVY_KEYS`` keys come to the driver.
     """
+    if rows.count() <= min_rows:
+        return None
     keyed = rows.select(
         F.col(key).alias("_heavy"),
         F.pmod(F.xxhash64(key), F.lit(HASH_BUCKETS)).cast("int").alias("_bucket"),
@@ -37,7 +43,7 @@ def heavy_keys(rows: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> DataFra
     overfull = (
         keyed.groupBy("_bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_rows).select("_bucket")
     )
-    return (
+    found = (
         keyed.join(F.broadcast(overfull), "_bucket", "left_semi")
         .groupBy("_heavy")
         .agg(F.count("*").alias("_n"))
@@ -45,46 +51,60 @@ def heavy_keys(rows: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> DataFra
         .orderBy(F.desc("_n"), "_heavy")
         .limit(HEAVY_KEYS)
         .select("_heavy")
+        .collect()
     )
-
-
-def split_heavy(rows: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The rows of heavy keys and all other rows; null keys count as one key."""
-    heavy = F.broadcast(heavy_keys(rows, key, min_rows))
-    same = F.col(key).eqNullSafe(F.col("_heavy"))
-    return rows.join(heavy, same, "left_semi"), rows.join(heavy, same, "left_anti")
+    schema = StructType([StructField("_heavy", rows.schema[key].dataType)])
+    return rows.sparkSession.createDataFrame(found, schema) if found else None
 
 
 def mark_repeats(
-    rows: DataFrame, key: str, order: Sequence[str], flag: str, min_rows: int = HEAVY_ROWS
+    rows: DataFrame,
+    key: str,
+    order: Sequence[str],
+    flag: str,
+    min_rows: int = HEAVY_ROWS,
+    keys_of: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``flag``: true on every row of a key but its first by ``order``.
 
     An ordinary key is numbered in one window. A heavy key is numbered within each input
     partition, then only the first rows of the partitions compete: no window group is
-    larger than one input partition or the number of partitions.
+    larger than one input partition or the number of partitions. Null keys count as one
+    key. ``keys_of`` may name a cheaper frame to find heavy keys in.
     """
-    heavy, rest = split_heavy(rows, key, min_rows)
-
     by_key = Window.partitionBy(key).orderBy(*order)
-    rest = rest.withColumn(flag, F.row_number().over(by_key) > 1)
 
+    def numbered(some: DataFrame) -> DataFrame:
+        return some.withColumn(flag, F.row_number().over(by_key) > 1)
+
+    heavy = heavy_keys(rows if keys_of is None else keys_of, key, min_rows)
+    if heavy is None:
+        return numbered(rows)
+
+    heavy = F.broadcast(heavy)
+    is_heavy = F.col(key).eqNullSafe(F.col("_heavy"))
     by_slice = Window.partitionBy(key, "_slice").orderBy(*order)
     by_round = Window.partitionBy(key, "_round").orderBy(*order, "_slice")
-    heavy = (
-        heavy.withColumn("_slice", F.spark_partition_id())
+    spread = (
+        rows.join(heavy, is_heavy, "left_semi")
+        .withColumn("_slice", F.spark_partition_id())
         .withColumn("_nth", F.row_number().over(by_slice))
         # Slice winners meet in round -1; the others stay spread and are repeats anyway.
         .withColumn("_round", F.when(F.col("_nth") == 1, F.lit(-1)).otherwise(F.col("_slice")))
         .withColumn(flag, (F.col("_nth") > 1) | (F.row_number().over(by_round) > 1))
         .drop("_slice", "_nth", "_round")
     )
-    return rest.unionByName(heavy)
+    return numbered(rows.join(heavy, is_heavy, "left_anti")).unionByName(spread)
+
+
+_counted: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
 
 def fits_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Size check before a broadcast; on Parquet the count comes from the footers."""
-    return side.count() <= max_rows
+    """Size check before a broadcast; a frame is counted once."""
+    if side not in _counted:
+        _counted[side] = side.count()
+    return _counted[side] <= max_rows
 
 
 def lookup(
@@ -106,8 +126,11 @@ def lookup(
     if fits_broadcast(dim) if small is None else small:
         return rows.join(F.broadcast(dim), key, how)
 
-    payload = [c for c in dim.columns if c != key]
     heavy = heavy_keys(rows if keys_of is None else keys_of, key, min_rows)
+    if heavy is None:
+        return rows.join(dim, key, how)
+
+    payload = [c for c in dim.columns if c != key]
     entries = dim.select(F.col(key).alias("_key"), F.struct(F.lit(True).alias("_found"), *payload).alias("_entry"))
     heavy_entries = entries.join(F.broadcast(heavy), F.col("_key") == F.col("_heavy"), "left_semi")
     heavy_side = heavy.join(F.broadcast(heavy_entries), F.col("_heavy") == F.col("_key"), "left").select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillhouse.functions.numbers import amount, cents, half_up_div, scaled
-from tillhouse.operators.skew import HEAVY_ROWS, lookup
+from tillhouse.operators.skew import HEAVY_ROWS, fits_broadcast, lookup
 
 # Discounts count in 1/10,000 of a percent, so a factor of 1 is a million of them.
 WHOLE = 1_000_000
@@ -56,12 +56,10 @@ def dim_date(transactions: DataFrame) -> DataFrame:
 
 def staged(clean: DataFrame) -> DataFrame:
     """Clean transactions with the date as ``yyyy-MM-dd`` text, as they are stored."""
-    return clean.withColumn("transaction_date", F.date_format("transaction_date", "yyyy-MM-dd"))
+    return clean.withColumn("transaction_date", F.col("transaction_date").cast("string"))
 
 
-def fact_sales(
-    transactions: DataFrame, products: DataFrame, small: bool | None = None, min_rows: int = HEAVY_ROWS
-) -> DataFrame:
+def fact_sales(transactions: DataFrame, products: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
     """One row per staged transaction with its money measures, each rounded once.
 
     Profit is rounded from the unrounded revenue and cost. Exact for discounts of up to
@@ -74,7 +72,7 @@ def fact_sales(
     cost = F.col("quantity") * F.col("_cost")
     net = gross * (F.lit(WHOLE).cast("bigint") - scaled(F.col("discount_pct"), WHOLE // 100))
     whole = F.lit(WHOLE).cast("bigint")
-    return lookup(transactions, priced, "product_id", "inner", small, min_rows).select(
+    return lookup(transactions, priced, "product_id", "inner", fits_broadcast(products), min_rows).select(
         "transaction_id",
         F.col("transaction_date").alias("date_key"),
         "store_id",

@@ -134,23 +134,28 @@ def run_pipeline(
 ) -> dict[str, object]:
     """Validate, gate, load, build and check; every table is replaced.
 
-    The annotated rows are the one result of the wide shuffle. They are written once to
-    the scratch folder, split by status, and everything after reads those files. The
+    The exports land once as Parquet in the scratch folder, so that text is parsed once
+    and file order is fixed. The annotated rows, the one result of the wide shuffle, are
+    written there once too, split by status; everything after reads those files. The
     report is published before the gate and the gate is checked before the first table
     is touched.
     """
-    annotated = quality.annotate(
-        exports.transactions, exports.stores, exports.products, exports.order, rules, min_rows
-    ).withColumn("is_clean", F.col(quality.REASONS) == "")
-    annotated = materialize(annotated, scratch_folder(spark), "is_clean")
+    scratch = scratch_folder(spark)
+    stores = materialize(exports.stores, f"{scratch}/stores")
+    products = materialize(exports.products, f"{scratch}/products")
+    raw = materialize(exports.transactions, f"{scratch}/transactions")
+    annotated = quality.annotate(raw, stores, products, exports.order, rules, min_rows)
+    annotated = materialize(
+        annotated.withColumn("is_clean", F.col(quality.REASONS) == ""), f"{scratch}/annotated", "is_clean"
+    )
 
     report_row = quality.report(annotated, rules)
     totals = report_row.first()
     write_report(spark.createDataFrame([totals], report_row.schema), report_path or table_path(root, "dq_report"), rules)
     gate.check(totals)
 
-    write_table(exports.stores, root, "stg_stores")
-    write_table(exports.products, root, "stg_products")
+    write_table(stores, root, "stg_stores")
+    write_table(products, root, "stg_products")
     tables = stored_tables(spark, root)
     # Keys of the later tables are unique by construction: one row per id or group.
     contracts.require_unique_keys({n: tables[n] for n in ("stg_stores", "stg_products")})
