@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
     session = build_session(
         "tests",
-        "local[4]",
+        "local[8]",
         4,
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracles import duck, normal
+from tillhouse.operators import quality, skew, star
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
@@ -30,6 +31,16 @@ def test_query(spark, con, name):
     assert as_text(mine[1]) == as_text(theirs[1])
 
 
+@pytest.mark.parametrize("name", ["dq_duplicates", "dq_annotated", "orphan_products", "mart_monthly_sales_by_category"])
+def test_query_with_heavy_keys_and_large_dimensions(spark, con, name, monkeypatch):
+    """Every repeated key counts as heavy and no dimension as small; the result is the same."""
+    found = skew.heavy_keys
+    monkeypatch.setattr(skew, "heavy_keys", lambda rows, key, min_rows: found(rows, key, 1))
+    for module in (skew, quality, star):
+        monkeypatch.setattr(module, "fits_broadcast", lambda *_: False)
+    test_query(spark, con, name)
+
+
 def test_counts_of_the_derived_rows(spark):
     row = entry.queries()["dq_report"](spark, FOLDER).first()
     assert (row.total_rows, row.clean_rows, row.null_customer_id_count) == (6000, 4322, 125)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from tillhouse.operators.skew import lookup
 from tillhouse.plans.refresh import Exports
 
 # No two order lines are equal in all of these, so they put the lines in one order.
@@ -39,6 +40,23 @@ def padded(key: Column, width: int) -> Column:
     return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
 
 
+def _unless(divisor: int, rest: int, defect: Column, value: Column) -> Column:
+    """``value``, but ``defect`` on the order keys that leave ``rest``."""
+    return F.when(F.col("l_orderkey") % divisor == rest, defect).otherwise(value)
+
+
+def _keys() -> list[Column]:
+    """Transaction, store and product id of an order line."""
+    line = F.col("l_linenumber").cast("string")
+    store = F.concat(F.lit("ST-"), padded(F.col("l_suppkey"), 4))
+    product = F.concat(F.lit("PRD-"), padded(F.col("l_partkey"), 5))
+    return [
+        F.concat(F.lit("TXN-"), padded(F.col("l_orderkey"), 8), F.lit("-"), line).alias("transaction_id"),
+        _unless(89, 1, F.lit("ST-9999"), store).alias("store_id"),
+        _unless(83, 2, F.lit("PRD-99999"), product).alias("product_id"),
+    ]
+
+
 class TestView:
     """The derived exports of one folder of test tables."""
 
@@ -80,45 +98,29 @@ class TestView:
             price.cast("double").alias("unit_price"),
         )
 
-    @staticmethod
-    def _transaction_id() -> Column:
-        line = F.col("l_linenumber").cast("string")
-        return F.concat(F.lit("TXN-"), padded(F.col("l_orderkey"), 8), F.lit("-"), line).alias("transaction_id")
-
     @cached_property
-    def transaction_ids(self) -> DataFrame:
-        """The transaction ids alone; every order line has its order."""
-        return self._table("lineitem").select(self._transaction_id())
+    def keys(self) -> DataFrame:
+        """The three ids of every transaction, from the order lines alone."""
+        return self._table("lineitem").select(*_keys())
 
     @cached_property
     def transactions(self) -> DataFrame:
         """The raw transactions followed by the ``LINE_ORDER`` columns."""
-        key = F.col("l_orderkey")
+        # Lines and orders both grow with the data: shuffle and sort, never broadcast.
+        orders = self._table("orders").withColumnRenamed("o_orderkey", "l_orderkey").hint("merge")
+        customer = F.concat(F.lit("CUST-"), padded(F.col("o_custkey"), 6))
         quantity = F.col("l_quantity").cast("bigint")
-
-        def unless(divisor: int, rest: int, defect: Column, value: Column) -> Column:
-            return F.when(key % divisor == rest, defect).otherwise(value)
-
-        return (
-            self._table("lineitem")
-            # Both sides grow with the data: shuffle and sort, never broadcast.
-            .join(self._table("orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(
-                self._transaction_id(),
-                unless(97, 0, F.lit("not-a-date"), F.col("l_shipdate").cast("date").cast("string")).alias("transaction_date"),
-                unless(89, 1, F.lit("ST-9999"), F.concat(F.lit("ST-"), padded(F.col("l_suppkey"), 4))).alias("store_id"),
-                unless(83, 2, F.lit("PRD-99999"), F.concat(F.lit("PRD-"), padded(F.col("l_partkey"), 5))).alias(
-                    "product_id"
-                ),
-                unless(
-                    50, 3, F.lit(None).cast("string"), F.concat(F.lit("CUST-"), padded(F.col("o_custkey"), 6))
-                ).alias("customer_id"),
-                unless(79, 4, -(quantity % 4), quantity).alias("quantity"),
-                unless(
-                    73, 5, F.lit(200.0), (F.col("l_discount") * 100).cast(DecimalType(5, 1)).cast("double")
-                ).alias("discount_pct"),
-                *LINE_ORDER,
-            )
+        discount = (F.col("l_discount") * 100).cast(DecimalType(5, 1)).cast("double")
+        transaction_id, store_id, product_id = _keys()
+        return lookup(self._table("lineitem"), orders, "l_orderkey", "inner", small=False).select(
+            transaction_id,
+            _unless(97, 0, F.lit("not-a-date"), F.col("l_shipdate").cast("date").cast("string")).alias("transaction_date"),
+            store_id,
+            product_id,
+            _unless(50, 3, F.lit(None).cast("string"), customer).alias("customer_id"),
+            _unless(79, 4, -(quantity % 4), quantity).alias("quantity"),
+            _unless(73, 5, F.lit(200.0), discount).alias("discount_pct"),
+            *LINE_ORDER,
         )
 
     @property

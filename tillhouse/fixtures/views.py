@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import date
 from functools import cached_property
 
@@ -28,7 +28,7 @@ class Views(TestView):
     @cached_property
     def annotated(self) -> DataFrame:
         return quality.annotate(
-            self.transactions, self.stores, self.products, LINE_ORDER, ids=self.transaction_ids
+            self.transactions, self.stores, self.products, LINE_ORDER, keys_of=self.keys
         )
 
     @cached_property
@@ -65,7 +65,7 @@ class Views(TestView):
 
     @cached_property
     def fact_sales(self) -> DataFrame:
-        return star.fact_sales(self.stg_transactions, self.products)
+        return star.fact_sales(self.stg_transactions, self.products, keys_of=self.keys)
 
     @property
     def mart_daily_sales_by_store(self) -> DataFrame:
@@ -89,21 +89,21 @@ class Views(TestView):
             rate.alias("max_rate"), "quarantine_rate", (F.col("quarantine_rate") > rate).alias("stops")
         )
 
-    def refreshed(self) -> str:
-        """Run the whole job from CSV exports of the raw rows; the warehouse folder."""
-        folder = scratch_folder(self._spark)
-        # File order is the line order: the exports are written sorted by it.
-        csv_files.write(self.stores, f"{folder}/stores")
-        csv_files.write(self.products, f"{folder}/products")
-        csv_files.write(self.transactions.orderBy(*LINE_ORDER).select(TRANSACTIONS.names), f"{folder}/transactions")
-        exports = Exports.from_csv(
-            self._spark, f"{folder}/stores", f"{folder}/products", f"{folder}/transactions"
-        )
-        run_pipeline(self._spark, exports, f"{folder}/warehouse", AS_OF)
-        return f"{folder}/warehouse"
+    def stored(self) -> Mapping[str, DataFrame]:
+        """The tables the refresh job writes for these exports."""
+        root = f"{scratch_folder(self._spark)}/warehouse"
+        run_pipeline(self._spark, self.exports, root, AS_OF)
+        return stored_tables(self._spark, root)
 
-    def stored(self):
-        return stored_tables(self._spark, self.refreshed())
+    def stored_from_csv(self) -> Mapping[str, DataFrame]:
+        """The same by way of CSV files, written in line order so that file order is that order."""
+        folder = scratch_folder(self._spark)
+        paths = [f"{folder}/{name}" for name in ("stores", "products", "transactions")]
+        ordered = self.transactions.orderBy(*LINE_ORDER).select(TRANSACTIONS.names)
+        for rows, path in zip((self.stores, self.products, ordered), paths):
+            csv_files.write(rows, path)
+        run_pipeline(self._spark, Exports.from_csv(self._spark, *paths), f"{folder}/warehouse", AS_OF)
+        return stored_tables(self._spark, f"{folder}/warehouse")
 
 
 def _csv(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -134,18 +134,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _view(name
     "raw_stores_csv": _csv("stores"),
     "raw_products_csv": _csv("products"),
     "raw_transactions_csv": _csv("transactions"),
-    "dq_duplicates": _of(lambda v: quality.repeats(v.transactions, LINE_ORDER, ids=v.transaction_ids)),
+    "dq_duplicates": _of(lambda v: quality.repeats(v.transactions, LINE_ORDER, keys_of=v.keys)),
     "dq_invalid_date": _of(lambda v: v.raw.filter(quality.bad_date())),
     "dq_non_positive_quantity": _of(lambda v: v.raw.filter(quality.bad_quantity())),
     "dq_unknown_store": _of(
-        lambda v: quality.mark_known(v.raw, v.stores, "store_id", "known").filter("not known").drop("known")
+        lambda v: quality.mark_known(v.raw, v.stores, "store_id", "known", keys_of=v.keys).filter("not known").drop("known")
     ),
     "dq_unknown_product": _of(
-        lambda v: quality.mark_known(v.raw, v.products, "product_id", "known").filter("not known").drop("known")
+        lambda v: quality.mark_known(v.raw, v.products, "product_id", "known", keys_of=v.keys).filter("not known").drop("known")
     ),
     "dq_discount_range": _of(lambda v: v.raw.filter(quality.bad_discount())),
-    "orphan_stores": _of(lambda v: quality.orphans(v.raw, v.stores, "store_id")),
-    "orphan_products": _of(lambda v: quality.orphans(v.raw, v.products, "product_id")),
+    "orphan_stores": _of(lambda v: quality.orphans(v.raw, v.stores, "store_id", keys_of=v.keys)),
+    "orphan_products": _of(lambda v: quality.orphans(v.raw, v.products, "product_id", keys_of=v.keys)),
     "dq_annotated": _of(lambda v: v.annotated),
     "dq_clean": _of(lambda v: quality.clean(v.annotated)),
     "dq_quarantined": _of(lambda v: quality.quarantined(v.annotated)),
@@ -172,5 +172,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _view(name
     ),
     "nb_daily_net_revenue": _of(lambda v: analytics.daily_net_revenue(v.mart_daily_sales_by_store)),
     "nb_profit_by_category": _of(lambda v: analytics.profit_by_category(v.mart_monthly_sales_by_category)),
-    "refresh_daily_mart": _of(lambda v: v.stored()["mart_daily_sales_by_store"]),
+    "refresh_daily_mart": _of(lambda v: v.stored_from_csv()["mart_daily_sales_by_store"]),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillhouse.functions.numbers import amount, cents, half_up_div
-from tillhouse.operators.skew import fits_broadcast, lookup
+from tillhouse.operators.skew import sized
 
 MONEY = ("gross_revenue", "net_revenue", "gross_profit")
 
@@ -30,8 +30,8 @@ def _amounts() -> list[Column]:
 def daily_sales_by_store(fact: DataFrame, stores: DataFrame) -> DataFrame:
     """Sales per date and store."""
     per_store = fact.groupBy("date_key", "store_id").agg(*_sums())
-    regions = stores.select("store_id", "region")
-    return lookup(per_store, regions, "store_id", "inner", fits_broadcast(stores)).select(
+    regions = sized(stores.select("store_id", "region"), stores)
+    return per_store.join(regions, "store_id").select(
         "date_key", "store_id", "region", "n_transactions", "total_quantity", *_amounts()
     )
 
@@ -42,7 +42,7 @@ def monthly_sales_by_category(fact: DataFrame, products: DataFrame) -> DataFrame
     per_product = fact.groupBy(month, "product_id").agg(*_sums())
     margins = products.select("product_id", "category", cents(F.col("margin_pct")).alias("_margin"))
     return (
-        lookup(per_product, margins, "product_id", "inner", fits_broadcast(products))
+        per_product.join(sized(margins, products), "product_id")
         .groupBy("year_month", "category")
         .agg(
             F.sum("n_transactions").alias("n_transactions"),

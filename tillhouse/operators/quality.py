@@ -81,17 +81,23 @@ def mark_known(
     return marked.withColumn(flag, _or_false(F.col(flag)))
 
 
-def orphans(rows: DataFrame, dim: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def orphans(
+    rows: DataFrame,
+    dim: DataFrame,
+    key: str,
+    min_rows: int = HEAVY_ROWS,
+    keys_of: DataFrame | None = None,
+) -> DataFrame:
     """Rows whose ``key`` does not occur in ``dim``, null keys included."""
     keys = dim.select(key).distinct()
-    return lookup(rows, keys, key, "left_anti", fits_broadcast(dim), min_rows).select(_raw_columns(rows))
+    return lookup(rows, keys, key, "left_anti", fits_broadcast(dim), min_rows, keys_of).select(_raw_columns(rows))
 
 
 def repeats(
-    rows: DataFrame, order: Sequence[str], min_rows: int = HEAVY_ROWS, ids: DataFrame | None = None
+    rows: DataFrame, order: Sequence[str], min_rows: int = HEAVY_ROWS, keys_of: DataFrame | None = None
 ) -> DataFrame:
     """All rows of a transaction id but its first in file order."""
-    marked = mark_repeats(rows, "transaction_id", order, REPEATED, min_rows, ids)
+    marked = mark_repeats(rows, "transaction_id", order, REPEATED, min_rows, keys_of)
     return marked.filter(REPEATED).select(_raw_columns(rows))
 
 
@@ -102,17 +108,18 @@ def annotate(
     order: Sequence[str],
     rules: Iterable[Rule] = RULES,
     min_rows: int = HEAVY_ROWS,
-    ids: DataFrame | None = None,
+    keys_of: DataFrame | None = None,
 ) -> DataFrame:
     """Raw rows plus ``dq_reasons``: the broken rules in rule order, empty when clean.
 
     ``order`` names the columns that give file order. A later copy of an id is a repeat
     even where the first copy breaks another rule, so the ids are numbered on all rows.
-    ``ids`` may name a cheaper frame with the same transaction ids.
+    ``keys_of`` may name a cheaper frame with the same transaction, store and product ids.
     """
-    marked = mark_repeats(raw, "transaction_id", order, REPEATED, min_rows, ids)
-    marked = mark_known(marked, stores, "store_id", STORE_KNOWN, min_rows, raw)
-    marked = mark_known(marked, products, "product_id", PRODUCT_KNOWN, min_rows, raw)
+    keys_of = raw if keys_of is None else keys_of
+    marked = mark_repeats(raw, "transaction_id", order, REPEATED, min_rows, keys_of)
+    marked = mark_known(marked, stores, "store_id", STORE_KNOWN, min_rows, keys_of)
+    marked = mark_known(marked, products, "product_id", PRODUCT_KNOWN, min_rows, keys_of)
     reasons = F.concat_ws(SEPARATOR, *(F.when(rule.broken(), F.lit(rule.name)) for rule in rules))
     return marked.select(*_raw_columns(raw), reasons.alias(REASONS))
 

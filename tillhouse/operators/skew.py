@@ -107,6 +107,11 @@ def fits_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return _counted[side] <= max_rows
 
 
+def sized(side: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """``side``, to be broadcast if it (or ``like``, which has as many rows) passes the size check."""
+    return F.broadcast(side) if fits_broadcast(side if like is None else like) else side
+
+
 def lookup(
     rows: DataFrame,
     dim: DataFrame,
@@ -116,7 +121,7 @@ def lookup(
     min_rows: int = HEAVY_ROWS,
     keys_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Join rows to a dimension that has one row per text ``key`` (``inner``, ``left``, ``left_anti``).
+    """Join rows to a dimension that has one row per ``key`` (``inner``, ``left``, ``left_anti``).
 
     A dimension that passes the size check (or ``small``) is broadcast and the rows stay
     where they are. Any other is met by a shuffle on the key, in which the rows of heavy
@@ -125,7 +130,6 @@ def lookup(
     """
     if fits_broadcast(dim) if small is None else small:
         return rows.join(F.broadcast(dim), key, how)
-
     heavy = heavy_keys(rows if keys_of is None else keys_of, key, min_rows)
     if heavy is None:
         return rows.join(dim, key, how)
@@ -137,14 +141,14 @@ def lookup(
         "_heavy", F.col("_entry").alias("_heavy_entry"), F.lit(True).alias("_is_heavy")
     )
 
+    # A heavy row may meet a wrong entry in the shuffle; its own one is put in its place.
+    spread = F.when(F.col("_is_heavy"), F.concat(F.lit("#"), F.spark_partition_id()))
+    entry = F.when(F.col("_is_heavy"), F.col("_heavy_entry")).otherwise(F.col("_entry"))
     joined = (
         rows.join(F.broadcast(heavy_side), F.col(key).eqNullSafe(F.col("_heavy")), "left")
-        .withColumn(
-            "_spread",
-            F.when(F.col("_is_heavy"), F.concat(F.lit("#"), F.spark_partition_id())).otherwise(F.col(key)),
-        )
-        .join(entries.withColumnRenamed("_key", "_spread"), "_spread", "left")
-        .withColumn("_entry", F.when(F.col("_is_heavy"), F.col("_heavy_entry")).otherwise(F.col("_entry")))
+        .withColumn("_spread", spread.otherwise(F.col(key).cast("string")))
+        .join(entries.select(F.col("_key").cast("string").alias("_spread"), "_entry"), "_spread", "left")
+        .withColumn("_entry", entry)
     )
     if how == "left_anti":
         return joined.filter(F.col("_entry").isNull()).select(rows.columns)

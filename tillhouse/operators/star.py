@@ -59,7 +59,12 @@ def staged(clean: DataFrame) -> DataFrame:
     return clean.withColumn("transaction_date", F.col("transaction_date").cast("string"))
 
 
-def fact_sales(transactions: DataFrame, products: DataFrame, min_rows: int = HEAVY_ROWS) -> DataFrame:
+def fact_sales(
+    transactions: DataFrame,
+    products: DataFrame,
+    min_rows: int = HEAVY_ROWS,
+    keys_of: DataFrame | None = None,
+) -> DataFrame:
     """One row per staged transaction with its money measures, each rounded once.
 
     Profit is rounded from the unrounded revenue and cost. Exact for discounts of up to
@@ -72,7 +77,8 @@ def fact_sales(transactions: DataFrame, products: DataFrame, min_rows: int = HEA
     cost = F.col("quantity") * F.col("_cost")
     net = gross * (F.lit(WHOLE).cast("bigint") - scaled(F.col("discount_pct"), WHOLE // 100))
     whole = F.lit(WHOLE).cast("bigint")
-    return lookup(transactions, priced, "product_id", "inner", fits_broadcast(products), min_rows).select(
+    lines = lookup(transactions, priced, "product_id", "inner", fits_broadcast(products), min_rows, keys_of)
+    return lines.select(
         "transaction_id",
         F.col("transaction_date").alias("date_key"),
         "store_id",
