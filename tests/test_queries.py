@@ -31,13 +31,18 @@ def test_query(spark, con, name):
     assert as_text(mine[1]) == as_text(theirs[1])
 
 
+NEVER_SMALL = lambda *_: False
+ONLY_UNKNOWN_KEYS = lambda side, *_: side.columns == ["_unknown"]
+
+
+@pytest.mark.parametrize("small", [NEVER_SMALL, ONLY_UNKNOWN_KEYS], ids=["never", "unknown-keys"])
 @pytest.mark.parametrize("name", ["dq_duplicates", "dq_annotated", "orphan_products", "mart_monthly_sales_by_category"])
-def test_query_with_heavy_keys_and_large_dimensions(spark, con, name, monkeypatch):
+def test_query_with_heavy_keys_and_large_dimensions(spark, con, name, small, monkeypatch):
     """Every repeated key counts as heavy and no dimension as small; the result is the same."""
     found = skew.heavy_keys
     monkeypatch.setattr(skew, "heavy_keys", lambda rows, key, min_rows: found(rows, key, 1))
     for module in (skew, quality, star):
-        monkeypatch.setattr(module, "fits_broadcast", lambda *_: False)
+        monkeypatch.setattr(module, "fits_broadcast", small)
     test_query(spark, con, name)
 
 

@@ -9,9 +9,11 @@ from pyspark.errors import PySparkException
 from tillhouse.operators import analytics, contracts
 from tillhouse.operators.contracts import ContractError
 from tillhouse.operators.quality import SCHEDULED_GATE, Gate, QualityGateError
-from tillhouse.plans.refresh import Exports, query, run_pipeline, run_sql_models, stored_tables
+from tillhouse.plans.refresh import Exports, query, run_pipeline, run_sql_models, stored_tables, validate
 from tillhouse.schemas import TABLES
+from tillhouse.session import shuffle_partitions, shuffle_width, stored_bytes
 from tillhouse.sources import csv_files
+from tillhouse.sources.tables import materialize, release
 
 AS_OF = date(2026, 1, 1)
 
@@ -127,3 +129,32 @@ def test_sql_and_sql_models(spark, exports, tmp_path):
     (models / "a_lines.sql").write_text("SELECT count(*) AS n FROM fact_sales")
     assert run_sql_models(spark, root, str(models)) == ["a_lines", "b_regions"]
     assert {tuple(r) for r in spark.read.parquet(f"{root}/b_regions").collect()} == {("North", 69.75), ("South", 150.0)}
+
+
+def test_validate(spark, exports):
+    checked = validate(spark, exports())
+    assert checked.clean.count() == 2 and checked.quarantined.count() == 4
+    assert checked.report.first().total_rows == 6
+    assert dict(checked.clean.dtypes)["transaction_date"] == "date"
+    assert all(folder.startswith(spark.sparkContext.getCheckpointDir()) for folder in checked.scratch)
+
+
+def test_shuffle_width_follows_the_data(spark):
+    assert shuffle_partitions(0) == 1
+    assert shuffle_partitions(1 << 40) == 3 * (1 << 40) // (256 << 20)
+    assert shuffle_partitions(1 << 50) == 100_000
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with shuffle_width(spark, 77):
+        assert spark.conf.get(key) == "77"
+    with shuffle_width(spark, 1):
+        assert spark.conf.get(key) == before
+    assert spark.conf.get(key) == before
+
+
+def test_released_scratch_holds_no_rows(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    materialize(spark.range(1000), folder)
+    full = stored_bytes(spark, folder)
+    release(spark, folder)
+    assert spark.read.parquet(folder).count() == 0 and stored_bytes(spark, folder) < full

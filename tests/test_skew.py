@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tillhouse.operators import skew
+from tillhouse.operators import quality, skew
 
 KEYS = st.one_of(st.none(), st.sampled_from(["hot", "#0", "#1", "a", "b", "c", "d"]))
 
@@ -48,20 +48,28 @@ def test_exactly_one_first_row_per_key(spark, pairs, min_rows):
 @given(
     st.lists(st.tuples(KEYS, st.integers(0, 9)), min_size=1, max_size=60),
     st.dictionaries(st.sampled_from(["hot", "#0", "#1", "a", "b", "x"]), st.integers(0, 99)),
-    st.sampled_from(["left", "inner", "left_anti"]),
+    st.sampled_from(["left", "inner"]),
     st.sampled_from([0, 2, 100]),
 )
 def test_lookup(spark, pairs, entries, how, min_rows):
     rows = frame_of(spark, pairs, "k string, v int")
     dim = frame_of(spark, list(entries.items()), "k string, w int") if entries else spark.createDataFrame([], "k string, w int")
     split = skew.lookup(rows, dim, "k", how, small=False, min_rows=min_rows)
-    if how == "left_anti":
-        expected = Counter((k, v) for k, v in pairs if k not in entries)
-        got = Counter((r.k, r.v) for r in split.collect())
-    else:
-        expected = Counter((k, v, entries.get(k)) for k, v in pairs if how == "left" or k in entries)
-        got = Counter((r.k, r.v, r.w) for r in split.select("k", "v", "w").collect())
-    assert got == expected
+    expected = Counter((k, v, entries.get(k)) for k, v in pairs if how == "left" or k in entries)
+    assert Counter((r.k, r.v, r.w) for r in split.select("k", "v", "w").collect()) == expected
+
+
+@pytest.mark.parametrize("small", [(True,), (False, True), (False, False)])
+def test_known_keys_in_all_three_ways(spark, small, monkeypatch):
+    keys = ["hot"] * 9 + [None] * 4 + ["a", "b", "b", "x", "x", "x"]
+    rows = frame_of(spark, list(enumerate(keys)), "i int, k string")
+    dim = frame_of(spark, [("a",), ("hot",), ("hot",), ("z",), (None,)], "k string")
+    for min_rows in (1, 100):
+        answers = iter(small)
+        monkeypatch.setattr(quality, "fits_broadcast", lambda *_: next(answers))
+        marked = quality.mark_known(rows, dim, "k", "known", min_rows)
+        assert sorted((r.i, r.known) for r in marked.collect()) == [(i, k in ("hot", "a")) for i, k in enumerate(keys)]
+        assert next(answers, None) is None
 
 
 def test_heavy_rows_are_spread(spark):

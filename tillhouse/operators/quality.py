@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tillhouse.functions.numbers import half_up_div
 from tillhouse.operators.skew import HEAVY_ROWS, fits_broadcast, lookup, mark_repeats
 from tillhouse.schemas import TRANSACTIONS
+from tillhouse.sources.tables import materialize, scratch_folder
 
 REASONS = "dq_reasons"
 SEPARATOR = "; "
@@ -67,6 +68,15 @@ def _raw_columns(rows: DataFrame) -> list[str]:
     return [c for c in TRANSACTIONS.names if c in rows.columns]
 
 
+def unknown_keys(keys_of: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Distinct values of ``key`` that do not occur in ``dim`` (column ``_unknown``), null included.
+
+    Each task sends a key once, however many rows have it.
+    """
+    used = keys_of.select(F.col(key).alias("_unknown")).distinct()
+    return used.join(dim, used["_unknown"] == dim[key], "left_anti")
+
+
 def mark_known(
     rows: DataFrame,
     dim: DataFrame,
@@ -75,9 +85,22 @@ def mark_known(
     min_rows: int = HEAVY_ROWS,
     keys_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``flag``: whether ``key`` occurs in ``dim``; a null key does not."""
+    """Add ``flag``: whether ``key`` occurs in ``dim``; a null key does not.
+
+    The rows stay where they are if the dimension or, failing that, the list of unknown
+    keys passes the size check for a broadcast. Only past both are they shuffled.
+    """
+    keys_of = rows if keys_of is None else keys_of
+    small = fits_broadcast(dim)
+    if not small:
+        unknown = unknown_keys(keys_of, dim, key)
+        unknown = materialize(unknown, scratch_folder(rows.sparkSession))
+        if fits_broadcast(unknown):
+            unknown = F.broadcast(unknown.withColumn(flag, F.lit(False)))
+            marked = rows.join(unknown, F.col(key).eqNullSafe(F.col("_unknown")), "left").drop("_unknown")
+            return marked.withColumn(flag, F.coalesce(F.col(flag), F.lit(True)))
     keys = dim.select(key).distinct().withColumn(flag, F.lit(True))
-    marked = lookup(rows, keys, key, "left", fits_broadcast(dim), min_rows, keys_of)
+    marked = lookup(rows, keys, key, "left", small, min_rows, keys_of)
     return marked.withColumn(flag, _or_false(F.col(flag)))
 
 
@@ -89,8 +112,10 @@ def orphans(
     keys_of: DataFrame | None = None,
 ) -> DataFrame:
     """Rows whose ``key`` does not occur in ``dim``, null keys included."""
-    keys = dim.select(key).distinct()
-    return lookup(rows, keys, key, "left_anti", fits_broadcast(dim), min_rows, keys_of).select(_raw_columns(rows))
+    columns = _raw_columns(rows)
+    if fits_broadcast(dim):
+        return rows.join(F.broadcast(dim.select(key)), key, "left_anti").select(columns)
+    return mark_known(rows, dim, key, "_known", min_rows, keys_of).filter("not _known").select(columns)
 
 
 def repeats(

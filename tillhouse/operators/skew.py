@@ -121,7 +121,7 @@ def lookup(
     min_rows: int = HEAVY_ROWS,
     keys_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Join rows to a dimension that has one row per ``key`` (``inner``, ``left``, ``left_anti``).
+    """Join rows to a dimension that has one row per ``key`` (``inner`` or ``left``).
 
     A dimension that passes the size check (or ``small``) is broadcast and the rows stay
     where they are. Any other is met by a shuffle on the key, in which the rows of heavy
@@ -150,8 +150,6 @@ def lookup(
         .join(entries.select(F.col("_key").cast("string").alias("_spread"), "_entry"), "_spread", "left")
         .withColumn("_entry", entry)
     )
-    if how == "left_anti":
-        return joined.filter(F.col("_entry").isNull()).select(rows.columns)
     if how == "inner":
         joined = joined.filter(F.col("_entry").isNotNull())
     return joined.select(*rows.columns, *(F.col(f"_entry.{c}").alias(c) for c in payload))

@@ -14,8 +14,16 @@ from tillhouse.operators import contracts, marts, quality, star
 from tillhouse.operators.quality import RULES, Gate, Rule
 from tillhouse.operators.skew import HEAVY_ROWS
 from tillhouse.schemas import TABLES
+from tillhouse.session import shuffle_partitions, shuffle_width, stored_bytes
 from tillhouse.sources import csv_files
-from tillhouse.sources.tables import materialize, read_table, scratch_folder, table_path, write_table
+from tillhouse.sources.tables import (
+    materialize,
+    read_table,
+    release,
+    scratch_folder,
+    table_path,
+    write_table,
+)
 
 
 @dataclass(frozen=True)
@@ -122,6 +130,45 @@ def query(
     return spark.sql(text, args=bound) if bound else spark.sql(text)
 
 
+@dataclass(frozen=True)
+class Validated:
+    """The outcome of the quality gate; all frames read the files under ``scratch``."""
+
+    stores: DataFrame
+    products: DataFrame
+    clean: DataFrame
+    quarantined: DataFrame
+    report: DataFrame
+    scratch: Sequence[str]
+
+
+def validate(
+    spark: SparkSession, exports: Exports, rules: Sequence[Rule] = RULES, min_rows: int = HEAVY_ROWS
+) -> Validated:
+    """Annotate the raw transactions once and split them.
+
+    The exports land once as Parquet in the scratch folder, so that text is parsed once
+    and file order is fixed. The annotated rows, the one result of the wide shuffle, are
+    written there too, split by status; the three results read those files.
+    """
+    scratch = scratch_folder(spark)
+    folders = [f"{scratch}/{name}" for name in ("stores", "products", "transactions", "annotated")]
+    stores = materialize(exports.stores, folders[0])
+    products = materialize(exports.products, folders[1])
+    raw = materialize(exports.transactions, folders[2])
+    with shuffle_width(spark, shuffle_partitions(stored_bytes(spark, folders[2]))):
+        rows = quality.annotate(raw, stores, products, exports.order, rules, min_rows)
+        rows = materialize(rows.withColumn("is_clean", F.col(quality.REASONS) == ""), folders[3], "is_clean")
+    return Validated(
+        stores,
+        products,
+        quality.clean(rows.filter("is_clean").drop("is_clean")),
+        rows.filter("not is_clean").drop("is_clean"),
+        quality.report(rows, rules),
+        folders,
+    )
+
+
 def run_pipeline(
     spark: SparkSession,
     exports: Exports,
@@ -134,37 +181,26 @@ def run_pipeline(
 ) -> dict[str, object]:
     """Validate, gate, load, build and check; every table is replaced.
 
-    The exports land once as Parquet in the scratch folder, so that text is parsed once
-    and file order is fixed. The annotated rows, the one result of the wide shuffle, are
-    written there once too, split by status; everything after reads those files. The
-    report is published before the gate and the gate is checked before the first table
-    is touched.
+    The report is published before the gate, and the gate is checked before the first
+    table is touched.
     """
-    scratch = scratch_folder(spark)
-    stores = materialize(exports.stores, f"{scratch}/stores")
-    products = materialize(exports.products, f"{scratch}/products")
-    raw = materialize(exports.transactions, f"{scratch}/transactions")
-    annotated = quality.annotate(raw, stores, products, exports.order, rules, min_rows)
-    annotated = materialize(
-        annotated.withColumn("is_clean", F.col(quality.REASONS) == ""), f"{scratch}/annotated", "is_clean"
-    )
-
-    report_row = quality.report(annotated, rules)
-    totals = report_row.first()
-    write_report(spark.createDataFrame([totals], report_row.schema), report_path or table_path(root, "dq_report"), rules)
+    checked = validate(spark, exports, rules, min_rows)
+    totals = checked.report.first()
+    published = spark.createDataFrame([totals], checked.report.schema)
+    write_report(published, report_path or table_path(root, "dq_report"), rules)
     gate.check(totals)
 
-    write_table(stores, root, "stg_stores")
-    write_table(products, root, "stg_products")
+    write_table(checked.stores, root, "stg_stores")
+    write_table(checked.products, root, "stg_products")
     tables = stored_tables(spark, root)
     # Keys of the later tables are unique by construction: one row per id or group.
     contracts.require_unique_keys({n: tables[n] for n in ("stg_stores", "stg_products")})
+    write_table(star.staged(checked.clean), root, "stg_transactions")
+    write_table(checked.quarantined, root, "stg_quarantined_transactions")
+    release(spark, *checked.scratch)
 
-    clean = annotated.filter("is_clean").drop("is_clean")
-    write_table(star.staged(quality.clean(clean)), root, "stg_transactions")
-    write_table(annotated.filter("not is_clean").drop("is_clean"), root, "stg_quarantined_transactions")
-
-    run_models(spark, root, star_models(as_of, min_rows) | MODELS)
+    with shuffle_width(spark, shuffle_partitions(stored_bytes(spark, table_path(root, "stg_transactions")))):
+        run_models(spark, root, star_models(as_of, min_rows) | MODELS)
     contracts.require_rows({n: tables[n] for n in ("fact_sales", "mart_daily_sales_by_store")})
     return {"dq_report": report_dict(totals, rules), "warehouse_path": root}
 

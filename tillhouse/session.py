@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     # Dates are plain calendar text; keep every conversion in one zone.
@@ -15,13 +19,34 @@ SETTINGS = {
 }
 
 
-def shuffle_partitions(input_bytes: int, cores: int, target_bytes: int = 256 << 20) -> int:
+# Shuffled bytes per stored byte of compressed Parquet, roughly.
+EXPANSION = 3
+
+
+def shuffle_partitions(stored_bytes: int, target_bytes: int = 256 << 20, most: int = 100_000) -> int:
     """Shuffle width that keeps one partition near ``target_bytes``.
 
-    Never fewer than the cores; at most 100,000 (100 TB then gives 1 GB partitions,
-    which sort and aggregate with spill).
+    Stops at ``most``: a wider shuffle costs more in blocks than it saves in spill.
     """
-    return max(cores, min(100_000, -(-input_bytes // target_bytes)))
+    return max(1, min(most, -(-stored_bytes * EXPANSION // target_bytes)))
+
+
+def stored_bytes(spark: SparkSession, folder: str) -> int:
+    """Size of the Parquet files under a folder, from the listing alone."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    return files.load(folder).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+@contextmanager
+def shuffle_width(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """At least this many shuffle partitions; adaptive execution merges small ones."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), partitions)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def build_session(

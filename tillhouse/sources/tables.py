@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,7 +35,9 @@ def scratch_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tillhouse-"))
+        folder = tempfile.mkdtemp(prefix="tillhouse-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -41,3 +45,9 @@ def materialize(rows: DataFrame, folder: str, *partition_by: str) -> DataFrame:
     """Write rows once and read them back, so that later steps start from the files."""
     rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def release(spark: SparkSession, *folders: str) -> None:
+    """Give up the files of scratch tables: each is overwritten with an empty one."""
+    for folder in folders:
+        spark.range(0).coalesce(1).write.mode("overwrite").parquet(folder)
