@@ -158,3 +158,13 @@ def test_released_scratch_holds_no_rows(spark, tmp_path):
     full = stored_bytes(spark, folder)
     release(spark, folder)
     assert spark.read.parquet(folder).count() == 0 and stored_bytes(spark, folder) < full
+
+
+def test_conform(spark):
+    table = TABLES["stg_quarantined_transactions"]
+    rows = spark.createDataFrame([("T1", "bad", "x", 5)], "transaction_id string, dq_reasons string, more string, quantity int")
+    found = contracts.conform(rows, table)
+    assert found.columns == table.columns
+    assert found.first().asDict() == dict.fromkeys(table.columns) | {"transaction_id": "T1", "dq_reasons": "bad", "quantity": 5}
+    with pytest.raises(PySparkException, match="dq_reasons"):
+        contracts.conform(rows.withColumn("dq_reasons", rows["more"].substr(9, 1)).replace("", None), table).collect()

@@ -16,13 +16,15 @@ class ContractError(RuntimeError):
 
 
 def conform(rows: DataFrame, table: Table) -> DataFrame:
-    """Rows in the table's column order and types.
+    """Rows in the table's column order and types; columns it does not know are left out.
 
-    A null in a required column fails the job that reads the result, in the same pass.
+    An optional column the rows lack is null. A null in a required column fails the job
+    that reads the result, in the same pass.
     """
     columns = []
     for field in table.schema.fields:
-        value = F.col(field.name).cast(field.dataType)
+        lacking = field.nullable and field.name not in rows.columns
+        value = (F.lit(None) if lacking else F.col(field.name)).cast(field.dataType)
         if not field.nullable:
             failure = F.raise_error(F.lit(f"null in required column {table.name}.{field.name}"))
             value = F.coalesce(value, failure.cast(field.dataType))
