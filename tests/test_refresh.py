@@ -11,7 +11,7 @@ from tillhouse.operators.contracts import ContractError
 from tillhouse.operators.quality import SCHEDULED_GATE, Gate, QualityGateError
 from tillhouse.plans.refresh import Exports, query, run_pipeline, run_sql_models, stored_tables, validate
 from tillhouse.schemas import TABLES
-from tillhouse.session import shuffle_partitions, shuffle_width, stored_bytes
+from tillhouse.session import settings, shuffle_partitions, shuffle_width, stored_bytes
 from tillhouse.sources import csv_files
 from tillhouse.sources.tables import materialize, release
 
@@ -145,10 +145,11 @@ def test_shuffle_width_follows_the_data(spark):
     assert shuffle_partitions(1 << 50) == 100_000
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    with shuffle_width(spark, 77):
+    assert shuffle_width(spark, 77) == {key: "77"}
+    assert shuffle_width(spark, 1) == {key: before}
+    with pytest.raises(KeyError), settings(spark, {key: "77"}):
         assert spark.conf.get(key) == "77"
-    with shuffle_width(spark, 1):
-        assert spark.conf.get(key) == before
+        raise KeyError
     assert spark.conf.get(key) == before
 
 

@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 from tillhouse.operators.skew import lookup
 from tillhouse.plans.refresh import Exports
@@ -34,27 +33,23 @@ COLUMNS = {
 }
 
 
-def padded(key: Column, width: int) -> Column:
-    """Key as text with leading zeros; longer keys keep all their digits."""
-    text = key.cast("string")
-    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+def padded(prefix: str, key: str, width: int) -> str:
+    """SQL for an id: a prefix and the key with leading zeros; longer keys keep all their digits."""
+    text = f"cast({key} as string)"
+    return f"concat('{prefix}', lpad({text}, greatest({width}, length({text})), '0'))"
 
 
-def _unless(divisor: int, rest: int, defect: Column, value: Column) -> Column:
-    """``value``, but ``defect`` on the order keys that leave ``rest``."""
-    return F.when(F.col("l_orderkey") % divisor == rest, defect).otherwise(value)
+def unless(divisor: int, rest: int, defect: str, value: str) -> str:
+    """SQL for ``value``, but ``defect`` on the order keys that leave ``rest``."""
+    return f"CASE WHEN l_orderkey % {divisor} = {rest} THEN {defect} ELSE {value} END"
 
 
-def _keys() -> list[Column]:
-    """Transaction, store and product id of an order line."""
-    line = F.col("l_linenumber").cast("string")
-    store = F.concat(F.lit("ST-"), padded(F.col("l_suppkey"), 4))
-    product = F.concat(F.lit("PRD-"), padded(F.col("l_partkey"), 5))
-    return [
-        F.concat(F.lit("TXN-"), padded(F.col("l_orderkey"), 8), F.lit("-"), line).alias("transaction_id"),
-        _unless(89, 1, F.lit("ST-9999"), store).alias("store_id"),
-        _unless(83, 2, F.lit("PRD-99999"), product).alias("product_id"),
-    ]
+# The three ids of an order line.
+KEYS = [
+    f"concat({padded('TXN-', 'l_orderkey', 8)}, '-', cast(l_linenumber as string)) AS transaction_id",
+    f"{unless(89, 1, repr('ST-9999'), padded('ST-', 'l_suppkey', 4))} AS store_id",
+    f"{unless(83, 2, repr('PRD-99999'), padded('PRD-', 'l_partkey', 5))} AS product_id",
+]
 
 
 class TestView:
@@ -70,56 +65,47 @@ class TestView:
 
     @cached_property
     def stores(self) -> DataFrame:
-        key = F.col("s_suppkey")
-        # Five regions and twenty-five nations, whatever the scale.
-        nations = self._table("nation").join(
-            F.broadcast(self._table("region")), F.col("n_regionkey") == F.col("r_regionkey")
-        )
-        return (
-            self._table("supplier")
-            .join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))
-            .select(
-                F.concat(F.lit("ST-"), padded(key, 4)).alias("store_id"),
-                F.col("r_name").alias("region"),
-                F.when(key % 3 == 0, "flagship").when(key % 3 == 1, "standard").otherwise("express").alias("store_format"),
-                (F.lit(2005) + key % 20).alias("opened_year"),
-            )
+        nations = self._table("nation").join(self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        suppliers = self._table("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+        return suppliers.selectExpr(
+            f"{padded('ST-', 's_suppkey', 4)} AS store_id",
+            "r_name AS region",
+            "CASE s_suppkey % 3 WHEN 0 THEN 'flagship' WHEN 1 THEN 'standard' ELSE 'express' END AS store_format",
+            "2005 + s_suppkey % 20 AS opened_year",
         )
 
     @cached_property
     def products(self) -> DataFrame:
-        price = F.col("p_retailprice").cast(DecimalType(12, 2))
-        percent = (F.lit(42) + F.col("p_partkey") % 40).cast(DecimalType(3, 0))
-        cost = F.round(price * percent * F.lit("0.01").cast(DecimalType(3, 2)), 2)
-        return self._table("part").select(
-            F.concat(F.lit("PRD-"), padded(F.col("p_partkey"), 5)).alias("product_id"),
-            F.col("p_type").alias("category"),
-            cost.cast("double").alias("unit_cost"),
-            price.cast("double").alias("unit_price"),
+        price = "cast(p_retailprice AS decimal(12,2))"
+        cost = f"round({price} * cast(42 + p_partkey % 40 AS decimal(3,0)) * cast(0.01 AS decimal(3,2)), 2)"
+        return self._table("part").selectExpr(
+            f"{padded('PRD-', 'p_partkey', 5)} AS product_id",
+            "p_type AS category",
+            f"cast({cost} AS double) AS unit_cost",
+            f"cast({price} AS double) AS unit_price",
         )
 
     @cached_property
     def keys(self) -> DataFrame:
         """The three ids of every transaction, from the order lines alone."""
-        return self._table("lineitem").select(*_keys())
+        return self._table("lineitem").selectExpr(*KEYS)
 
     @cached_property
     def transactions(self) -> DataFrame:
         """The raw transactions followed by the ``LINE_ORDER`` columns."""
         # Lines and orders both grow with the data: shuffle and sort, never broadcast.
         orders = self._table("orders").withColumnRenamed("o_orderkey", "l_orderkey").hint("merge")
-        customer = F.concat(F.lit("CUST-"), padded(F.col("o_custkey"), 6))
-        quantity = F.col("l_quantity").cast("bigint")
-        discount = (F.col("l_discount") * 100).cast(DecimalType(5, 1)).cast("double")
-        transaction_id, store_id, product_id = _keys()
-        return lookup(self._table("lineitem"), orders, "l_orderkey", "inner", small=False).select(
+        transaction_id, store_id, product_id = KEYS
+        quantity = "cast(l_quantity AS bigint)"
+        discount = "cast(cast(l_discount * 100 AS decimal(5,1)) AS double)"
+        return lookup(self._table("lineitem"), orders, "l_orderkey", "inner", small=False).selectExpr(
             transaction_id,
-            _unless(97, 0, F.lit("not-a-date"), F.col("l_shipdate").cast("date").cast("string")).alias("transaction_date"),
+            f"{unless(97, 0, repr('not-a-date'), 'cast(cast(l_shipdate AS date) AS string)')} AS transaction_date",
             store_id,
             product_id,
-            _unless(50, 3, F.lit(None).cast("string"), customer).alias("customer_id"),
-            _unless(79, 4, -(quantity % 4), quantity).alias("quantity"),
-            _unless(73, 5, F.lit(200.0), discount).alias("discount_pct"),
+            f"{unless(50, 3, 'NULL', padded('CUST-', 'o_custkey', 6))} AS customer_id",
+            f"{unless(79, 4, f'-({quantity} % 4)', quantity)} AS quantity",
+            f"{unless(73, 5, '200.0D', discount)} AS discount_pct",
             *LINE_ORDER,
         )
 

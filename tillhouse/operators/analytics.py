@@ -11,28 +11,33 @@ from pyspark.sql import functions as F
 from tillhouse.functions.numbers import amount, cents
 
 
+# Default and highest limits of the read queries.
+DAILY_LIMIT, MONTHLY_LIMIT, CUSTOMER_LIMIT = 30, 100, 10
+MOST_SALES, MOST_CUSTOMERS = 1000, 100
+
+
 def _within(limit: int, most: int) -> int:
     if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= most:
         raise ValueError(f"limit must be a whole number from 1 to {most}, not {limit!r}")
     return limit
 
 
-def daily_sales(daily_mart: DataFrame, store_id: str | None = None, limit: int = 30) -> DataFrame:
+def daily_sales(daily_mart: DataFrame, store_id: str | None = None, limit: int = DAILY_LIMIT) -> DataFrame:
     """Newest daily sales, of one store if given; stores of a day in id order."""
-    wanted = _within(limit, 1000)
+    wanted = _within(limit, MOST_SALES)
     rows = daily_mart.filter(F.col("store_id") == store_id) if store_id else daily_mart
     return rows.orderBy(F.desc("date_key"), "store_id").limit(wanted)
 
 
-def monthly_by_category(monthly_mart: DataFrame, limit: int = 100) -> DataFrame:
+def monthly_by_category(monthly_mart: DataFrame, limit: int = MONTHLY_LIMIT) -> DataFrame:
     """Newest months; categories of a month in name order."""
-    wanted = _within(limit, 1000)
+    wanted = _within(limit, MOST_SALES)
     return monthly_mart.orderBy(F.desc("year_month"), "category").limit(wanted)
 
 
-def top_customers(customer_mart: DataFrame, limit: int = 10) -> DataFrame:
+def top_customers(customer_mart: DataFrame, limit: int = CUSTOMER_LIMIT) -> DataFrame:
     """Customers with the highest lifetime revenue, ties in id order."""
-    wanted = _within(limit, 100)
+    wanted = _within(limit, MOST_CUSTOMERS)
     return customer_mart.orderBy(F.desc("lifetime_revenue"), "customer_id").limit(wanted)
 
 

@@ -13,6 +13,7 @@ from tillhouse.operators.skew import HEAVY_ROWS, fits_broadcast, lookup, mark_re
 from tillhouse.schemas import TRANSACTIONS
 from tillhouse.sources.tables import materialize, scratch_folder
 
+# The reasons column and the text between two reasons.
 REASONS = "dq_reasons"
 SEPARATOR = "; "
 
@@ -53,7 +54,7 @@ class Rule:
     broken: Callable[[], Column]
 
 
-# In the order in which reasons are listed.
+# The rule names, in the order in which reasons are listed.
 RULES: tuple[Rule, ...] = (
     Rule("duplicate_transaction_id", lambda: F.col(REPEATED)),
     Rule("invalid_transaction_date", bad_date),
@@ -229,11 +230,15 @@ def partition_check(report_row: DataFrame) -> DataFrame:
     )
 
 
+# The highest quarantine rates of a run by hand and of a scheduled run.
+MAX_RATE, SCHEDULED_MAX_RATE = 0.01, 0.10
+
+
 @dataclass(frozen=True)
 class Gate:
-    """Stops a run whose quarantine rate is above ``max_rate``."""
+    """Stops a run whose quarantine rate is above ``max_rate``; off unless enabled."""
 
-    max_rate: float = 0.01
+    max_rate: float = MAX_RATE
     enabled: bool = False
 
     def check(self, totals: Row) -> None:
@@ -243,7 +248,7 @@ class Gate:
             )
 
 
-SCHEDULED_GATE = Gate(max_rate=0.10, enabled=True)
+SCHEDULED_GATE = Gate(SCHEDULED_MAX_RATE, enabled=True)
 
 
 class QualityGateError(RuntimeError):

@@ -25,16 +25,30 @@ HASH_BUCKETS = 1 << 18
 BROADCAST_ROWS = 1_000_000
 
 
+_counted: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
+def row_count(frame: DataFrame) -> int:
+    """Rows of a frame, counted once; on Parquet the count comes from the footers."""
+    if frame not in _counted:
+        _counted[frame] = frame.count()
+    return _counted[frame]
+
+
+def fits_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Size check before a broadcast."""
+    return row_count(side) <= max_rows
+
+
 def heavy_keys(rows: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> DataFrame | None:
     """Keys (column ``_heavy``) with more than ``min_rows`` rows, or None when there are none.
 
-    Up to ``min_rows`` rows in all need no further look (on Parquet that count comes from
-    the footers). Otherwise hash buckets are counted first: each task sends at most
-    ``HASH_BUCKETS`` small rows, not one per key. Only keys of overfull buckets are then
-    counted one by one, so on data without heavy keys the second count has no input. At
-    most ``HEAVY_KEYS`` keys come to the driver.
+    Up to ``min_rows`` rows in all need no further look. Otherwise hash buckets are
+    counted first: each task sends at most ``HASH_BUCKETS`` small rows, not one per key.
+    Only keys of overfull buckets are then counted one by one, so on data without heavy
+    keys the second count has no input. At most ``HEAVY_KEYS`` keys come to the driver.
     """
-    if rows.count() <= min_rows:
+    if row_count(rows) <= min_rows:
         return None
     keyed = rows.select(
         F.col(key).alias("_heavy"),
@@ -97,16 +111,6 @@ def mark_repeats(
     return numbered(rows.join(heavy, is_heavy, "left_anti")).unionByName(spread)
 
 
-_counted: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
-
-
-def fits_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Size check before a broadcast; a frame is counted once."""
-    if side not in _counted:
-        _counted[side] = side.count()
-    return _counted[side] <= max_rows
-
-
 def sized(side: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """``side``, to be broadcast if it (or ``like``, which has as many rows) passes the size check."""
     return F.broadcast(side) if fits_broadcast(side if like is None else like) else side

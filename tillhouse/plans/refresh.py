@@ -14,7 +14,7 @@ from tillhouse.operators import contracts, marts, quality, star
 from tillhouse.operators.quality import RULES, Gate, Rule
 from tillhouse.operators.skew import HEAVY_ROWS
 from tillhouse.schemas import TABLES
-from tillhouse.session import shuffle_partitions, shuffle_width, stored_bytes
+from tillhouse.session import TWO_WRITERS, settings, shuffle_partitions, shuffle_width, stored_bytes
 from tillhouse.sources import csv_files
 from tillhouse.sources.tables import (
     materialize,
@@ -156,7 +156,8 @@ def validate(
     stores = materialize(exports.stores, folders[0])
     products = materialize(exports.products, folders[1])
     raw = materialize(exports.transactions, folders[2])
-    with shuffle_width(spark, shuffle_partitions(stored_bytes(spark, folders[2]))):
+    width = shuffle_width(spark, shuffle_partitions(stored_bytes(spark, folders[2])))
+    with settings(spark, width | TWO_WRITERS):
         rows = quality.annotate(raw, stores, products, exports.order, rules, min_rows)
         rows = materialize(rows.withColumn("is_clean", F.col(quality.REASONS) == ""), folders[3], "is_clean")
     return Validated(
@@ -199,7 +200,8 @@ def run_pipeline(
     write_table(checked.quarantined, root, "stg_quarantined_transactions")
     release(spark, *checked.scratch)
 
-    with shuffle_width(spark, shuffle_partitions(stored_bytes(spark, table_path(root, "stg_transactions")))):
+    width = shuffle_width(spark, shuffle_partitions(stored_bytes(spark, table_path(root, "stg_transactions"))))
+    with settings(spark, width):
         run_models(spark, root, star_models(as_of, min_rows) | MODELS)
     contracts.require_rows({n: tables[n] for n in ("fact_sales", "mart_daily_sales_by_store")})
     return {"dq_report": report_dict(totals, rules), "warehouse_path": root}

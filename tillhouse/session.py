@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -38,15 +38,27 @@ def stored_bytes(spark: SparkSession, folder: str) -> int:
 
 
 @contextmanager
-def shuffle_width(spark: SparkSession, partitions: int) -> Iterator[None]:
-    """At least this many shuffle partitions; adaptive execution merges small ones."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(max(int(before), partitions)))
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Runtime settings for the jobs inside, put back afterwards."""
+    before = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def shuffle_width(spark: SparkSession, partitions: int) -> dict[str, str]:
+    """Setting for at least this many shuffle partitions; adaptive execution merges small ones."""
+    key = "spark.sql.shuffle.partitions"
+    return {key: str(max(int(spark.conf.get(key)), partitions))}
+
+
+# Open files per task of a write split into two folders. Without it every task sorts its
+# rows by folder first.
+TWO_WRITERS = {"spark.sql.maxConcurrentOutputFileWriters": "2"}
 
 
 def build_session(
