@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tillhouse.operators import quality, skew
+from tillhouse.session import settings as session_settings
 
 KEYS = st.one_of(st.none(), st.sampled_from(["hot", "#0", "#1", "a", "b", "c", "d"]))
 
@@ -77,15 +78,14 @@ def test_heavy_rows_are_spread(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"
     )
     dim = rows.select("k").distinct().withColumn("w", F.length("k"))
-    conf = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(conf, "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
+    four_tasks = {
+        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    with session_settings(spark, four_tasks):
         joined = skew.lookup(rows, dim, "k", "left", small=False, min_rows=100)
         sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
-    finally:
-        spark.conf.unset(conf)
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(sizes) == 4000 and max(sizes) < 2 * 4000 / 4
 
 

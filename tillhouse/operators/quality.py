@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillhouse.functions.numbers import half_up_div
 from tillhouse.operators.skew import HEAVY_ROWS, fits_broadcast, lookup, mark_repeats
 from tillhouse.schemas import TRANSACTIONS
-from tillhouse.sources.tables import materialize, scratch_folder
+from tillhouse.sources.tables import materialize, release, scratch_folder
 
 # The reasons column and the text between two reasons.
 REASONS = "dq_reasons"
@@ -94,12 +94,13 @@ def mark_known(
     keys_of = rows if keys_of is None else keys_of
     small = fits_broadcast(dim)
     if not small:
-        unknown = unknown_keys(keys_of, dim, key)
-        unknown = materialize(unknown, scratch_folder(rows.sparkSession))
+        folder = scratch_folder(rows.sparkSession)
+        unknown = materialize(unknown_keys(keys_of, dim, key), folder)
         if fits_broadcast(unknown):
             unknown = F.broadcast(unknown.withColumn(flag, F.lit(False)))
             marked = rows.join(unknown, F.col(key).eqNullSafe(F.col("_unknown")), "left").drop("_unknown")
             return marked.withColumn(flag, F.coalesce(F.col(flag), F.lit(True)))
+        release(rows.sparkSession, folder)
     keys = dim.select(key).distinct().withColumn(flag, F.lit(True))
     marked = lookup(rows, keys, key, "left", small, min_rows, keys_of)
     return marked.withColumn(flag, _or_false(F.col(flag)))
