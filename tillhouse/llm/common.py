@@ -39,14 +39,16 @@ def parallel(rows: DataFrame, rows_per_task: int) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // rows_per_task))
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(
+    batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20, most_rows: int = 1 << 15
+) -> Iterator[pa.RecordBatch]:
     """Parts of a batch holding about ``most_bytes`` of one text column; every row once."""
     texts = batch.column(batch.schema.get_field_index(column))
     ends = np.frombuffer(texts.buffers()[1], _offset_type(texts))[texts.offset :][: len(texts) + 1].astype(np.int64)
     start = 0
     while start < len(texts):
         stop = int(np.searchsorted(ends, ends[start] + most_bytes, side="right")) - 1
-        stop = min(max(stop, start + 1), len(texts))
+        stop = min(max(stop, start + 1), start + most_rows, len(texts))
         yield batch.slice(start, stop - start)
         start = stop
 

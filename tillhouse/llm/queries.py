@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillhouse.llm import quality_rules, sharding
+from tillhouse.llm import bpe, decontaminate, language, quality_rules, sharding, warc
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), RANKS, PATTERN)
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.judged(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    normalised, _ = warc.archive(table(spark, folder, "pages"))
+    return warc.read_records(normalised).drop("payload", "url")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents"))
 
@@ -21,7 +38,18 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, folder, "documents"))
 
 
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_quality_rules, op9_sharding)
+    f.__name__: f for f in (
+        op4_byte_bpe,
+        op5_decontamination,
+        op6_warc,
+        op7_quality_rules,
+        op9_sharding,
+        op10_language,
+    )
 }
 SQL: dict[str, str] = {}
