@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillhouse.llm import bpe, decontaminate, language, quality_rules, sharding, warc
+from tillhouse.llm import bpe, decontaminate, jaccard, language, quality_rules, sharding, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -17,6 +17,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(table(spark, folder, "documents")).drop("_text_key")
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), RANKS, PATTERN)
 
@@ -44,6 +48,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        op2_jaccard_join,
         op4_byte_bpe,
         op5_decontamination,
         op6_warc,
