@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillhouse.llm import bpe, decontaminate, jaccard, language, quality_rules, sharding, warc
+from tillhouse.llm import bpe, decontaminate, jaccard, language, oracle, quality_rules, sharding, substrings, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -21,6 +21,10 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.classes(table(spark, folder, "documents")).drop("_text_key")
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(table(spark, folder, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), RANKS, PATTERN)
 
@@ -49,6 +53,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op2_jaccard_join,
+        op3_substring_dedup,
         op4_byte_bpe,
         op5_decontamination,
         op6_warc,
@@ -57,4 +62,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL
