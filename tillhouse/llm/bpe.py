@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.llm.common import slices
+from tillhouse.llm.common import slices, types
 
 LEAF_CHARS = 2048  # of text that is split at once
 LEAF_BYTES = 16  # of a piece that is merged at once
@@ -191,10 +191,6 @@ def _codecs(rows: DataFrame, path: str, pattern: str) -> Callable[[], Codec]:
     return lambda: Codec(shared.value, pattern)
 
 
-def _schema(rows: DataFrame, *names: str) -> str:
-    return ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids`` of every row of ``docs`` (``doc_id``, ``text``).
 
@@ -213,7 +209,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"{_schema(docs, 'doc_id')}, ids array<int>")
+    return rows.mapInArrow(run, types(docs, "doc_id", ids="array<int>"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -232,13 +228,14 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     rows = encoded.select("doc_id", "ids")
-    return rows.mapInArrow(run, f"{_schema(encoded, 'doc_id')}, ids array<int>, decoded binary")
+    return rows.mapInArrow(run, types(encoded, "doc_id", "ids", decoded="binary"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode and decode every document: counts and SHA-256 of its ids and decoded bytes."""
+    """Encode and decode every document: its ids, their number, SHA-256 of ids and decoded bytes."""
     return decode(encode(docs, path, pattern), path, pattern).select(
         "doc_id",
+        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

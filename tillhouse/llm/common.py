@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tillhouse.operators.skew import fits_broadcast
 from tillhouse.sources.tables import materialize, scratch_folder
@@ -20,9 +22,31 @@ SMALL_ROWS = 500_000
 ROW = "_row"
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of the tables that are stored inside, for who gives them up later."""
+    _recording.append([])
+    try:
+        yield _recording[-1]
+    finally:
+        _recording.pop()
+
+
 def stored(rows: DataFrame) -> DataFrame:
     """Rows written to the shared folder of the cluster and read back: lineage ends here."""
-    return materialize(rows, scratch_folder(rows.sparkSession))
+    folder = scratch_folder(rows.sparkSession)
+    for folders in _recording:
+        folders.append(folder)
+    return materialize(rows, folder)
+
+
+def types(rows: DataFrame, *names: str, **more: str) -> StructType:
+    """Schema of columns of ``rows`` and of further ones, by name and simple type."""
+    kept = [StructField(n, rows.schema[n].dataType) for n in names]
+    return StructType([*kept, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in more.items())).fields])
 
 
 def small(side: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.llm.common import ROW, slices, small, stored, text_bytes, whole_row
+from tillhouse.llm.common import ROW, slices, small, stored, text_bytes, types, whole_row
 from tillhouse.llm.words import ALPHANUMERIC, Words, grams, sliding_min, words
 
 SPAN = 10  # words of a window
@@ -112,8 +112,7 @@ def _marked(spans: list[int] | None, present: np.ndarray | None, keep: list[str]
 def _with_marks(rows: DataFrame, spans: list[int] | None, present: np.ndarray | None) -> DataFrame:
     """``rows`` (with ``_text``) without the text, plus ``n_words`` and ``marks``."""
     keep = [c for c in rows.columns if c != "_text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(_marked(spans, present, keep), f"{schema}, n_words bigint, marks {MARKS_SQL}")
+    return rows.mapInArrow(_marked(spans, present, keep), types(rows, *keep, n_words="bigint", marks=MARKS_SQL))
 
 
 def _filter(prints: DataFrame) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.llm.common import ROW, grouped, slices, small, stored, text_bytes, whole_row
+from tillhouse.llm.common import ROW, grouped, slices, small, stored, text_bytes, types, whole_row
 from tillhouse.llm.graph import components
 from tillhouse.llm.words import BY_SPACE, grams, mixed, words
 
@@ -318,12 +318,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     are ignored.
     """
     runs = runs_for(recall, SPLITS)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("_text_key"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(
         texts.mapInArrow(
             _first_paths(runs, threshold),
-            f"doc_id {kind}, _text_key bigint, node binary, n_shingles bigint, paths array<bigint>",
+            types(texts, "doc_id", "_text_key", node="binary", n_shingles="bigint", paths="array<bigint>"),
         )
     )
     usable = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())

@@ -14,6 +14,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillhouse.llm.common import types
+
 # The labelled sample is bounded: per language about so many texts, and of each at most
 # so many characters from its middle.
 SAMPLE_TEXTS = 160
@@ -101,8 +103,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
             )
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.lower("text").alias("text"), letters).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    out = docs.select("doc_id", F.lower("text").alias("text"), letters).mapInArrow(run, types(docs, "doc_id", lang_pred="string", score="double"))
     return out.withColumn("rejected", (F.col("score") < min_margin) | (F.col("lang_pred") == NO_LETTERS))
 
 

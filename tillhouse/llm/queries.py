@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +31,7 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.digests(table(spark, folder, "documents"), RANKS, PATTERN)
+    return bpe.digests(table(spark, folder, "documents"), RANKS, PATTERN).drop("ids")
 
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,5 +72,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sharding,
         op10_language,
     )
-}
-SQL: dict[str, str] = oracle.SQL
+} | {"pipeline": corpus_pipeline.run}
+SQL: dict[str, str] = oracle.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.llm.common import ROW, grouped, slices, stored, text_bytes, whole_row
+from tillhouse.llm.common import ROW, grouped, slices, stored, text_bytes, types, whole_row
 from tillhouse.llm.fm_index import FMIndex
 from tillhouse.llm.words import BY_SPACE, grams, sliding_min, words
 
@@ -192,9 +192,8 @@ def intervals(docs: DataFrame) -> DataFrame:
     Only documents with such intervals have a row; see :func:`removed`.
     """
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.filter(F.col("doc_id").isNotNull()).select(*_document_key(), F.coalesce("text", F.lit("")).alias("text"))
-    base = stored(texts.mapInArrow(_with_runs, f"doc_id {kind}, key binary, n_words bigint, runs array<{RUN}>"))
+    base = stored(texts.mapInArrow(_with_runs, types(texts, "doc_id", "key", n_words="bigint", runs=f"array<{RUN}>")))
     long = base.filter(F.col("n_words") >= WINDOW)
     # Of equal texts the first stands for all; all windows of the others are its windows.
     firsts = stored(long.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("runs").alias("runs")))
@@ -226,7 +225,7 @@ def intervals(docs: DataFrame) -> DataFrame:
         # A very common gram: only windows that two documents have as a whole go on.
         windows = stored(
             with_text(lists(candidates.filter(F.col("n") > HOT))).mapInArrow(
-                _windows, f"doc_id {kind}, key binary, anchor bigint, start int, whole bigint"
+                _windows, types(texts, "doc_id", "key", anchor="bigint", start="int", whole="bigint")
             )
         )
         both = (
@@ -242,7 +241,7 @@ def intervals(docs: DataFrame) -> DataFrame:
         )
     segments = stored(
         with_text(lists(wanted))
-        .mapInArrow(_segments, f"doc_id {kind}, key binary, anchor bigint, start int, content binary")
+        .mapInArrow(_segments, types(texts, "doc_id", "key", anchor="bigint", start="int", content="binary"))
         .withColumn("segment", F.unhex(F.md5(F.concat("content", F.col("anchor").cast("string").cast("binary")))))
     )
     distinct = stored(segments.groupBy("anchor", "segment", "content").agg(F.min("doc_id").alias("doc_id")))
@@ -284,8 +283,7 @@ def removed(docs: DataFrame, carry: bool = False) -> DataFrame:
     carried = whole_row(docs).alias("carried") if carry else docs["doc_id"].alias("carried")
     texts = docs.select(carried, *_document_key(), F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(_bounded(cuts, "cuts"), ["doc_id", "key"], "left").select("carried", "text", "cuts")
-    kind = joined.schema["carried"].dataType.simpleString()
-    out = joined.mapInArrow(_cut, f"carried {kind}, n_words bigint, n_removed bigint, kept string")
+    out = joined.mapInArrow(_cut, types(joined, "carried", n_words="bigint", n_removed="bigint", kept="string"))
     return out.withColumnRenamed("carried", ROW if carry else "doc_id")
 
 
