@@ -1,0 +1,131 @@
+"""The results of the operators, worked out plainly in Python."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import re
+from collections import defaultdict
+
+import public_tokenizers
+import tiktoken
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def sha(data):
+    return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def without_passages(rows, window=50):
+    """Per row its words and the positions removed."""
+    first = {}
+    for doc_id, text in rows:
+        if doc_id is not None:
+            w = words(text)
+            for i in range(len(w) - window + 1):
+                key = tuple(w[i : i + window])
+                first[key] = min(first.get(key, doc_id), doc_id)
+    out = []
+    for doc_id, text in rows:
+        w, gone = words(text), set()
+        for i in range(len(w) - window + 1):
+            if doc_id is not None and first[tuple(w[i : i + window])] < doc_id:
+                gone.update(range(i, i + window))
+        out.append((doc_id, w, gone))
+    return out
+
+
+def shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(rows, threshold=0.8):
+    """Links and class per row; rows without id or words are alone."""
+    sets = [shingles(t) if d is not None else set() for d, t in rows]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    common = defaultdict(int)
+    for held in holders.values():
+        for a in range(len(held)):
+            for b in range(a):
+                common[held[b], held[a]] += 1
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), n in common.items():
+        if n >= threshold * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            root[find(a)] = find(b)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if sets[i]:
+            least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return [(d, links[i], least[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows)]
+
+
+def alphanumeric(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def contaminated(rows, items):
+    """Words, hits and items per row."""
+    windows = defaultdict(set)
+    for item_id, text in items:
+        w = alphanumeric(text)
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            windows[tuple(w[i : i + n])].add(item_id)
+    out = []
+    for doc_id, text in rows:
+        w, hit, found = alphanumeric(text), set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                ids = windows.get(tuple(w[i : i + n]))
+                if ids:
+                    hit.update(range(i, i + n))
+                    found |= ids
+        ids = sorted(str(i) for i in found if i is not None)
+        out.append((doc_id, len(w), len(hit), len(ids), sha(",".join(ids)), bool(hit)))
+    return out
+
+
+def tokenizer():
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    ).encode_ordinary
+
+
+def encoded(rows, encode):
+    out = []
+    for doc_id, text in rows:
+        ids = encode(text or "")
+        out.append((doc_id, len(ids), sha(",".join(map(str, ids))), sha(text or "")))
+    return out
+
+
+def quality(text, limits):
+    """The counts of a text and whether it fails at once."""
+    w = words(text)
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    seen = defaultdict(list)
+    for i in range(len(w) - 4):
+        seen[tuple(w[i : i + 5])].append(i)
+    covered = {i + j for at in seen.values() if len(at) > 1 for i in at for j in range(5)}
+    counts = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
+    return counts, len(w) < limits.min_words or 100 * len(covered) > limits.repeat_percent * len(w), len(lines)

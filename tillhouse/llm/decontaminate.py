@@ -73,7 +73,7 @@ def _marked(spans: list[int] | None, present: np.ndarray | None, keep: list[str]
                 found = words(*text_bytes(part.column(part.schema.get_field_index("_text"))), ALPHANUMERIC)
                 counts = found.counts
                 of_word = np.repeat(np.arange(len(counts)), counts)
-                columns = [[], [], [], [], []]
+                columns = [[np.zeros(0, np.int64)] for _ in range(5)]
                 for span in spans if spans is not None else range(1, SPAN + 1):
                     start, prints, window = marks_of(found, span, present)
                     if spans is None:  # an item has one kind of window

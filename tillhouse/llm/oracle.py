@@ -108,7 +108,7 @@ d AS (
            unnest([base_failed, symbols, dup_lines, word_length]) AS failed
     FROM flags WHERE source IS NOT NULL) GROUP BY source, rule
 ), prior AS (
-  SELECT rule, m, CASE WHEN v > 0 THEN least(1e6, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS s FROM (
+  SELECT rule, m, CASE WHEN v > 0 THEN least(1e6, greatest(10.0, m * (1 - m) / v - 1)) ELSE 1e6 END AS s FROM (
     SELECT rule, m, q / t - m * m - m * (1 - m) * h / t AS v FROM (
       SELECT rule, sum(f) / sum(n) AS m, sum(f * f / n) AS q, sum(n) AS t, count(*) AS h FROM hosts GROUP BY rule))
 ), bad AS (

@@ -36,6 +36,8 @@ class Limits:
     # A host fails a soft rule above this shrunk rate, and is given up above the second.
     host_rate: float = 0.5
     blocked_rate: float = 0.9
+    # The prior weighs at least so many documents: a few alone are no verdict on a host.
+    least_strength: float = 10.0
 
 
 SOFT = ("symbols", "dup_lines", "word_length")
@@ -122,7 +124,7 @@ def host_verdicts(failures: DataFrame, limits: Limits) -> DataFrame:
 
     ``failures`` has ``_host`` and a flag per rule. Prior: mean rate m over all documents;
     between-host variance v is the weighted variance of host rates less its sampling part;
-    strength s = m(1-m)/v - 1 within 1 and 1e6; shrunk rate = (failed + m*s) / (n + s).
+    strength s = m(1-m)/v - 1 within 10 and 1e6; shrunk rate = (failed + m*s) / (n + s).
     """
     rules = (*SOFT, "base_failed")
     hosts = stored(
@@ -142,7 +144,7 @@ def host_verdicts(failures: DataFrame, limits: Limits) -> DataFrame:
             mean = sums[r] / sums["total"]
             spread = mean * (1 - mean)
             variance = sums[f"squares_{r}"] / sums["total"] - mean * mean - spread * sums["hosts"] / sums["total"]
-            strength = min(1e6, max(1.0, spread / variance - 1)) if variance > 0 else 1e6
+            strength = min(1e6, max(limits.least_strength, spread / variance - 1)) if variance > 0 else 1e6
             rates[r] = (F.col(r) + mean * strength) / (F.col("_n") + strength)
     verdicts = hosts.select(
         "_host",

@@ -24,7 +24,9 @@ from tillhouse.llm.common import stored
 # those documents a word must be.
 SAMPLE_DOCS = 8000
 VOCABULARY = 20_000
-MIN_DOCS = 4
+MIN_DOCS = 10
+# Lasso: few words carry a category, and labels are noisy.
+PENALTY = 0.003
 FOLDS = 3
 # Least probability of a category that is reported.
 THRESHOLD = 0.3
@@ -77,7 +79,8 @@ def _fit(rows: DataFrame, name: str, before: list[str]) -> Link:
     if not 0 < counts["positive"] < counts["n"]:
         return Link(name, before, None, counts["positive"] / counts["n"] if counts["n"] else 0.0)
     model = LogisticRegression(
-        featuresCol="_inputs", labelCol="_label", regParam=1e-4, maxIter=20, standardization=False
+        featuresCol="_inputs", labelCol="_label", regParam=PENALTY, elasticNetParam=1.0, maxIter=30,
+        standardization=False,
     ).fit(_assembled(rows.withColumn("_label", label), before))
     return Link(name, before, model, 0.0)
 

@@ -120,19 +120,19 @@ def write_monolithic(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
 
 def inflated(data: pa.Buffer) -> Iterator[bytes]:
     """Content of a gzip file in blocks, whatever members it has; a cut one is an error."""
-    stream = zlib.decompressobj(_GZIP)
     view, at = memoryview(data), 0
-    while at < len(view) or stream.unconsumed_tail:
-        if stream.eof:
-            stream = zlib.decompressobj(_GZIP)
-        given = stream.unconsumed_tail or view[at : (at := at + BLOCK)]
-        yield stream.decompress(given, BLOCK)
-        if stream.eof:
-            at -= len(stream.unused_data)
-    if len(view) and not stream.eof:
-        yield stream.flush()
-        if not stream.eof:
-            raise ValueError("the archive ends inside a gzip member")
+    while at < len(view):
+        stream = zlib.decompressobj(_GZIP)
+        while not stream.eof:
+            given = stream.unconsumed_tail
+            if not given:
+                given = view[at : at + BLOCK]
+                at += len(given)
+            block = stream.decompress(given, BLOCK)
+            if not block and not len(given) and not stream.eof:
+                raise ValueError("the archive ends inside a gzip member")
+            yield block
+        at -= len(stream.unused_data)
 
 
 def split_records(blocks: Iterator[bytes]) -> Iterator[bytes]:

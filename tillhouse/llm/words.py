@@ -94,7 +94,7 @@ def grams(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of the ``k`` words from each word on; the last entries of a text reach beyond it."""
     out = np.full(len(hashes), (seed * 2 + 1) * _BASE & (1 << 64) - 1, np.uint64)
     odd = _power_tables(k + 1)[0]
-    for j in range(k):
+    for j in range(min(k, len(out))):
         out[: len(out) - j] += hashes[j:] * odd[j + 1]
     return mixed(out)
 
