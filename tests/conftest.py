@@ -52,6 +52,7 @@ def make(spark):
     return Make
 
 
+# Small exports with known outcomes.
 GATE_STORES = [("ST-0001", "North", "standard", 2015), ("ST-0002", "South", "express", 2020)]
 GATE_PRODUCTS = [("PRD-00001", "Grocery", 10.0, 15.0), ("PRD-00002", "Electronics", 100.0, 150.0)]
 GATE_ROWS = [

@@ -2,7 +2,8 @@ import pytest
 from conftest import GATE_PRODUCTS, GATE_ROWS, GATE_STORES
 from pyspark.sql import functions as F
 
-from tillhouse.operators import quality
+from tillhouse.operators import contracts, quality
+from tillhouse.operators.contracts import ContractError
 from tillhouse.operators.quality import RULES, SCHEDULED_GATE, Gate, QualityGateError, Rule
 
 EXPECTED = [
@@ -70,12 +71,11 @@ def test_report_of_no_rows(make):
     assert row.total_rows == 0 and row.quarantine_rate == 0.0 and row.duplicate_transaction_id == 0
 
 
-def test_reason_counts_and_partition(make):
+def test_reason_counts(make):
     frame = annotated(make, GATE_ROWS)
     counts = [(r.reason, r.n_rows) for r in quality.reason_counts(frame).collect()]
     assert counts[0] == ("non_positive_quantity", 2)
     assert len(counts) == 6 and sum(n for _, n in counts) == 7
-    assert quality.partition_check(quality.report(frame)).first().holds
 
 
 @pytest.mark.parametrize(
@@ -179,6 +179,32 @@ def test_gates(make):
     with pytest.raises(QualityGateError):
         SCHEDULED_GATE.check(totals)
     Gate(totals.quarantine_rate, enabled=True).check(totals)  # only above, not at
+    assert not Gate().stops(1.0) and SCHEDULED_GATE.stops(0.11) and not SCHEDULED_GATE.stops(0.10)
+
+
+def test_partition_check_sees_a_lost_row(make):
+    raw = make.transactions(GATE_ROWS)
+    frame = annotated(make, GATE_ROWS)
+    whole = quality.partition_check(raw, quality.clean(frame), quality.quarantined(frame)).first()
+    assert whole.asDict() == {"total_rows": 6, "clean_rows": 2, "quarantined_rows": 4, "holds": True}
+    lost = quality.partition_check(raw, quality.clean(frame).limit(1), quality.quarantined(frame))
+    assert not lost.first().holds
+    with pytest.raises(ContractError, match="1 clean and 4"):
+        contracts.require_partition(lost)
+
+
+def test_broken_contracts_are_counted(make):
+    row = dict(zip(("transaction_id", "transaction_date", "store_id", "product_id", "customer_id", "quantity", "discount_pct"), GATE_ROWS[0]))
+    rows = make.transactions([tuple(row.values()), tuple((row | {"quantity": None}).values())])
+    nulls = {r.column_name: r.n_nulls for r in contracts.null_counts({"stg_transactions": rows}).collect()}
+    assert nulls["quantity"] == 1 and sum(nulls.values()) == 1
+    assert contracts.repeated_keys({"stg_transactions": rows}).first().n_repeated == 1
+    with pytest.raises(ContractError, match="1 nulls in stg_transactions.quantity"):
+        contracts.require_not_null({"stg_transactions": rows})
+
+
+def test_a_line_end_is_no_part_of_a_date(make):
+    assert reasons(make, [one(transaction_date="2026-01-05\n")]) == ["invalid_transaction_date"]
 
 
 def test_document(make):

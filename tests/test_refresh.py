@@ -2,6 +2,7 @@ import json
 from datetime import date
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import GATE_PRODUCTS, GATE_ROWS, GATE_STORES, SALES_ROWS
 from pyspark.errors import PySparkException
@@ -13,7 +14,7 @@ from tillhouse.plans.refresh import Exports, query, run_pipeline, run_sql_models
 from tillhouse.schemas import TABLES
 from tillhouse.session import settings, shuffle_partitions, shuffle_width, stored_bytes
 from tillhouse.sources import csv_files
-from tillhouse.sources.tables import materialize, release
+from tillhouse.sources.tables import materialize, read_table, release, write_table
 
 AS_OF = date(2026, 1, 1)
 
@@ -73,31 +74,42 @@ def test_from_csv(spark, exports, tmp_path):
 def test_gate_stops_before_the_tables_change(spark, exports, tmp_path, gate):
     root = str(tmp_path / "warehouse")
     run_pipeline(spark, exports(SALES_ROWS), root, AS_OF, gate)
-    before = contents(spark, root)
+    before, scratch = contents(spark, root), scratch_left(spark)
     with pytest.raises(QualityGateError):
         run_pipeline(spark, exports(), root, AS_OF, gate)
-    assert contents(spark, root) == before
+    assert contents(spark, root) == before and scratch_left(spark) == scratch
     written = [json.loads(p.read_text()) for p in Path(root, "dq_report").glob("*.json")]
     assert written[0]["total_rows"] == len(GATE_ROWS)  # the report of the stopped run
 
 
+def scratch_left(spark):
+    return {p.name for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).iterdir()}
+
+
+def stopped(spark, exports, tmp_path, reason, rows=SALES_ROWS, **inputs):
+    """A run that breaks a contract changes no table and leaves no scratch."""
+    root = str(tmp_path / "warehouse")
+    run_pipeline(spark, exports(SALES_ROWS), root, AS_OF)
+    before, scratch = contents(spark, root), scratch_left(spark)
+    with pytest.raises(ContractError, match=reason):
+        run_pipeline(spark, exports(rows, **inputs), root, AS_OF)
+    assert contents(spark, root) == before and scratch_left(spark) == scratch
+
+
 @pytest.mark.parametrize("column", ["quantity", "discount_pct"])
 def test_null_measure_stops_the_load(spark, exports, tmp_path, column):
     row = list(SALES_ROWS[0])
     row[5 if column == "quantity" else 6] = None
-    with pytest.raises(PySparkException, match=f"stg_transactions.{column}"):
-        run_pipeline(spark, exports([tuple(row)]), str(tmp_path / "w"), AS_OF)
+    stopped(spark, exports, tmp_path, f"stg_transactions.{column}", rows=[tuple(row)])
 
 
 def test_price_of_zero_stops_the_load(spark, exports, tmp_path):
     products = [*GATE_PRODUCTS, ("PRD-3", "Toys", 1.0, 0.0)]
-    with pytest.raises(PySparkException, match="dim_product.margin_pct"):
-        run_pipeline(spark, exports(SALES_ROWS, products=products), str(tmp_path / "w"), AS_OF)
+    stopped(spark, exports, tmp_path, "dim_product.margin_pct", products=products)
 
 
 def test_repeated_store_stops_the_load(spark, exports, tmp_path):
-    with pytest.raises(ContractError, match="stg_stores"):
-        run_pipeline(spark, exports(SALES_ROWS, stores=GATE_STORES * 2), str(tmp_path / "w"), AS_OF)
+    stopped(spark, exports, tmp_path, "stg_stores", stores=GATE_STORES * 2)
 
 
 def test_nothing_clean_fails_the_smoke_check(spark, exports, tmp_path):
@@ -153,12 +165,49 @@ def test_shuffle_width_follows_the_data(spark):
     assert spark.conf.get(key) == before
 
 
-def test_released_scratch_holds_no_rows(spark, tmp_path):
+def test_released_scratch_is_gone(spark, tmp_path):
     folder = str(tmp_path / "t")
     materialize(spark.range(1000), folder)
-    full = stored_bytes(spark, folder)
+    assert stored_bytes(spark, folder) > 0
+    release(spark, folder)
     release(spark, folder)
-    assert spark.read.parquet(folder).count() == 0 and stored_bytes(spark, folder) < full
+    assert not Path(folder).exists()
+
+
+def test_money_raises_where_the_session_has_ansi_off(spark, exports, tmp_path):
+    rows = [(*SALES_ROWS[0][:5], 10**12, 0.0)]
+    with settings(spark, {"spark.sql.ansi.enabled": "false"}), pytest.raises(PySparkException, match="OVERFLOW|OUT_OF_RANGE"):
+        run_pipeline(spark, exports(rows), str(tmp_path / "w"), AS_OF)
+
+
+def test_views_of_the_session_are_left_alone(spark, exports, tmp_path):
+    root = str(tmp_path / "warehouse")
+    run_pipeline(spark, exports(SALES_ROWS), root, AS_OF)
+    spark.range(7).createOrReplaceTempView("fact_sales")
+    count = query(spark, stored_tables(spark, root), "SELECT count(*) AS n FROM fact_sales, dim_store")
+    assert count.first().n == 6
+    assert spark.table("fact_sales").count() == 7
+    assert "dim_store" not in {t.name for t in spark.catalog.listTables()}
+    spark.catalog.dropTempView("fact_sales")
+
+
+def test_stored_marts_are_in_order_of_their_keys(spark, tmp_path):
+    """Ranges of keys do not overlap between files, so a lookup opens one of them."""
+    rows = spark.range(4000).selectExpr(
+        "concat('C', lpad(cast((id * 7919) % 4000 AS string), 5, '0')) AS customer_id", "'2026-01-01' AS first_purchase",
+        "'2026-01-01' AS last_purchase", "1L AS n_transactions", "1.0D AS lifetime_revenue", "1.0D AS avg_order_value",
+    ).repartition(4)
+    with settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        write_table(rows, str(tmp_path), "mart_customer_summary")
+    ranges = []
+    for file in Path(tmp_path, "mart_customer_summary").glob("*.parquet"):
+        groups = pq.ParquetFile(file).metadata
+        for i in range(groups.num_row_groups):
+            if groups.row_group(i).num_rows:
+                ranges.append((groups.row_group(i).column(0).statistics.min, groups.row_group(i).column(0).statistics.max))
+    assert len(ranges) > 2 and sum(low <= "C02000" <= high for low, high in ranges) == 1
+    found = analytics.find_customer(read_table(spark, str(tmp_path), "mart_customer_summary"), "C02000")
+    assert found.count() == 1 and "EqualTo(customer_id,C02000)" in found._jdf.queryExecution().toString()
 
 
 def test_conform(spark):

@@ -25,6 +25,15 @@ def test_heavy_keys(spark, min_rows):
     assert {r._heavy for r in found.collect()} == {k for k, n in Counter(keys).items() if n > min_rows}
 
 
+def test_second_count_has_no_input_without_heavy_keys(spark):
+    """Also where there are more rows than buckets: their number follows the rows."""
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    few, enough = 16, skew.buckets_for(20_000, 100)
+    assert skew._suspects(rows, "k", 100, few).count() == 20_000
+    assert skew._suspects(rows, "k", 100, enough).isEmpty()
+    assert skew.buckets_for(3 * 10**12, 10**7) == skew.FILL * 300_000
+
+
 def test_no_heavy_keys(spark):
     rows = frame_of(spark, [(str(i),) for i in range(50)], "k string")
     assert skew.heavy_keys(rows, "k", 5) is None

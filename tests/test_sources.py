@@ -32,14 +32,44 @@ def test_text_in_a_number_column_fails(spark, tmp_path):
         csv_files.read_transactions(spark, path).collect()
 
 
-def test_columns_in_another_order_fail(spark, tmp_path):
+def test_columns_are_found_by_name(spark, tmp_path):
     folder = tmp_path / "export"
     folder.mkdir()
-    (folder / "t.csv").write_text("transaction_date,transaction_id,store_id,product_id,customer_id,quantity,discount_pct\na,b,c,d,e,1,2\n")
-    with pytest.raises((PySparkException, Py4JJavaError), match="header does not conform"):
+    text = "transaction_date,more,transaction_id,store_id,product_id,customer_id,discount_pct,quantity\na,x,b,c,d,e,2,1\n"
+    (folder / "t.csv").write_text(text)
+    read = csv_files.read_transactions(spark, str(folder)).drop(*csv_files.FILE_ORDER)
+    assert [tuple(r) for r in read.collect()] == [("b", "a", "c", "d", "e", 1, 2.0)]
+    (folder / "t.csv").write_text(text.replace("store_id", "shop"))
+    with pytest.raises(ValueError, match="store_id"):
+        csv_files.read_transactions(spark, str(folder))
+    export(tmp_path, "1,2026-01-01,s,p,c,1,0\n", "u.csv")  # files must agree on their header
+    (folder / "t.csv").write_text(text)
+    with pytest.raises((PySparkException, Py4JJavaError)):
         csv_files.read_transactions(spark, str(folder)).collect()
 
 
+def test_numbers_as_pandas_writes_them(spark, tmp_path):
+    path = export(tmp_path, "1,2026-01-01,s,p,c,2.0,1e1\n2,2026-01-01,s,p,c,NA,nan\n3,2026-01-01,s,p,c, 7 ,0.5\n")
+    rows = csv_files.read_transactions(spark, path).collect()
+    assert [(r.quantity, r.discount_pct) for r in rows] == [(2, 10.0), (None, None), (7, 0.5)]
+    for text in ("2.5", "many", "1x"):
+        path = export(tmp_path, f"1,2026-01-01,s,p,c,{text},0\n")
+        with pytest.raises((PySparkException, Py4JJavaError), match=f"quantity: {text}"):
+            csv_files.read_transactions(spark, path).collect()
+
+
+@pytest.mark.parametrize("more", [1, 2])
+def test_file_order_is_that_of_the_paths(spark, tmp_path, more):
+    """Files of equal names in two folders: the first copy does not depend on their sizes."""
+    for day in (1, 2):
+        folder = tmp_path / "export" / f"day={day}"
+        folder.mkdir(parents=True)
+        extra = "".join(f"X{day}-{i},2026-01-01,s,p,x,1,0\n" for i in range(50 if day == more else 0))
+        (folder / "part.csv").write_text(HEADER + extra + f"T,2026-01-01,s,p,day-{day},1,0\n")
+    raw = csv_files.read_transactions(spark, str(tmp_path / "export"))
+    assert [r.customer_id for r in quality.repeats(raw, csv_files.FILE_ORDER).collect()] == ["day-2"]
+
+
 def test_file_order_over_files_and_splits(spark, tmp_path, make):
     """The first copy is the first line of the first file, however the files are cut."""
     lines = [f"T{i % 50},2026-01-01,s,p,{i},1,0\n" for i in range(600)]

@@ -1,7 +1,10 @@
+import random
 from datetime import date
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from conftest import GATE_PRODUCTS, GATE_STORES, SALES_ROWS
+from pyspark.errors import PySparkException
 
 from tillhouse.operators import marts, quality, star
 
@@ -58,14 +61,47 @@ def test_fact_measures(fact):
     }
 
 
-def test_profit_is_rounded_once(make, spark):
-    products = make.products([("p", "c", 0.33, 0.99)])
+def one_line(make, spark, cost, price, quantity, discount):
     lines = spark.createDataFrame(
-        [("t", "2026-01-01", "s", "p", None, 1, 12.5)],
+        [("t", "2026-01-01", "s", "p", None, quantity, discount)],
         "transaction_id string, transaction_date string, store_id string, product_id string, customer_id string, "
         "quantity bigint, discount_pct double",
     )
-    row = star.fact_sales(lines, products).first()
+    return star.fact_sales(lines, make.products([("p", "c", cost, price)])).first()
+
+
+@pytest.mark.parametrize(
+    ("price", "quantity", "gross"),
+    [(0.125, 8, 1.0), (1.2345, 1000, 1234.5), (91.0, 1_000_000_000, 91e9), (0.005, 1, 0.01), (0.000001, 5000, 0.01)],
+)
+def test_prices_finer_than_a_cent(make, spark, price, quantity, gross):
+    row = one_line(make, spark, price, price, quantity, 0.0)
+    assert (row.gross_revenue, row.net_revenue, row.cost_of_goods, row.gross_profit) == (gross, gross, gross, 0.0)
+
+
+def test_measures_equal_decimal_arithmetic(make, spark):
+    rnd = random.Random(7)
+    for _ in range(12):
+        cost, price = (round(rnd.uniform(0, 50), rnd.randint(0, 6)) for _ in range(2))
+        quantity, discount = rnd.randint(1, 10_000), round(rnd.uniform(0, 100), rnd.randint(0, 4))
+        row = one_line(make, spark, cost, price, quantity, discount)
+        gross, bought = quantity * Decimal(str(price)), quantity * Decimal(str(cost))
+        net = gross * (1 - Decimal(str(discount)) / 100)
+        exact = [float(x.quantize(Decimal("0.01"), ROUND_HALF_UP)) for x in (gross, net, bought, net - bought)]
+        assert [row.gross_revenue, row.net_revenue, row.cost_of_goods, row.gross_profit] == exact
+
+
+def test_a_price_beyond_six_decimals_is_an_error(make, spark):
+    with pytest.raises(PySparkException, match="more than 6 decimals in unit_price"):
+        one_line(make, spark, 1.0, 1.23456789, 1, 0.0)
+
+
+def test_margin_of_fine_prices(make):
+    assert star.dim_product(make.products([("a", "c", 0.1, 0.125)])).first().margin_pct == 20.0
+
+
+def test_profit_is_rounded_once(make, spark):
+    row = one_line(make, spark, 0.33, 0.99, 1, 12.5)
     # 0.99 * 0.875 = 0.86625 -> 0.87; 0.86625 - 0.33 = 0.53625 -> 0.54
     assert (row.net_revenue, row.gross_profit) == (0.87, 0.54)
 

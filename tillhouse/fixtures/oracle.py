@@ -5,6 +5,7 @@ Money is computed in DECIMAL and whole cents, apart from the Spark code's intege
 
 from __future__ import annotations
 
+# The rule names.
 _RULES = (
     "duplicate_transaction_id",
     "invalid_transaction_date",
@@ -30,10 +31,6 @@ def _amount(cents: str) -> str:
     return f"cast({cents} as double) / 100.0"
 
 
-def _cents(amount: str) -> str:
-    return f"cast(cast({amount} as decimal(18,2)) * 100 as hugeint)"
-
-
 _MARGIN = _rounded("(price - cost) * 10000", "price")
 
 _CTES = f"""
@@ -45,10 +42,11 @@ WITH raw_stores AS (
 ),
 raw_products AS (
   SELECT 'PRD-' || {_padded('p_partkey', 5)} AS product_id, p_type AS category,
-         cast(round(cast(p_retailprice AS decimal(12,2)) * cast(42 + p_partkey % 40 AS decimal(3,0))
-                    * cast(0.01 AS decimal(3,2)), 2) AS decimal(12,2)) AS unit_cost,
-         cast(p_retailprice AS decimal(12,2)) AS unit_price
-  FROM part
+         cast(round(price * cast(42 + p_partkey % 40 AS decimal(3,0)) * cast(0.01 AS decimal(3,2)), 4) AS decimal(12,4))
+           AS unit_cost,
+         price AS unit_price
+  FROM (SELECT *, cast(cast(p_retailprice AS decimal(12,2)) + CASE WHEN p_partkey % 10 = 7 THEN 0.1234 ELSE 0.0000 END
+                       AS decimal(12,4)) AS price FROM part)
 ),
 raw_transactions AS (
   SELECT 'TXN-' || {_padded('l_orderkey', 8)} || '-' || cast(l_linenumber AS varchar) AS transaction_id,
@@ -93,7 +91,8 @@ report AS (
 stores_dim AS (SELECT *, cast(2026 - opened_year AS bigint) AS store_age_years FROM raw_stores),
 products_dim AS (
   SELECT product_id, category, unit_cost, unit_price, {_MARGIN} AS margin_hundredths
-  FROM (SELECT *, {_cents('unit_price')} AS price, {_cents('unit_cost')} AS cost FROM raw_products)
+  FROM (SELECT *, cast(unit_price * 10000 AS hugeint) AS price, cast(unit_cost * 10000 AS hugeint) AS cost
+        FROM raw_products)
 ),
 dates_dim AS (
   SELECT DISTINCT transaction_date AS date_key, cast(year(cast(transaction_date AS date)) AS integer) AS year,
@@ -182,31 +181,79 @@ FROM report
 """
 
 
-def _null_counts() -> str:
-    from tillhouse.schemas import TABLES
+# Columns that may not be null, and primary keys, as the warehouse declares them.
+_REQUIRED = {
+    "stg_stores":
+        "region store_format opened_year",
+    "stg_products":
+        "category unit_cost unit_price",
+    "stg_transactions":
+        "transaction_date store_id product_id quantity discount_pct",
+    "stg_quarantined_transactions":
+        "dq_reasons",
+    "dim_store":
+        "region store_format opened_year store_age_years",
+    "dim_product":
+        "category unit_cost unit_price margin_pct",
+    "dim_date":
+        "year month day_of_week is_weekend",
+    "fact_sales":
+        "date_key store_id product_id quantity discount_pct gross_revenue net_revenue "
+        "cost_of_goods gross_profit",
+    "mart_daily_sales_by_store":
+        "date_key store_id region n_transactions total_quantity gross_revenue net_revenue "
+        "gross_profit",
+    "mart_monthly_sales_by_category":
+        "year_month category n_transactions total_quantity gross_revenue net_revenue gross_profit "
+        "avg_margin_pct",
+    "mart_customer_summary":
+        "first_purchase last_purchase n_transactions lifetime_revenue avg_order_value",
+}
+_KEYS = {
+    "stg_stores": "store_id",
+    "stg_products": "product_id",
+    "stg_transactions": "transaction_id",
+    "dim_store": "store_id",
+    "dim_product": "product_id",
+    "dim_date": "date_key",
+    "fact_sales": "transaction_id",
+    "mart_daily_sales_by_store": "date_key store_id",
+    "mart_monthly_sales_by_category": "year_month category",
+    "mart_customer_summary": "customer_id",
+}
 
+
+def _null_counts() -> str:
     parts = [
         f"SELECT '{name}' AS table_name, '{column}' AS column_name, count(*) FILTER ({column} IS NULL) AS n_nulls "
-        f"FROM {cte}"
-        for name, cte in _TXN_TABLES.items()
-        for column in TABLES[name].required
+        f"FROM {_TXN_TABLES[name]}"
+        for name, columns in _REQUIRED.items()
+        for column in columns.split()
     ]
     return " UNION ALL ".join(parts)
 
 
+def _null_counts_raw() -> str:
+    """Quantities that are not positive count as null there."""
+    counted = {"quantity": "coalesce(quantity <= 0, true)"}
+    return " UNION ALL ".join(
+        f"SELECT 'stg_transactions' AS table_name, '{column}' AS column_name, "
+        f"count(*) FILTER ({counted.get(column, column + ' IS NULL')}) AS n_nulls FROM raw_transactions"
+        for column in _REQUIRED["stg_transactions"].split()
+    )
+
+
+def _repeated(name: str, table: str) -> str:
+    keys = _KEYS[name].split()
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return (
+        f"SELECT '{name}' AS table_name, count(*) AS n_repeated FROM (SELECT 1 FROM {table} WHERE {known} "
+        f"GROUP BY {', '.join(keys)} HAVING count(*) > 1)"
+    )
+
+
 def _repeated_keys() -> str:
-    from tillhouse.schemas import TABLES
-
-    parts = []
-    for name, cte in _TXN_TABLES.items():
-        keys = TABLES[name].keys
-        if keys:
-            known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
-            parts.append(
-                f"SELECT '{name}' AS table_name, count(*) AS n_repeated FROM (SELECT 1 FROM {cte} WHERE {known} "
-                f"GROUP BY {', '.join(keys)} HAVING count(*) > 1)"
-            )
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join(_repeated(name, _TXN_TABLES[name]) for name in _KEYS)
 
 
 def _totals() -> str:
@@ -219,8 +266,19 @@ UNION ALL SELECT 'gross_profit', cast(sum(profit) AS double) FROM fact
 UNION ALL {counts}"""
 
 
-def _gate(rate: str) -> str:
-    return f"SELECT {rate} AS max_rate, quarantine_rate, quarantine_rate > {rate} AS stops FROM ({_REPORT})"
+def _gate(rate: str, enabled: str) -> str:
+    return f"SELECT {rate} AS max_rate, quarantine_rate, {enabled} AND quarantine_rate > {rate} AS stops FROM ({_REPORT})"
+
+
+def _first_copy(day: int) -> str:
+    return f"""SELECT DISTINCT transaction_id, 'DAY-1' AS customer_id FROM raw_transactions
+UNION ALL SELECT DISTINCT 'X-' || transaction_id, 'DAY-{day}' FROM raw_transactions
+UNION ALL SELECT DISTINCT 'Y-' || transaction_id, 'DAY-{day}' FROM raw_transactions"""
+
+
+def _rows(name: str, limit: int, table: str, most: int) -> str:
+    n = f"(SELECT least({limit}, count(*)) FROM {table})" if 1 <= limit <= most else "NULL"
+    return f"SELECT '{name}' AS query, cast({limit} AS bigint) AS wanted, cast({n} AS bigint) AS n_rows"
 
 
 def statements(store_id: str, customer_id: str) -> dict[str, str]:
@@ -249,8 +307,8 @@ def statements(store_id: str, customer_id: str) -> dict[str, str]:
         ),
         "dq_partition_check": "SELECT total AS total_rows, clean_n AS clean_rows, bad_n AS quarantined_rows, "
         "clean_n + bad_n = total AS holds FROM report",
-        "gate_default": _gate("cast(0.01 AS double)"),
-        "gate_scheduled": _gate("cast(0.10 AS double)"),
+        "gate_default": _gate("cast(0.01 AS double)", "false"),
+        "gate_scheduled": _gate("cast(0.10 AS double)", "true"),
         "contract_not_null": _null_counts(),
         "contract_unique_keys": _repeated_keys(),
         "warehouse_totals": _totals(),
@@ -264,5 +322,23 @@ def statements(store_id: str, customer_id: str) -> dict[str, str]:
         "nb_daily_net_revenue": "SELECT date_key, cast(sum(net) AS double) AS net_revenue FROM fact GROUP BY date_key",
         "nb_profit_by_category": "SELECT category, cast(sum(profit) AS double) AS gross_profit FROM fact GROUP BY category",
         "refresh_daily_mart": "SELECT * FROM daily",
+        "raw_transactions_csv_floats": "SELECT * REPLACE (CASE WHEN quantity > 0 THEN quantity END AS quantity) "
+        f"FROM (SELECT {_RAW} FROM raw_transactions)",
+        "dq_first_copy_more_in_first": _first_copy(1),
+        "dq_first_copy_more_in_second": _first_copy(2),
+        "contract_not_null_raw": _null_counts_raw(),
+        "contract_unique_keys_raw": _repeated("stg_transactions", "raw_transactions"),
+        "refresh_twice": _totals(),
+        "report_json": f"SELECT 'transactions' AS \"table\", * FROM ({_REPORT})",
+        "sql_model_files": "SELECT region, cast(sum(n_transactions) AS bigint) AS n_transactions FROM daily GROUP BY region",
+        "limit_bounds": " UNION ALL ".join(
+            _rows(name, limit, table, most)
+            for name, table, most in (("daily", "daily", 1000), ("monthly", "monthly", 1000), ("top", "customers", 100))
+            for limit in (0, 1, most, most + 1)
+        ),
+        "smoke_check": "SELECT 'fact_sales' AS table_name, count(*) > 0 AS passes FROM fact "
+        "UNION ALL SELECT 'fact_sales after 2999', count(*) > 0 FROM fact WHERE date_key > '2999'",
     }
+    selects |= {name.replace("q_", "stored_", 1): selects[name] for name in (
+        "q_daily_sales", "q_daily_sales_store", "q_monthly_by_category", "q_customer_lookup", "q_top_customers")}
     return {name: _CTES + select for name, select in selects.items()}

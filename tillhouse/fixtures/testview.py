@@ -58,10 +58,10 @@ class TestView:
     __test__ = False  # not a pytest class
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self._spark, self._folder = spark, folder.rstrip("/")
+        self.spark, self._folder = spark, folder.rstrip("/")
 
     def _table(self, name: str) -> DataFrame:
-        return self._spark.read.schema(COLUMNS[name]).parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.schema(COLUMNS[name]).parquet(f"{self._folder}/{name}.parquet")
 
     @cached_property
     def stores(self) -> DataFrame:
@@ -76,8 +76,10 @@ class TestView:
 
     @cached_property
     def products(self) -> DataFrame:
-        price = "cast(p_retailprice AS decimal(12,2))"
-        cost = f"round({price} * cast(42 + p_partkey % 40 AS decimal(3,0)) * cast(0.01 AS decimal(3,2)), 2)"
+        # One part in ten has a price of four decimals; costs have four throughout.
+        fine = "CASE WHEN p_partkey % 10 = 7 THEN 0.1234 ELSE 0.0000 END"
+        price = f"cast(cast(p_retailprice AS decimal(12,2)) + {fine} AS decimal(12,4))"
+        cost = f"round({price} * cast(42 + p_partkey % 40 AS decimal(3,0)) * cast(0.01 AS decimal(3,2)), 4)"
         return self._table("part").selectExpr(
             f"{padded('PRD-', 'p_partkey', 5)} AS product_id",
             "p_type AS category",

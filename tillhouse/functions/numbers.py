@@ -1,8 +1,9 @@
-"""Exact money arithmetic on 64-bit integers.
+"""Exact money arithmetic.
 
-Amounts are doubles with two decimals at rest. Inside a computation they are whole
-cents in a ``bigint``: sums do not depend on the order of the rows, stay in generated
-code, and overflow raises under ANSI instead of drifting.
+Prices are doubles of up to six decimals; a line is computed from them in ``decimal`` and
+each measure is rounded once. The rounded amounts are doubles with two decimals at rest.
+Sums of them are taken in whole cents in a ``bigint``: they do not depend on the order of
+the rows and stay in generated code. Overflow raises under ANSI, which the jobs pin.
 """
 
 from __future__ import annotations
@@ -16,6 +17,18 @@ def scaled(value: Column, factor: int) -> Column:
     return F.rint(value * F.lit(factor)).cast("bigint")
 
 
+def exact(value: Column, name: str) -> Column:
+    """The decimal number a double was written as; more than six decimals are an error."""
+    number = value.cast("decimal(18,6)")
+    too_fine = F.raise_error(F.concat(F.lit(f"more than 6 decimals in {name}: "), value.cast("string")))
+    return F.when(number.cast("double") != value, too_fine.cast("decimal(18,6)")).otherwise(number)
+
+
+def rounded(number: Column) -> Column:
+    """An exact number as an amount, rounded half away from zero."""
+    return F.round(number, 2).cast("double")
+
+
 def cents(amount: Column) -> Column:
     return scaled(amount, 100)
 

@@ -70,6 +70,15 @@ def require_unique_keys(tables: Mapping[str, DataFrame]) -> None:
         raise ContractError("; ".join(f"{r.n_repeated} repeated keys in {r.table_name}" for r in broken))
 
 
+def require_partition(check: DataFrame) -> None:
+    """``check``: the row of :func:`quality.partition_check`."""
+    row = check.first()
+    if not row.holds:
+        raise ContractError(
+            f"{row.clean_rows} clean and {row.quarantined_rows} quarantined rows of {row.total_rows}"
+        )
+
+
 def require_rows(tables: Mapping[str, DataFrame]) -> None:
     """Smoke check after a load: none of the tables is empty."""
     empty = [name for name, frame in tables.items() if frame.isEmpty()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def parsed_date(text: Column) -> Column:
     The pattern keeps out what the cast would also take (blanks, times, months alone);
     the cast is several times faster than a formatter.
     """
-    return F.when(text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text.try_cast("date"))
+    return F.when(text.rlike(r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), text.try_cast("date"))
 
 
 def _or_false(condition: Column) -> Column:
@@ -221,14 +222,16 @@ def reason_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def partition_check(report_row: DataFrame) -> DataFrame:
-    """Whether clean and quarantined rows together are all rows."""
-    return report_row.select(
-        "total_rows",
-        "clean_rows",
-        "quarantined_rows",
-        (F.col("clean_rows") + F.col("quarantined_rows") == F.col("total_rows")).alias("holds"),
-    )
+def partition_check(raw: DataFrame, clean_rows: DataFrame, quarantined_rows: DataFrame) -> DataFrame:
+    """Whether clean and quarantined rows together are as many as the raw rows; each counted by itself."""
+    names = ("total_rows", "clean_rows", "quarantined_rows")
+    counts = [
+        rows.agg(F.count("*").alias("n")).select(*((F.col("n") if n == name else F.lit(0)).alias(n) for n in names))
+        for name, rows in zip(names, (raw, clean_rows, quarantined_rows))
+    ]
+    together = reduce(DataFrame.unionByName, counts).agg(*(F.sum(n).alias(n) for n in names))
+    holds = F.col("clean_rows") + F.col("quarantined_rows") == F.col("total_rows")
+    return together.withColumn("holds", holds)
 
 
 # The highest quarantine rates of a run by hand and of a scheduled run.
@@ -242,8 +245,11 @@ class Gate:
     max_rate: float = MAX_RATE
     enabled: bool = False
 
+    def stops(self, rate: float) -> bool:
+        return self.enabled and rate > self.max_rate
+
     def check(self, totals: Row) -> None:
-        if self.enabled and totals["quarantine_rate"] > self.max_rate:
+        if self.stops(totals["quarantine_rate"]):
             raise QualityGateError(
                 f"{totals['quarantine_rate']:.2%} of the rows are quarantined, more than {self.max_rate:.2%}"
             )

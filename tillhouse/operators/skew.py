@@ -16,11 +16,13 @@ from pyspark.sql.types import StructField, StructType
 
 # One shuffle group up to this size is left to one task (it sorts with spill).
 HEAVY_ROWS = 10_000_000
-# Most keys ever routed apart, so that their list is bounded. The next key after the
-# 100,000 largest holds under 1/100,000 of the rows.
-HEAVY_KEYS = 100_000
-# Hash buckets of the first, cheap count.
+# A key is heavy only with more than this share of all rows, so there are never more heavy
+# keys than this and their list is complete. It matters from 1e13 rows on.
+HEAVY_KEYS = 1_000_000
+# Hash buckets of the first, cheap count: at least so many, and so many that an average
+# bucket holds a sixteenth of what makes a key heavy.
 HASH_BUCKETS = 1 << 18
+FILL = 16
 # A dimension with at most this many rows is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -40,30 +42,36 @@ def fits_broadcast(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return row_count(side) <= max_rows
 
 
+def buckets_for(total: int, min_rows: int) -> int:
+    return max(HASH_BUCKETS, FILL * total // max(1, min_rows))
+
+
+def _suspects(rows: DataFrame, key: str, min_rows: int, buckets: int) -> DataFrame:
+    """Rows (column ``_heavy``) in hash buckets that are large enough for a heavy key."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket")
+    keyed = rows.select(F.col(key).alias("_heavy"), bucket)
+    overfull = keyed.groupBy("_bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_rows).select("_bucket")
+    return keyed.join(F.broadcast(overfull), "_bucket", "left_semi")
+
+
 def heavy_keys(rows: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> DataFrame | None:
     """Keys (column ``_heavy``) with more than ``min_rows`` rows, or None when there are none.
 
     Up to ``min_rows`` rows in all need no further look. Otherwise hash buckets are
-    counted first: each task sends at most ``HASH_BUCKETS`` small rows, not one per key.
-    Only keys of overfull buckets are then counted one by one, so on data without heavy
-    keys the second count has no input. At most ``HEAVY_KEYS`` keys come to the driver.
+    counted first: each task sends a small row per bucket, not one per key. Their number
+    follows the rows, so that only keys of overfull buckets are counted one by one, and on
+    data without heavy keys the second count has no input. Fewer than ``HEAVY_KEYS`` keys
+    can be heavy; they come to the driver.
     """
-    if row_count(rows) <= min_rows:
+    total = row_count(rows)
+    min_rows = max(min_rows, total // HEAVY_KEYS)
+    if total <= min_rows:
         return None
-    keyed = rows.select(
-        F.col(key).alias("_heavy"),
-        F.pmod(F.xxhash64(key), F.lit(HASH_BUCKETS)).cast("int").alias("_bucket"),
-    )
-    overfull = (
-        keyed.groupBy("_bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_rows).select("_bucket")
-    )
+    suspects = _suspects(rows, key, min_rows, buckets_for(total, min_rows))
     found = (
-        keyed.join(F.broadcast(overfull), "_bucket", "left_semi")
-        .groupBy("_heavy")
+        suspects.groupBy("_heavy")
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > min_rows)
-        .orderBy(F.desc("_n"), "_heavy")
-        .limit(HEAVY_KEYS)
         .select("_heavy")
         .collect()
     )

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timezone
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.functions.numbers import amount, cents, half_up_div, scaled
+from tillhouse.functions.numbers import amount, exact, half_up_div, rounded
 from tillhouse.operators.skew import HEAVY_ROWS, fits_broadcast, lookup
 
-# Discounts count in 1/10,000 of a percent, so a factor of 1 is a million of them.
-WHOLE = 1_000_000
+# Prices in whole millionths, for the exact quotient of two of them.
+MILLIONTHS = 1_000_000
 
 
 def dim_store(stores: DataFrame, as_of: date | None = None) -> DataFrame:
@@ -28,7 +29,9 @@ def dim_store(stores: DataFrame, as_of: date | None = None) -> DataFrame:
 
 def dim_product(products: DataFrame) -> DataFrame:
     """Products with their margin in percent of the price; null where the price is 0."""
-    price, cost = cents(F.col("unit_price")), cents(F.col("unit_cost"))
+    price, cost = (
+        (exact(F.col(name), name) * MILLIONTHS).cast("decimal(18,0)") for name in ("unit_price", "unit_cost")
+    )
     return products.select(
         "product_id",
         "category",
@@ -67,16 +70,21 @@ def fact_sales(
 ) -> DataFrame:
     """One row per staged transaction with its money measures, each rounded once.
 
-    Profit is rounded from the unrounded revenue and cost. Exact for discounts of up to
-    four decimals of a percent and lines below 92 billion.
+    Profit is rounded from the unrounded revenue and cost. Exact for prices of up to six
+    decimals (finer ones are an error), discounts of up to four decimals of a percent (finer
+    ones are rounded to that), and any line that ``decimal(29,6)`` holds; a larger quantity
+    than ten digits or price than twelve raises.
     """
     priced = products.select(
-        "product_id", cents(F.col("unit_price")).alias("_price"), cents(F.col("unit_cost")).alias("_cost")
+        "product_id",
+        exact(F.col("unit_price"), "unit_price").alias("_price"),
+        exact(F.col("unit_cost"), "unit_cost").alias("_cost"),
     )
-    gross = F.col("quantity") * F.col("_price")
-    cost = F.col("quantity") * F.col("_cost")
-    net = gross * (F.lit(WHOLE).cast("bigint") - scaled(F.col("discount_pct"), WHOLE // 100))
-    whole = F.lit(WHOLE).cast("bigint")
+    # Scales are chosen so that no product has to give up digits.
+    quantity = F.col("quantity").cast("decimal(10,0)")
+    gross, cost = quantity * F.col("_price"), quantity * F.col("_cost")
+    paid = F.lit(1) - F.col("discount_pct").cast("decimal(9,4)") * F.lit(Decimal("0.01"))
+    net = (gross * paid.cast("decimal(8,6)")).cast("decimal(36,12)")
     lines = lookup(transactions, priced, "product_id", "inner", fits_broadcast(products), min_rows, keys_of)
     return lines.select(
         "transaction_id",
@@ -86,8 +94,8 @@ def fact_sales(
         "customer_id",
         "quantity",
         "discount_pct",
-        amount(gross).alias("gross_revenue"),
-        amount(half_up_div(net, whole)).alias("net_revenue"),
-        amount(cost).alias("cost_of_goods"),
-        amount(half_up_div(net - cost * whole, whole)).alias("gross_profit"),
+        rounded(gross).alias("gross_revenue"),
+        rounded(net).alias("net_revenue"),
+        rounded(cost).alias("cost_of_goods"),
+        rounded(net - cost).alias("gross_profit"),
     )

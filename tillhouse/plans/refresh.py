@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
@@ -14,13 +15,14 @@ from tillhouse.operators import contracts, marts, quality, star
 from tillhouse.operators.quality import RULES, Gate, Rule
 from tillhouse.operators.skew import HEAVY_ROWS
 from tillhouse.schemas import TABLES
-from tillhouse.session import TWO_WRITERS, settings, shuffle_partitions, shuffle_width, stored_bytes
+from tillhouse.session import EXACT, TWO_WRITERS, settings, shuffle_partitions, shuffle_width, stored_bytes
 from tillhouse.sources import csv_files
 from tillhouse.sources.tables import (
     materialize,
     read_table,
     release,
     scratch_folder,
+    scratch_scope,
     table_path,
     write_table,
 )
@@ -122,18 +124,31 @@ def query(
     text: str,
     args: Mapping[str, object] | Sequence[object] | None = None,
 ) -> DataFrame:
-    """Run SQL with bound parameters over the tables, each named by its plain name."""
-    for name in tables:
-        if name in text:
-            tables[name].createOrReplaceTempView(name)
+    """Run SQL with bound parameters over the tables, each named by its plain name.
+
+    The names hold for this statement only; a view the session has under one of them is
+    there again afterwards.
+    """
+    named = [name for name in tables if re.search(rf"\b{re.escape(name)}\b", text)]
+    views = [v.name for v in spark.catalog.listTables() if v.isTemporary and v.name in named]
+    own = {name: spark.table(name) for name in views}
     bound = dict(args) if isinstance(args, Mapping) else list(args or ())
-    return spark.sql(text, args=bound) if bound else spark.sql(text)
+    try:
+        for name in named:
+            tables[name].createOrReplaceTempView(name)
+        return spark.sql(text, args=bound) if bound else spark.sql(text)
+    finally:
+        for name in named:
+            spark.catalog.dropTempView(name)
+        for name, view in own.items():
+            view.createOrReplaceTempView(name)
 
 
 @dataclass(frozen=True)
 class Validated:
     """The outcome of the quality gate; all frames read the files under ``scratch``."""
 
+    raw: DataFrame
     stores: DataFrame
     products: DataFrame
     clean: DataFrame
@@ -151,16 +166,16 @@ def validate(
     and file order is fixed. The annotated rows, the one result of the wide shuffle, are
     written there too, split by status; the three results read those files.
     """
-    scratch = scratch_folder(spark)
-    folders = [f"{scratch}/{name}" for name in ("stores", "products", "transactions", "annotated")]
+    folders = [scratch_folder(spark) for _ in range(4)]
     stores = materialize(exports.stores, folders[0])
     products = materialize(exports.products, folders[1])
     raw = materialize(exports.transactions, folders[2])
     width = shuffle_width(spark, shuffle_partitions(stored_bytes(spark, folders[2])))
-    with settings(spark, width | TWO_WRITERS):
+    with settings(spark, width | TWO_WRITERS | EXACT):
         rows = quality.annotate(raw, stores, products, exports.order, rules, min_rows)
         rows = materialize(rows.withColumn("is_clean", F.col(quality.REASONS) == ""), folders[3], "is_clean")
     return Validated(
+        raw,
         stores,
         products,
         quality.clean(rows.filter("is_clean").drop("is_clean")),
@@ -182,23 +197,44 @@ def run_pipeline(
 ) -> dict[str, object]:
     """Validate, gate, load, build and check; every table is replaced.
 
-    The report is published before the gate, and the gate is checked before the first
-    table is touched.
+    The report is published before the gate. The gate, the keys and the required columns of
+    all that is loaded are checked before the first table is touched. Scratch tables are gone
+    when the run ends, also by an error.
     """
+    with scratch_scope(spark), settings(spark, EXACT):
+        return _refresh(spark, exports, root, as_of, gate, report_path, rules, min_rows)
+
+
+def _refresh(
+    spark: SparkSession,
+    exports: Exports,
+    root: str,
+    as_of: date | None,
+    gate: Gate,
+    report_path: str | None,
+    rules: Sequence[Rule],
+    min_rows: int,
+) -> dict[str, object]:
     checked = validate(spark, exports, rules, min_rows)
     totals = checked.report.first()
     published = spark.createDataFrame([totals], checked.report.schema)
     write_report(published, report_path or table_path(root, "dq_report"), rules)
     gate.check(totals)
 
-    write_table(checked.stores, root, "stg_stores")
-    write_table(checked.products, root, "stg_products")
-    tables = stored_tables(spark, root)
+    loaded = {
+        "stg_stores": checked.stores,
+        "stg_products": checked.products,
+        "stg_transactions": star.staged(checked.clean),
+        "stg_quarantined_transactions": checked.quarantined,
+    }
     # Keys of the later tables are unique by construction: one row per id or group.
-    contracts.require_unique_keys({n: tables[n] for n in ("stg_stores", "stg_products")})
-    write_table(star.staged(checked.clean), root, "stg_transactions")
-    write_table(checked.quarantined, root, "stg_quarantined_transactions")
+    contracts.require_unique_keys({n: loaded[n] for n in ("stg_stores", "stg_products")})
+    contracts.require_not_null(loaded | {"dim_product": star.dim_product(checked.products)})
+    contracts.require_partition(quality.partition_check(checked.raw, checked.clean, checked.quarantined))
+    for name, rows in loaded.items():
+        write_table(rows, root, name)
     release(spark, *checked.scratch)
+    tables = stored_tables(spark, root)
 
     width = shuffle_width(spark, shuffle_partitions(stored_bytes(spark, table_path(root, "stg_transactions"))))
     with settings(spark, width):

@@ -19,11 +19,12 @@ STRING, DOUBLE, LONG, INT = StringType(), DoubleType(), LongType(), IntegerType(
 
 @dataclass(frozen=True)
 class Table:
-    """A warehouse table: its columns and its primary key (empty: none)."""
+    """A warehouse table: its columns, its primary key (empty: none) and how it is sorted at rest."""
 
     name: str
     schema: StructType
     keys: tuple[str, ...] = ()
+    layout: tuple[str, ...] = ()
 
     @property
     def columns(self) -> list[str]:
@@ -38,6 +39,7 @@ def _columns(required: dict[str, DataType], optional: tuple[str, ...] = ()) -> S
     return StructType([StructField(n, t, n in optional) for n, t in required.items()])
 
 
+# Column names of the exports and tables.
 # Raw exports. Nothing is required here: the gate and the contracts decide.
 STORES = StructType(
     [
@@ -118,6 +120,7 @@ TABLES: dict[str, Table] = {
             "mart_daily_sales_by_store",
             _columns({"date_key": STRING, "store_id": STRING, "region": STRING} | _SALES),
             ("date_key", "store_id"),
+            layout=("store_id", "date_key"),
         ),
         Table(
             "mart_monthly_sales_by_category",
@@ -132,6 +135,7 @@ TABLES: dict[str, Table] = {
                 ("customer_id",),
             ),
             ("customer_id",),
+            layout=("customer_id",),
         ),
     )
 }

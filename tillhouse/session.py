@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 SETTINGS = {
+    # Overflow and bad casts raise; without it they would wrap or turn into nulls.
+    "spark.sql.ansi.enabled": "true",
     # Dates are plain calendar text; keep every conversion in one zone.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -19,6 +21,8 @@ SETTINGS = {
 }
 
 
+EXACT = {"spark.sql.ansi.enabled": "true"}
+
 # Shuffled bytes per stored byte of compressed Parquet, roughly.
 EXPANSION = 3
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tillhouse.schemas import PRODUCTS, STORES, TRANSACTIONS
 
@@ -14,30 +14,45 @@ NULL_TEXTS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Columns that give the order of the rows over all files of an export: file, split,
-# line within the split.
+# Columns that give the order of the rows over all files of an export: path of the file,
+# split, line within the split.
 FILE_ORDER = ["_file", "_split", "_line"]
 
 
+def _typed(text: Column, field: StructField) -> Column:
+    """A field's text as its type. A whole number may be written as ``2.0``; other text fails."""
+    if isinstance(field.dataType, StringType):
+        return text
+    value = F.trim(text)
+    whole = isinstance(field.dataType, LongType)
+    number = value.try_cast("decimal(38,10)" if whole else "double")
+    wrong = number.isNull() | (number != F.floor(number)) if whole else number.isNull()
+    kind = "a whole number" if whole else "a number"
+    failure = F.raise_error(F.concat(F.lit(f"not {kind} in {field.name}: "), value)).cast(field.dataType)
+    return F.when(value.isNotNull() & wrong, failure).otherwise(number.cast(field.dataType))
+
+
 def _read(spark: SparkSession, path: str, schema: StructType, ordered: bool = False) -> DataFrame:
+    """Columns are found by their names in the header, in any order; others are left out."""
     rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        # Fail on a header in another column order and on text in a number column.
+        spark.read.option("header", True)
+        # All files must have the header of the first.
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .option("escape", '"')
+        .option("recursiveFileLookup", True)
         .csv(path)
     )
-    columns = [
-        F.when(~F.col(f.name).isin(NULL_TEXTS), F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, StringType)
-        else F.col(f.name)
-        for f in schema.fields
-    ]
+    lacking = [name for name in schema.names if name not in rows.columns]
+    if lacking:
+        raise ValueError(f"no column {', '.join(lacking)} in {path}")
+    columns = []
+    for field in schema.fields:
+        text = F.when(~F.col(field.name).isin(NULL_TEXTS), F.col(field.name))
+        columns.append(_typed(text, field).alias(field.name))
     if ordered:
         columns += [
-            F.col("_metadata.file_name").alias("_file"),
+            F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_split"),
             F.monotonically_increasing_id().alias("_line"),
         ]

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,14 +20,45 @@ def table_path(root: str, name: str) -> str:
 
 
 def write_table(rows: DataFrame, root: str, name: str) -> None:
-    """Replace a warehouse table; nulls in required columns fail the write."""
-    conform(rows, TABLES[name]).write.mode("overwrite").parquet(table_path(root, name))
+    """Replace a warehouse table; nulls in required columns fail the write.
+
+    A table with a layout is cut into ranges of its columns and sorted by them, so that a
+    lookup by them skips the other files and row groups.
+    """
+    rows, layout = conform(rows, TABLES[name]), TABLES[name].layout
+    if layout:
+        rows = rows.repartitionByRange(*layout).sortWithinPartitions(*layout)
+    rows.write.mode("overwrite").parquet(table_path(root, name))
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name].schema).parquet(table_path(root, name))
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch folders handed out inside, for the one who releases them."""
+    folders: list[str] = []
+    _scopes.append(folders)
+    try:
+        yield folders
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not folders]
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders handed out inside are gone afterwards, however the block ends."""
+    with recorded() as folders:
+        try:
+            yield
+        finally:
+            release(spark, *folders)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh folder under the checkpoint folder of the cluster.
 
@@ -38,7 +71,10 @@ def scratch_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tillhouse-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    folder = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    for folders in _scopes:
+        folders.append(folder)
+    return folder
 
 
 def materialize(rows: DataFrame, folder: str, *partition_by: str) -> DataFrame:
@@ -48,6 +84,8 @@ def materialize(rows: DataFrame, folder: str, *partition_by: str) -> DataFrame:
 
 
 def release(spark: SparkSession, *folders: str) -> None:
-    """Give up the files of scratch tables: each is overwritten with an empty one."""
+    """Delete scratch folders, on whatever file system they are."""
+    context = spark.sparkContext
     for folder in folders:
-        spark.range(0).coalesce(1).write.mode("overwrite").parquet(folder)
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
