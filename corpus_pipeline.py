@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillhouse.llm import bpe, decontaminate, jaccard, quality_rules, substrings
-from tillhouse.llm.common import ROW, recorded, stored
-from tillhouse.sources.tables import release
+from tillhouse.llm.common import ROW, stored
+from tillhouse.sources.tables import recorded, release
 
 # Scratch tables of the stage that ran last; its result is written when the next one starts.
 _scratch: list[str] = []
