@@ -403,3 +403,20 @@ def test_query_equals_its_sql(spark, name):
 def test_one_query_per_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_large_sides_are_shuffled(spark, odd, odd_rows, monkeypatch):
+    """What passes no size check is joined by a shuffle, with the same rows."""
+    for module in (substrings, jaccard, decontaminate, quality_rules, warc, licenses):
+        for name in ("small", "small_lists"):
+            monkeypatch.setattr(module, name, lambda side, *_: side, raising=False)
+    rows = texts_of(odd)
+    got = rows_of(jaccard.classes(odd), "doc_id", "n_links", "class_id")
+    assert got == sorted(brute.similar(rows), key=repr)
+    got = rows_of(substrings.digests(odd), "doc_id", "n_words", "n_removed")
+    assert got == sorted(((d, len(w), len(gone)) for d, w, gone in brute.without_passages(rows)), key=repr)
+    items = [(1, " ".join(odd_rows[0][1].split()[20:45]))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = rows_of(decontaminate.judged(odd, benchmark), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == sorted(brute.contaminated(rows, items), key=repr)
+    assert jaccard.distinct(odd).count() == 16 and quality_rules.keep(odd).count() == 13

@@ -15,6 +15,8 @@ from tillhouse.sources.tables import materialize, scratch_folder
 
 # Most rows of a table of ids and numbers that is sent to every executor; counted before.
 SMALL_ROWS = 500_000
+# And most entries, of a few numbers each, where rows hold lists.
+SMALL_ENTRIES = 1_000_000
 
 # Name under which a whole input row travels beside computed columns, so that extra
 # columns of the input never clash with ours.
@@ -37,6 +39,12 @@ def small(side: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(side) if fits_broadcast(side, rows) else side
 
 
+def small_lists(side: DataFrame, lists: str, entries: int = SMALL_ENTRIES) -> DataFrame:
+    """The same for rows with a list each: what counts is the entries of all lists."""
+    total = side.agg(F.sum(F.size(lists) + 1)).first()[0] or 0
+    return F.broadcast(side) if total <= entries else side
+
+
 def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(ROW)
 

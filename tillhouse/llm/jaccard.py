@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.llm.common import ROW, grouped, slices, small, stored, text_bytes, types, whole_row
+from tillhouse.llm.common import ROW, grouped, slices, small, small_lists, stored, text_bytes, types, whole_row
 from tillhouse.llm.graph import components
 from tillhouse.llm.words import BY_SPACE, grams, mixed, words
 
@@ -332,9 +332,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         )
     )
 
-    def with_text(wanted: DataFrame) -> DataFrame:
+    def with_text(wanted: DataFrame, lists: str) -> DataFrame:
         """Texts of the wanted nodes, found by the doc_id of one of their documents."""
-        return texts.drop("_text_key").join(small(wanted), "doc_id")
+        return texts.drop("_text_key").join(small_lists(wanted, lists), "doc_id")
 
     members = nodes.select("node", F.explode("paths").alias("path"))
     buckets = stored(_buckets(members))
@@ -347,7 +347,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
             members.join(large, "path").groupBy("node").agg(F.collect_list("path").alias("parents")).join(nodes, "node")
         )
         children = stored(
-            with_text(parents.select("doc_id", "node", "parents"))
+            with_text(parents.select("doc_id", "node", "parents"), "parents")
             .select("text", "node", "parents")
             .mapInArrow(_split(threshold), "node binary, parent bigint, path bigint")
             .distinct()
@@ -383,7 +383,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         .select("doc_id", "node", "copies", "places")
     )
     compared = stored(
-        with_text(wanted)
+        with_text(wanted, "places")
         .select("text", "node", "copies", "places")
         .mapInArrow(_with_sets, PLACE_SQL)
         .repartition("place")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.llm.common import ROW, grouped, slices, stored, text_bytes, types, whole_row
+from tillhouse.llm.common import ROW, grouped, slices, small_lists, stored, text_bytes, types, whole_row
 from tillhouse.llm.fm_index import FMIndex
 from tillhouse.llm.words import BY_SPACE, grams, sliding_min, words
 
@@ -29,8 +29,6 @@ SEGMENT = 512
 HOT = 5000
 # Bytes of distinct segments in one index shard, about.
 SHARD_BYTES = 4 << 20
-# Entries of a table of intervals that may be broadcast, counted before.
-SMALL_ENTRIES = 1_000_000
 
 RUN = "struct<anchor:bigint,start:int,stop:int>"
 RUNS = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
@@ -175,12 +173,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _bounded(table: DataFrame, entries: str) -> DataFrame:
-    """Broadcast if the lists of the table have few entries in all, counted first."""
-    total = table.agg(F.sum(F.size(entries) + 1)).first()[0] or 0
-    return F.broadcast(table) if total <= SMALL_ENTRIES else table
-
-
 def _document_key() -> list:
     """A document is its id and text: rows that repeat an id with another text are apart."""
     return [F.col("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key")]
@@ -217,7 +209,7 @@ def intervals(docs: DataFrame) -> DataFrame:
         return stored(rows.groupBy("doc_id", "key").agg(F.collect_list(run).alias("runs")))
 
     def with_text(wanted: DataFrame) -> DataFrame:
-        return texts.join(_bounded(wanted, "runs"), ["doc_id", "key"]).select("doc_id", "key", "text", "runs")
+        return texts.join(small_lists(wanted, "runs"), ["doc_id", "key"]).select("doc_id", "key", "text", "runs")
 
     wanted = candidates.filter(F.col("n") <= HOT).select("doc_id", "key", "anchor", "start", "stop")
     hot = shared.filter(F.col("n") > HOT)
@@ -282,7 +274,7 @@ def removed(docs: DataFrame, carry: bool = False) -> DataFrame:
     cuts = intervals(docs)
     carried = whole_row(docs).alias("carried") if carry else docs["doc_id"].alias("carried")
     texts = docs.select(carried, *_document_key(), F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(_bounded(cuts, "cuts"), ["doc_id", "key"], "left").select("carried", "text", "cuts")
+    joined = texts.join(small_lists(cuts, "cuts"), ["doc_id", "key"], "left").select("carried", "text", "cuts")
     out = joined.mapInArrow(_cut, types(joined, "carried", n_words="bigint", n_removed="bigint", kept="string"))
     return out.withColumnRenamed("carried", ROW if carry else "doc_id")
 
