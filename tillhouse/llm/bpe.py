@@ -29,7 +29,7 @@ LEAF_CHARS = 2048  # of text that is split at once
 LEAF_BYTES = 16  # of a piece that is merged at once
 LEAF_TOKENS = 4096  # that are decoded at once
 # Pieces whose tokens a worker remembers; it forgets them all beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 NEVER = 1 << 62
 # Letters below U+0250 apart from the two ordinal signs, and texts of them and ASCII without
 # the separators that only some libraries count as white space. In such texts the classes

@@ -55,7 +55,7 @@ def parallel(rows: DataFrame, rows_per_task: int) -> int:
 
 
 def slices(
-    batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20, most_rows: int = 1 << 15
+    batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 19, most_rows: int = 1 << 15
 ) -> Iterator[pa.RecordBatch]:
     """Parts of a batch holding about ``most_bytes`` of one text column; every row once."""
     texts = batch.column(batch.schema.get_field_index(column))

@@ -28,7 +28,7 @@ SEGMENT = 512
 # Segments per least hash above which its windows are counted one by one first.
 HOT = 5000
 # Bytes of distinct segments in one index shard, about.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 RUN = "struct<anchor:bigint,start:int,stop:int>"
 RUNS = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
