@@ -146,6 +146,27 @@ def test_jaccard_dense_group(spark):
     assert got == sorted(brute.similar(rows), key=repr)
 
 
+def test_jaccard_recall_of_paths_split_twice():
+    """Pairs just at the threshold, one set inside the other, that must share a path on three levels."""
+    rnd, pairs = np.random.default_rng(3), 2000
+    seeds = jaccard.mixed(np.arange(1, jaccard.runs_for(jaccard.RECALL, jaccard.SPLITS) + 1, dtype=np.uint64))
+    large, small = jaccard.limits_of(np.array([100, 80]), jaccard.THRESHOLD)
+    found = 0
+    for _ in range(pairs):
+        tokens = rnd.integers(0, 1 << 48, 100, dtype=np.uint64)
+        shared = set(seeds.tolist())
+        for _ in range(1 + jaccard.SPLITS):
+            shared = {
+                int(x)
+                for path in shared
+                for x in np.intersect1d(
+                    jaccard.chosen(tokens, large, np.uint64(path))[1], jaccard.chosen(tokens[:80], small, np.uint64(path))[1]
+                )
+            }
+        found += bool(shared)
+    assert found >= 0.996 * pairs  # 0.998 but for chance
+
+
 def test_jaccard_distinct(odd, odd_rows, nothing):
     kept = jaccard.distinct(odd)
     assert kept.columns == odd.columns

@@ -39,9 +39,12 @@ _ALL = 1 << 64
 
 
 def runs_for(recall: float, splits: int) -> int:
-    """Runs that reach ``recall`` at the threshold: survival of a shared path over the levels."""
+    """Runs that reach ``recall`` at the threshold: survival of a shared path over the levels.
+
+    These are the first path and one more per split.
+    """
     survives = 1.0
-    for _ in range(splits):
+    for _ in range(splits + 1):
         survives = 1 - math.exp(-survives)
     return math.ceil(math.log(1 - recall) / math.log(1 - survives))
 
