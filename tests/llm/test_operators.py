@@ -411,6 +411,16 @@ def test_language(spark, odd, nothing):
     assert {r["score"] for r in language.predict(odd.filter("doc_id = 1"), {"en": b"some words"}).collect()} == {1.0}
 
 
+def test_languages_of_many_copies(spark):
+    """The sample follows the different texts of a language, not its rows."""
+    copied = [f"kopio {i} tekstistä" for i in range(5)]
+    copies = spark.range(20_000).select("id", F.element_at(F.array(*map(F.lit, copied)), (F.col("id") % 5 + 1).cast("int")), F.lit("fi"))
+    others = spark.range(1000).select("id", F.concat(F.lit("word "), "id"), F.lit("en"))
+    found = language.learn(copies.union(others).toDF("doc_id", "text", "lang"))
+    assert set(found["fi"].decode().split("\n")) == set(copied)
+    assert len(set(found["en"].decode().split("\n"))) == language.SAMPLE_TEXTS
+
+
 # Queries --------------------------------------------------------------------------------
 
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tillhouse.llm.common import types
 
-# The labelled sample is bounded: per language about so many texts, and of each at most
-# so many characters from its middle.
+# The labelled sample is bounded: per language so many different texts, or all if there are
+# fewer, and of each at most so many characters from its middle.
 SAMPLE_TEXTS = 160
 SAMPLE_CHARS = 800
 LEVEL = 6
@@ -36,34 +36,39 @@ def learn(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CH
     """Dictionary bytes per language from ``labelled`` (``doc_id``, ``text``, ``lang``).
 
     Which texts are sampled depends on a hash of the text alone, so that repeated texts
-    count once at most in place of each other. Rows without text or language are left out;
+    count once, however many rows have them. Rows without text or language are left out;
     no rows give no language.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "lang", F.lower("text").alias("text")
     )
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
+    drawn = F.xxhash64("text")
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count_distinct(drawn).alias("n")).collect()}
     wide = 1 << 30
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(wide, wide * 2 * texts // n + 1))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(wide))
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2).cast("int") + 1)
-    rows = (
-        usable.withColumn("_drawn", drawn)
-        .filter(F.col("_drawn") < F.element_at(share, F.col("lang")))
-        .select("lang", "_drawn", F.substr("text", middle, F.lit(chars)).alias("part"))
-        .distinct()
-        .collect()  # about 2 * texts rows of `chars` characters per language
-    )
-    parts: dict[str, list[tuple[int, str]]] = {lang: [] for lang in counts}
-    for row in rows:
-        parts[row["lang"]].append((row["_drawn"], row["part"]))
+    part = F.substr("text", middle, F.lit(chars)).alias("part")
+    shares = {lang: min(wide, wide * 2 * texts // n + 1) for lang, n in counts.items()}
+    parts: dict[str, list[tuple[int, str]]] = {}
+    while shares:
+        share = F.create_map(*[F.lit(x) for item in shares.items() for x in item])
+        rows = (
+            usable.withColumn("_drawn", F.pmod(drawn, F.lit(wide)))
+            .filter(F.col("_drawn") < F.element_at(share, F.col("lang")))
+            .select("lang", "_drawn", part)
+            .distinct()
+            .collect()  # about 2 * texts rows of `chars` characters per language
+        )
+        parts |= {lang: [] for lang in shares}
+        for row in rows:
+            parts[row["lang"]].append((row["_drawn"], row["part"]))
+        # A language that drew too few by chance is drawn again, twice as wide.
+        shares = {
+            lang: min(wide, 2 * n) for lang, n in shares.items() if n < wide and len(parts[lang]) < min(texts, counts[lang])
+        }
     # zstandard finds the end of a dictionary cheapest, hence the shortest part goes last.
     return {
         lang: "\n".join(sorted((p for _, p in sorted(found)[:texts]), key=len, reverse=True)).encode()
         for lang, found in sorted(parts.items())
-        if found
     }
 
 
