@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -120,6 +121,15 @@ def test_a_notice_of_no_known_family_is_unknown(spark):
     assert found.get(1) == "unknown" and found.get(2) in (None, "unknown")
 
 
+def test_notices_wrapped_over_lines(spark):
+    """Each longer template wrapped, in a comment between ordinary lines, is one notice of its family."""
+    wrapped = [(f, textwrap.wrap(t, 72)) for f, ts in licenses.TEMPLATES.items() for t in ts if len(t) > 72]
+    rows = [(i, "\n".join(["# some ordinary words", *(f"# {x}" for x in lines), "# and more of them"])) for i, (_, lines) in enumerate(wrapped)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["family"], r["n_notices"], r["line"]) for r in licenses.licences(docs).collect()}
+    assert [found[i] for i in range(len(wrapped))] == [(f, 1, 1) for f, _ in wrapped]
+
+
 # 2 Jaccard join -------------------------------------------------------------------------
 
 
