@@ -1,5 +1,5 @@
 import pytest
-from conftest import GATE_PRODUCTS, GATE_ROWS, GATE_STORES
+from exports import GATE_PRODUCTS, GATE_ROWS, GATE_STORES
 from pyspark.sql import functions as F
 
 from tillhouse.operators import contracts, quality

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
-from conftest import GATE_PRODUCTS, GATE_ROWS, GATE_STORES, SALES_ROWS
+from exports import GATE_PRODUCTS, GATE_ROWS, GATE_STORES, SALES_ROWS
 from pyspark.errors import PySparkException
 
 from tillhouse.operators import analytics, contracts

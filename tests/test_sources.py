@@ -1,5 +1,5 @@
 import pytest
-from conftest import GATE_ROWS
+from exports import GATE_ROWS
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 

@@ -3,7 +3,7 @@ from datetime import date
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
-from conftest import GATE_PRODUCTS, GATE_STORES, SALES_ROWS
+from exports import GATE_PRODUCTS, GATE_STORES, SALES_ROWS
 from pyspark.errors import PySparkException
 
 from tillhouse.operators import marts, quality, star
