@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))  # for brute
-
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Extra columns named like those the operators compute.
 CLASHES = (

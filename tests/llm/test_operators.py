@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-import brute
+import llm_brute as brute
 import check_oracles
 from tillhouse.llm import (
     bpe, decontaminate, graph, jaccard, language, licenses, oracle, quality_rules, queries, sharding, substrings,

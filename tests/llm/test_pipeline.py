@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 import tiktoken  # noqa: F401  the library whose ids are expected
 
-import brute
+import llm_brute as brute
 import check_oracles
 import corpus_pipeline
 from tillhouse.llm import oracle
