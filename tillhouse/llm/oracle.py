@@ -155,10 +155,86 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(copies, 1)::BI
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN copies USING (doc_id)
 """
 
+MERKLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '-') AS tree, text,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR END
+         || CASE WHEN source IS NULL THEN '-' ELSE strlen(source)::VARCHAR || ':' || source END
+         || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang)::VARCHAR || ':' || lang END
+         || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR END AS head,
+         -- CRC-32 bit by bit: each byte enters with the first of its eight steps.
+         xor(4294967295::BIGINT, list_reduce(
+           [4294967295::BIGINT] || flatten(list_transform(
+             string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+           lambda a, x: xor(xor(a, x) >> 1, 3988292384::BIGINT * (xor(a, x) & 1)))) AS crc
+  FROM documents
+), changed AS (
+  SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM d
+), leaves AS (
+  SELECT rid, doc_id, tree,
+         sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text)::VARCHAR || ':' || text END) AS leaf,
+         sha256(head || CASE WHEN other IS NULL THEN '-' ELSE strlen(other)::VARCHAR || ':' || other END) AS changed
+  FROM changed
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos FROM leaves
+), nodes AS (
+  SELECT tree, 0 AS lvl, pos AS i, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes) WHERE n > 1 GROUP BY tree, lvl, i // 3
+), subroots AS (
+  SELECT tree, arg_max(h, lvl) AS subroot, max(lvl) AS height FROM nodes GROUP BY tree
+), sources AS (
+  SELECT *, row_number() OVER (ORDER BY tree) - 1 AS pos FROM subroots
+), tops AS (
+  SELECT 0 AS lvl, pos AS i, subroot AS h FROM sources
+  UNION ALL
+  SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER () AS n FROM tops) WHERE n > 1 GROUP BY lvl, i // 3
+), root AS (
+  SELECT arg_max(h, lvl) AS root, max(lvl) AS height FROM tops
+), every AS (
+  SELECT tree, lvl, i, h FROM nodes UNION ALL SELECT NULL, lvl, i, h FROM tops
+), steps AS (
+  SELECT rid, step, tree, lvl, (pos / power(3, lvl))::BIGINT AS place FROM (
+    SELECT rid, lvl AS step, placed.tree, lvl, placed.pos - placed.pos % power(3, lvl)::BIGINT AS pos
+    FROM placed JOIN subroots USING (tree), unnest(range(height)) AS t(lvl)
+    UNION ALL
+    SELECT rid, sources.height + lvl, NULL, lvl, sources.pos - sources.pos % power(3, lvl)::BIGINT
+    FROM placed JOIN sources USING (tree), root, unnest(range(root.height)) AS t(lvl))
+), siblings AS (
+  SELECT rid, step, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < place), '') AS l,
+         coalesce(string_agg(h, '' ORDER BY i) FILTER (i > place), '') AS r
+  FROM steps JOIN every ON steps.tree IS NOT DISTINCT FROM every.tree AND steps.lvl = every.lvl AND i // 3 = place // 3
+  GROUP BY rid, step
+), folds AS (
+  SELECT rid, 0::BIGINT AS step, changed AS h FROM placed
+  UNION ALL
+  SELECT rid, folds.step + 1, sha256(l || h || r) FROM folds JOIN siblings USING (rid, step)
+), ends AS (
+  SELECT rid, arg_max(h, step) AS folded_root FROM folds GROUP BY rid
+), proofs AS (
+  SELECT rid, string_agg(l || r, '' ORDER BY step) AS proof FROM siblings GROUP BY rid
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subroots USING (tree) JOIN ends USING (rid) LEFT JOIN proofs USING (rid) CROSS JOIN root
+"""
+
+EXACT = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM d WINDOW same AS (PARTITION BY text_sha256)
+"""
+
 SQL = {
     "op2_jaccard_join": JACCARD,
     "op3_substring_dedup": SUBSTRINGS,
     "op5_decontamination": DECONTAMINATION,
     "op6_warc": WARC,
     "op7_quality_rules": QUALITY_RULES,
+    "op11_merkle_manifest": MERKLE,
+    "op13_exact_dedup": EXACT,
 }

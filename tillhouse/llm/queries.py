@@ -8,7 +8,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillhouse.llm import bpe, decontaminate, jaccard, language, licenses, oracle, quality_rules, sharding, substrings, toxicity, warc
+from tillhouse.llm import (
+    bpe, decontaminate, exact, jaccard, language, licenses, merkle, oracle, quality_rules, sharding, substrings, toxicity, warc,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -59,6 +61,14 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(table(spark, folder, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.judged(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan,
@@ -71,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_sharding,
         op10_language,
+        op11_merkle_manifest,
+        op13_exact_dedup,
     )
 } | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = oracle.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
