@@ -9,10 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tillhouse.llm import (
-    bpe, decontaminate, exact, jaccard, language, licenses, merkle, oracle, quality_rules, sharding, substrings, toxicity, warc,
+    alignment, bpe, decontaminate, exact, jaccard, language, licenses, merkle, oracle, quality_rules, sharding, substrings, toxicity, warc,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -65,6 +67,10 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verified(table(spark, folder, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.weighed(table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_MODEL)
+
+
 def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.judged(table(spark, folder, "documents"))
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sharding,
         op10_language,
         op11_merkle_manifest,
+        op12_token_alignment,
         op13_exact_dedup,
     )
 } | {"pipeline": corpus_pipeline.run}
