@@ -5,10 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import sentencepiece
 import tiktoken
+from tokenizers import Tokenizer
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -129,3 +132,117 @@ def quality(text, limits):
     covered = {i + j for at in seen.values() if len(at) > 1 for i in at for j in range(5)}
     counts = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
     return counts, len(w) < limits.min_words or 100 * len(covered) > limits.repeat_percent * len(w), len(lines)
+
+
+def exact(rows):
+    """Per row the id that stays, rows of its text, and the digest; null ids come last."""
+    held = defaultdict(list)
+    for doc_id, text in rows:
+        held[re.sub(r"[\x20\x09-\x0D]+", " ", text or "")].append(doc_id)
+    out = []
+    for text, ids in held.items():
+        ids.sort(key=lambda i: (i is None, i))
+        out += [(i, ids[0], len(ids), n == 0, sha(text)) for n, i in enumerate(ids)]
+    return out
+
+
+def _leaf(row):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def _levels(digests):
+    levels = [digests]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + 3])) for i in range(0, len(levels[-1]), 3)])
+    return levels
+
+
+def merkle(rows):
+    """Per row (doc_id, source, lang, n_chars, text) what the manifest says of it."""
+    by = defaultdict(list)
+    for row in rows:
+        by[row[1]].append(row)
+    names = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    for held in by.values():
+        held.sort(key=lambda r: (r[0] is not None, r[0] or 0, _leaf(r)))
+    trees = {s: _levels([_leaf(r) for r in by[s]]) for s in names}
+    top = _levels([trees[s][-1][0] for s in names])
+    out = []
+    for i, s in enumerate(names):
+        for j, row in enumerate(by[s]):
+            text = row[4]
+            if row[0] is not None and text is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0:
+                text = text.replace("\n", "")
+            digest, proof = _leaf((*row[:4], text)), []
+            for levels, at in ((trees[s], j), (top, i)):
+                for level in levels[:-1]:
+                    run = list(level[at // 3 * 3 : at // 3 * 3 + 3])
+                    proof += run[: at % 3] + run[at % 3 + 1 :]
+                    run[at % 3] = digest
+                    digest, at = sha("".join(run)), at // 3
+            root = top[-1][0]
+            out.append((row[0], _leaf(row), trees[s][-1][0], root, sha("".join(proof)), digest, digest == root))
+    return out
+
+
+def token_tables():
+    """Both tokenizers, and the bytes of each of their ids."""
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    printable, code, more = {*range(33, 127), *range(161, 173), *range(174, 256)}, {}, 256
+    for byte in range(256):
+        if byte in printable:
+            code[chr(byte)] = byte
+        else:
+            code[chr(more)] = byte
+            more += 1
+    bytes_a = {i: bytes(code[c] for c in entry) for entry, i in a.get_vocab(with_added_tokens=False).items()}
+    pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+    bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("\u2581", " ").encode() for p in pieces]
+    return a, b, bytes_a, bytes_b
+
+
+def token_alignment(rows):
+    a, b, bytes_a, bytes_b = token_tables()
+    docs, holders = [], defaultdict(int)
+    for doc_id, text in rows:
+        sides = ([], [])
+        if text:
+            sides = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text))
+            if any(b"".join(t[i] for i in ids) != (" " + text).encode() for t, ids in zip((bytes_a, bytes_b), sides)):
+                sides = ([], [])
+        spans = []
+        for table, ids in zip((bytes_a, bytes_b), sides):
+            at, held = 0, []
+            for i in ids:
+                held.append((at, at + len(table[i]), i))
+                at += len(table[i])
+            spans.append(held)
+        links, low = [], 0
+        for start, end, i in spans[0]:
+            while spans[1][low][1] <= start:
+                low += 1
+            j = low
+            while j < len(spans[1]) and spans[1][j][0] < end:
+                links.append((i, spans[1][j][2]))
+                j += 1
+        groups, at = [], [0, 0]
+        for end in sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]}):
+            parts = []
+            for n, side in enumerate(spans):
+                first = at[n]
+                while at[n] < len(side) and side[at[n]][1] <= end:
+                    at[n] += 1
+                parts.append(",".join(str(i) for _, _, i in side[first : at[n]]))
+            groups.append("|".join(parts))
+        for pair in set(links):
+            holders[pair] += 1
+        docs.append((doc_id, len(sides[0]), len(sides[1]), len(groups), links, sha(";".join(groups)) if groups else ""))
+    most = defaultdict(int)
+    for (i, _), n in holders.items():
+        most[i] = max(most[i], n)
+    return [
+        (d, na, nb, n, len(ls), sum(holders[p] == most[p[0]] for p in ls), sum(holders[p] for p in ls), h)
+        for d, na, nb, n, ls, h in docs
+    ]

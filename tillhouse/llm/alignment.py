@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from tillhouse.llm.common import slices, small, stored, types
+from tillhouse.llm.common import slices, small, small_batches, stored, types
 from tillhouse.operators.skew import fits_broadcast
 
 # Consecutive ends that one lane of the galloping search goes through.
-LANE = 64
+LANE = 16
 # Characters of one text that are handled at once, about, and pieces that are remembered.
 CHUNK = 1 << 18
 REMEMBERED = 1 << 18
+# New pieces that are encoded in a row.
+ROW_PIECES = 64
 # Pairs that are sent to every executor.
 SMALL_PAIRS = 1_000_000
 
@@ -44,6 +46,7 @@ SMALL_PAIRS = 1_000_000
 # here is at least what any of the two libraries takes for it.
 _SPACE = r"\s᠎​﻿"
 PIECES = re.compile(rf"(?:[ \n][^{_SPACE}]+|[{_SPACE}]+[^{_SPACE}]*)(?:(?![ \n][^{_SPACE}])[{_SPACE}]+[^{_SPACE}]*)*")
+JOINS = re.compile(rf"[ \n][^{_SPACE}](?:.*[^{_SPACE}])?", re.DOTALL)
 BORDER = re.compile(rf"(?<=[^{_SPACE}])(?=[ \n][^{_SPACE}])")
 
 LINKS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())]))
@@ -112,35 +115,81 @@ class Pair:
         self.written = [
             f"{i}{end}".encode() for side, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for i in range(len(side)) for end in ends
         ]
+        self.known = {}
         self._forget()
 
     def _forget(self) -> None:
+        """Remember nothing but the pieces that came again since they were learned."""
+        again = [p for p, i in self.known.items() if self.met[i] > 1] if self.known else []
         self.known: dict[str, int] = {}
         self.ids = (array("i"), array("i"))
         self.ends = (array("q", [0]), array("q", [0]))
         self.same = array("b")
+        self.met = np.zeros(REMEMBERED, np.int64)
+        if len(again) <= REMEMBERED // 2:
+            self._learn(again)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces, each with the space or line end before it."""
+        """Encode pieces, each with the space or line end before it.
+
+        They are encoded in short rows: no token reaches from one piece into the next. Rows
+        whose bytes do not come back are encoded piece by piece.
+        """
+        whole = [p for p in pieces if JOINS.fullmatch(p)] if self.cuts else []
+        rows = [whole[i : i + ROW_PIECES] for i in range(0, len(whole), ROW_PIECES)]
+        if rows and not self._learn_rows(rows):
+            rows = [row for row in rows if not self._learn_rows([row])]
+            pieces = [p for p in pieces if p not in self.known]
+        else:
+            pieces = [p for p in pieces if p not in self.known] if len(whole) < len(pieces) else []
+        if pieces:
+            self._learn_each(pieces)
+
+    def _learn_rows(self, rows: list[list[str]]) -> bool:
+        texts = ["".join([" x", *row]) for row in rows]  # the second vocabulary puts the first space in front by itself
+        data = "".join(texts).encode()
+        sizes = [n for row in rows for n in (2, *map(len, map(str.encode, row)))]
+        opens = np.cumsum([0, *(len(row) + 1 for row in rows)])[:-1]  # where the x of each row is
+        borders, sides = np.cumsum(sizes), []
+        for lists, table, lengths in zip(
+            ([e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)),
+            (self.bytes_a, self.bytes_b), self.lengths,
+        ):
+            flat = list(chain.from_iterable(lists))
+            if b"".join(map(table.__getitem__, flat)) != data:
+                return False
+            ids = np.array(flat, np.int32)
+            ends = np.cumsum(lengths[ids])
+            cuts = np.searchsorted(ends, borders)
+            if (ends[cuts] != borders).any():
+                return False
+            counts = np.diff(np.append(-1, cuts))
+            kept = np.ones(len(sizes), bool)
+            kept[opens] = False
+            sides.append((ids[np.repeat(kept, counts)], np.cumsum(counts[kept])))
+        pieces = [p for row in rows for p in row]
+        self._hold(pieces, sides, [1] * len(pieces))
+        return True
+
+    def _learn_each(self, pieces: list[str]) -> None:
         sides = (
             [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)],
-            # The second vocabulary puts a space in front by itself.
             self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1),
         )
         sides[1][:] = [ids[1:] if p[0] != " " and ids[:1] == self.space else ids for p, ids in zip(pieces, sides[1])]
-        joined, starts = [], []
-        for lists, table, lengths, held, ends in zip(sides, (self.bytes_a, self.bytes_b), self.lengths, self.ids, self.ends):
-            flat = list(chain.from_iterable(lists))
-            closes = np.append(0, np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))))
-            joined.append(b"".join(map(table.__getitem__, flat)))
-            starts.append(np.append(0, np.cumsum(lengths[np.array(flat, np.int64)]))[closes].tolist())
-            ends.extend((closes[1:] + len(held)).tolist())
-            held.extend(flat)
+        same = [
+            b"".join([self.bytes_a[i] for i in a]) == p.encode() == b"".join([self.bytes_b[i] for i in b])
+            for p, a, b in zip(pieces, *sides)
+        ]
+        held = [(np.array(list(chain.from_iterable(x)), np.int32), np.cumsum([len(i) for i in x])) for x in sides]
+        self._hold(pieces, held, same)
+
+    def _hold(self, pieces: list[str], sides, same: list[int]) -> None:
+        for (ids, closes), held, ends in zip(sides, self.ids, self.ends):
+            ends.frombytes((closes + len(held)).astype(np.int64).tobytes())
+            held.frombytes(ids.tobytes())
         self.known.update(zip(pieces, range(len(self.same), len(self.same) + len(pieces))))
-        (left, right), (at, to) = joined, starts
-        self.same.extend(
-            [left[i:j] == piece.encode() == right[k:n] for piece, i, j, k, n in zip(pieces, at, at[1:], to, to[1:])]
-        )
+        self.same.extend(same)
 
     def chunks(self, text: str) -> Iterator[str]:
         """`` `` + ``text`` in parts of about CHUNK characters, cut where no token reaches over."""
@@ -164,6 +213,9 @@ class Pair:
         if new := [p for p in dict.fromkeys(pieces) if p not in self.known]:
             self._learn(new)
         known = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        met = np.bincount(known, minlength=len(self.met))
+        met[: len(self.met)] += self.met
+        self.met = met
         starts = np.append(0, np.cumsum(counts))
         whole = np.minimum.reduceat(np.frombuffer(self.same, np.int8)[known], starts[:-1]).astype(bool)
         known, counts = known[np.repeat(whole, counts)], np.where(whole, counts, 0)
@@ -318,7 +370,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataF
     the pairs are ``a``, ``b``, ``docs`` (rows of ``docs`` that hold it) and ``best``: whether
     no other pair of that ``a`` is in more documents. See :func:`weighed` for odd rows.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = stored(
         texts.mapInArrow(
             _documents(path_a, path_b),

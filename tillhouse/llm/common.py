@@ -23,11 +23,24 @@ SMALL_ENTRIES = 1_000_000
 ROW = "_row"
 
 
+# Bytes of one batch handed to a Python worker, about; it is held there and by the JVM.
+ARROW_BYTES = 4 << 20
+
+
 def stored(rows: DataFrame) -> DataFrame:
     """Rows written to the shared folder of the cluster and read back: lineage ends here."""
     return materialize(rows, scratch_folder(rows.sparkSession))
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, after the session was told to hand texts to Python in small batches.
+
+    The setting stays, since frames run after the function that made them has returned.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return rows
+
+
 def types(rows: DataFrame, *names: str, **more: str) -> StructType:
     """Schema of columns of ``rows`` and of further ones, by name and simple type."""
     kept = [StructField(n, rows.schema[n].dataType) for n in names]

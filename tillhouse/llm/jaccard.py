@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.llm.common import ROW, grouped, slices, small, small_lists, stored, text_bytes, types, whole_row
+from tillhouse.llm.common import ROW, grouped, slices, small, small_batches, small_lists, stored, text_bytes, types, whole_row
 from tillhouse.llm.graph import components
 from tillhouse.llm.words import BY_SPACE, grams, mixed, words
 
@@ -33,6 +33,8 @@ RECALL = 0.998
 SPLITS = 2
 # Nodes compared at once; larger buckets are split, then compared block by block.
 BUCKET = 1000
+# Sets that one task of the comparison reads, about.
+PLACE_ROWS_PER_TASK = 20_000
 
 _TOKEN_BYTES = 6
 _ALL = 1 << 64
@@ -321,7 +323,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     are ignored.
     """
     runs = runs_for(recall, SPLITS)
-    texts = docs.select("doc_id", F.xxhash64("text").alias("_text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = small_batches(docs).select("doc_id", F.xxhash64("text").alias("_text_key"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(
         texts.mapInArrow(
             _first_paths(runs, threshold),
@@ -385,11 +387,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         .join(nodes, "node")
         .select("doc_id", "node", "copies", "places")
     )
+    sent = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent // PLACE_ROWS_PER_TASK))
     compared = stored(
         with_text(wanted, "places")
         .select("text", "node", "copies", "places")
         .mapInArrow(_with_sets, PLACE_SQL)
-        .repartition("place")
+        .repartition(width, "place")
         .sortWithinPartitions("place")
         .mapInArrow(_compared(threshold), "u binary, v binary, links bigint")
     )

@@ -69,8 +69,8 @@ WITH p AS (
   SELECT digest, min(page_id) AS original FROM p WHERE n >= 100 GROUP BY digest
 )
 SELECT page_id, n AS payload_bytes, digest AS payload_digest,
-       CASE WHEN page_id > original THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id > original THEN original END AS refers_to
+       CASE WHEN page_id IS NULL AND original IS NOT NULL OR page_id > original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id > original THEN original END AS refers_to
 FROM p LEFT JOIN f USING (digest)
 """
 

@@ -157,29 +157,41 @@ def host_verdicts(failures: DataFrame, limits: Limits) -> DataFrame:
     return stored(verdicts.filter(failed))
 
 
-def judged(docs: DataFrame, host: str = "source", limits: Limits = Limits(), carry: bool = False) -> DataFrame:
-    """One row per row of ``docs`` (``text`` and the host column): counts and verdict.
+def _flagged(rows: DataFrame, limits: Limits) -> DataFrame:
+    """``rows`` (``_host``, ``_given``) with the counts and a flag per rule."""
+    rows = measured(rows, F.col("_given")).drop("_given")
+    return rows.withColumns({"base_failed": base_failed(limits), **soft_failures(limits)})
 
-    Columns: ``doc_id``, the five counts, ``base_failed``, ``kept``; with ``carry`` instead
-    the whole input row under ``_row`` and ``kept``, where rows that fail at once are left
-    out. A null text has no words and fails. A null host takes no host verdict. Repeated
-    rows are judged each; an empty table gives an empty result; other columns are ignored.
-    """
-    kept_columns = [whole_row(docs)] if carry else ["doc_id"]
-    rows = measured(docs.select(*kept_columns, docs[f"`{host}`"].alias("_host"), docs["text"].alias("_given")), F.col("_given")).drop("_given")
-    rows = rows.withColumns({"base_failed": base_failed(limits), **soft_failures(limits)})
-    if carry:
-        rows = rows.withColumn(ROW, F.when(~F.col("base_failed"), F.col(ROW)))
-    rows = stored(rows)
-    verdicts = host_verdicts(rows, limits)
+
+def _rejected() -> Column:
+    """Whether the joined verdict on the host rejects a document."""
     rejected = F.coalesce(F.col("_blocked"), F.lit(False))
     for r in SOFT:
         rejected = rejected | (F.col(r) & F.coalesce(F.col(f"_host_{r}"), F.lit(False)))
-    rows = rows.filter(~F.col("base_failed")) if carry else rows
-    out = rows.join(small(verdicts), "_host", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
-    return out.select(ROW, "kept") if carry else out.select("doc_id", *COUNTS, "base_failed", "kept", *SOFT)
+    return rejected
+
+
+def judged(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
+    """One row per row of ``docs`` (``text`` and the host column): counts and verdict.
+
+    Columns: ``doc_id``, the five counts, ``base_failed``, ``kept`` and a flag per soft rule.
+    A null text has no words and fails. A null host takes no host verdict. Repeated rows are
+    judged each; an empty table gives an empty result; other columns are ignored.
+    """
+    given = docs.select("doc_id", docs[f"`{host}`"].alias("_host"), docs["text"].alias("_given"))
+    rows = stored(_flagged(given, limits))
+    out = rows.join(small(host_verdicts(rows, limits)), "_host", "left").withColumn("kept", ~F.col("base_failed") & ~_rejected())
+    return out.select("doc_id", *COUNTS, "base_failed", "kept", *SOFT)
 
 
 def keep(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
-    """The documents that the rules keep, with their columns as they came."""
-    return judged(docs, host, limits, carry=True).filter("kept").select(f"{ROW}.*")
+    """The documents that the rules keep, see :func:`judged`, with their columns as they came.
+
+    The rules are measured twice, for the hosts and for the documents: that is cheaper than
+    to write or to shuffle every text between the two.
+    """
+    given = docs.select(docs[f"`{host}`"].alias("_host"), docs["text"].alias("_given"))
+    verdicts = host_verdicts(_flagged(given, limits), limits)
+    rows = docs.select(whole_row(docs), docs[f"`{host}`"].alias("_host"), docs["text"].alias("_given"))
+    rows = _flagged(rows, limits).filter(~F.col("base_failed"))
+    return rows.join(small(verdicts), "_host", "left").filter(~_rejected()).select(f"{ROW}.*")

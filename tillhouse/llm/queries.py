@@ -43,8 +43,8 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
-    normalised, _ = warc.archive(table(spark, folder, "pages"))
-    return warc.read_records(normalised).drop("payload", "url")
+    archives, index = warc.archive(table(spark, folder, "pages"))
+    return warc.read_records(archives, index).drop("payload", "url")
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,8 @@ Method: each window of 50 words is led to an index shard by the least hash of th
 Consecutive windows with the same least hash travel as one segment, and only those whose
 least hash other documents have too. A shard holds an FM-index of its distinct segments;
 every segment is searched backwards in it, which gives for each window the smallest
-document that has it, and the intervals that an earlier document covers are reported.
+document that has it, and the intervals that an earlier document covers are reported. A
+least hash whose segments are more than a shard is spread by single windows.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillhouse.llm.common import ROW, grouped, slices, small_lists, stored, text_bytes, types, whole_row
+from tillhouse.llm.common import ROW, grouped, slices, small, small_batches, small_lists, stored, text_bytes, types, whole_row
 from tillhouse.llm.fm_index import FMIndex
-from tillhouse.llm.words import BY_SPACE, grams, sliding_min, words
+from tillhouse.llm.words import BY_SPACE, grams, same_words, sliding_min, words
 
 WINDOW = 50
 GRAM = 8
@@ -29,6 +30,8 @@ SEGMENT = 512
 HOT = 5000
 # Bytes of distinct segments in one index shard, about.
 SHARD_BYTES = 2 << 20
+# And of one least hash beyond which its windows are indexed one by one.
+HEAVY_BYTES = SHARD_BYTES
 
 RUN = "struct<anchor:bigint,start:int,stop:int>"
 RUNS = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
@@ -130,10 +133,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per segment of a shard the runs of windows with the same smallest document."""
     for rows in grouped(batches, "shard"):
-        content = rows.column("content").combine_chunks()
-        found = words(*text_bytes(content), BY_SPACE)
-        index = FMIndex(found.hash, found.first, rows.column("doc_id").to_numpy().astype(np.int64), WINDOW)
-        least, first = index.least_numbers(found.hash, found.first)
+        data, texts = text_bytes(rows.column("content").combine_chunks())
+        found = words(data, texts, BY_SPACE)
+        symbols = same_words(data, found)  # no two words are one symbol
+        index = FMIndex(symbols, found.first, rows.column("doc_id").to_numpy().astype(np.int64), WINDOW)
+        least, first = index.least_numbers(symbols, found.first)
         owner = np.repeat(np.arange(rows.num_rows), np.diff(first))
         opens = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]))
         sizes = np.diff(np.append(opens, len(least)))
@@ -149,6 +153,65 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of segments, each with its own words."""
+    for batch in batches:
+        for part in slices(batch, "content"):
+            owners, at, contents = [], [], []
+            for i, content in enumerate(part.column(2).to_pylist()):
+                all_words = content.split(b" ")
+                n = len(all_words) - WINDOW + 1
+                owners += [i] * n
+                at += range(n)
+                contents += [b" ".join(all_words[j : j + WINDOW]) for j in range(n)]
+            owners = pa.array(owners, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(owners), part.column(1).take(owners), pa.array(at, pa.int32()), pa.array(contents, pa.binary())],
+                names=["doc_id", "segment", "at", "content"],
+            )
+
+
+def _least(distinct: DataFrame) -> DataFrame:
+    """For each of the ``distinct`` segments the runs of windows with the same smallest document.
+
+    Columns ``segment``, ``least``, ``low``, ``high``. All segments of a least hash are one
+    shard, unless they are larger than a shard should be: then their windows are indexed one
+    by one, and each distinct window may lie in a shard of its own.
+    """
+    width = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    sizes = stored(distinct.groupBy("anchor").agg(F.sum(F.octet_length("content")).alias("bytes")))
+    heavy = sizes.filter(F.col("bytes") > HEAVY_BYTES).select("anchor")
+    spread = not heavy.isEmpty()
+
+    def searched(rows: DataFrame, spot: Column) -> DataFrame:
+        size = rows.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+        shards = max(width, -(-size // SHARD_BYTES))
+        dealt = rows.select(F.pmod(spot, F.lit(shards)).cast("int").alias("shard"), doc_id, "segment", "content")
+        dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
+        return stored(dealt.mapInArrow(_searched, "segment binary, least bigint, low int, high int"))
+
+    light = distinct.join(small(heavy), "anchor", "left_anti") if spread else distinct
+    least = searched(light, F.xxhash64("anchor"))
+    if not spread:
+        return least
+    pieces = stored(
+        distinct.join(small(heavy), "anchor")
+        .select("doc_id", "segment", "content")
+        .mapInArrow(_single, types(distinct, "doc_id", "segment", at="int", content="binary"))
+        .withColumn("window", F.unhex(F.md5("content")))
+    )
+    windows = stored(pieces.groupBy("window", "content").agg(F.min("doc_id").alias("doc_id")))
+    single = searched(windows.withColumnRenamed("window", "segment"), F.xxhash64("segment"))
+    single = pieces.select("segment", "at", "window").join(single.select(F.col("segment").alias("window"), "least"), "window")
+    # Neighbours with the same document are one run again.
+    along = Window.partitionBy("segment").orderBy("at")
+    single = single.withColumn("_new", F.coalesce((F.lag("least").over(along) != F.col("least")).cast("int"), F.lit(1)))
+    single = single.withColumn("_run", F.sum("_new").over(along)).groupBy("segment", "_run")
+    runs = single.agg(F.min("least").alias("least"), F.min("at").alias("low"), (F.max("at") + WINDOW).alias("high"))
+    return least.unionByName(stored(runs.drop("_run")))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the words of their intervals."""
     for batch in batches:
@@ -183,8 +246,7 @@ def intervals(docs: DataFrame) -> DataFrame:
 
     Only documents with such intervals have a row; see :func:`removed`.
     """
-    spark = docs.sparkSession
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(*_document_key(), F.coalesce("text", F.lit("")).alias("text"))
+    texts = small_batches(docs).filter(F.col("doc_id").isNotNull()).select(*_document_key(), F.coalesce("text", F.lit("")).alias("text"))
     base = stored(texts.mapInArrow(_with_runs, types(texts, "doc_id", "key", n_words="bigint", runs=f"array<{RUN}>")))
     long = base.filter(F.col("n_words") >= WINDOW)
     # Of equal texts the first stands for all; all windows of the others are its windows.
@@ -237,17 +299,7 @@ def intervals(docs: DataFrame) -> DataFrame:
         .withColumn("segment", F.unhex(F.md5(F.concat("content", F.col("anchor").cast("string").cast("binary")))))
     )
     distinct = stored(segments.groupBy("anchor", "segment", "content").agg(F.min("doc_id").alias("doc_id")))
-    size = distinct.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    least = stored(
-        distinct.select(
-            F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"),
-            F.col("doc_id").cast("long").alias("doc_id"), "segment", "content",
-        )
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard")
-        .mapInArrow(_searched, "segment binary, least bigint, low int, high int")
-    )
+    least = _least(distinct)
     found = (
         segments.select("doc_id", "key", "segment", "start")
         .join(least, "segment")
@@ -259,24 +311,41 @@ def intervals(docs: DataFrame) -> DataFrame:
     )
 
 
-def removed(docs: DataFrame, carry: bool = False) -> DataFrame:
+def removed(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` (``doc_id``, whole numbers, and ``text``) without repeated passages.
 
     Columns: ``doc_id``, ``n_words``, ``n_removed`` and ``kept``, the other words joined by
-    one space; with ``carry`` the whole input row under ``_row`` instead of ``doc_id``.
+    one space.
 
     A word goes if a window of 50 consecutive words over it also starts in a document with a
     smaller doc_id. Windows are those of the input; what was removed elsewhere counts too.
+    Texts and words of any length are searched whole, and no word is taken for another.
     Passages that repeat only inside a document, or in rows with the same doc_id, stay. A
     null doc_id is neither smaller nor larger than another, so its row stays whole. A null
     text has no words; texts under 50 words stay whole. An empty table gives an empty result.
+    Other columns are ignored.
+    """
+    cuts = small_lists(intervals(docs), "cuts")
+    texts = docs.select(docs["doc_id"].alias("carried"), *_document_key(), F.coalesce("text", F.lit("")).alias("text"))
+    return _without(texts.join(cuts, ["doc_id", "key"], "left")).withColumnRenamed("carried", "doc_id")
+
+
+def _without(rows: DataFrame) -> DataFrame:
+    rows = rows.select("carried", "text", "cuts")
+    return rows.mapInArrow(_cut, types(rows, "carried", n_words="bigint", n_removed="bigint", kept="string"))
+
+
+def shortened(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` that lose nothing, as they are, and those that lose words.
+
+    The second frame has the row under ``_row``, and ``n_words``, ``n_removed`` and ``kept`` as
+    :func:`removed`; only its texts leave the JVM.
     """
-    cuts = intervals(docs)
-    carried = whole_row(docs).alias("carried") if carry else docs["doc_id"].alias("carried")
-    texts = docs.select(carried, *_document_key(), F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(small_lists(cuts, "cuts"), ["doc_id", "key"], "left").select("carried", "text", "cuts")
-    out = joined.mapInArrow(_cut, types(joined, "carried", n_words="bigint", n_removed="bigint", kept="string"))
-    return out.withColumnRenamed("carried", ROW if carry else "doc_id")
+    cuts = small_lists(intervals(docs), "cuts")
+    rows = docs.select(whole_row(docs), *_document_key())
+    whole = rows.join(cuts.select("doc_id", "key"), ["doc_id", "key"], "left_anti").select(f"{ROW}.*")
+    cut = rows.join(cuts, ["doc_id", "key"]).select(F.col(ROW).alias("carried"), F.col(ROW)["text"].alias("text"), "cuts")
+    return whole, _without(cut).withColumnRenamed("carried", ROW)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillhouse.llm.common import small, stored
+from tillhouse.llm.common import small, small_lists, stored
 
 # Payload bytes of one archive, about; a larger page is an archive alone.
 ARCHIVE_BYTES = 16 << 20
@@ -188,14 +188,30 @@ def normalise(archives: DataFrame) -> DataFrame:
 
 
 def sidecar(normalised: DataFrame) -> DataFrame:
-    """The offset index: archive, record number, offset and length of every member."""
+    """The offset index: archive, record number, offset and length of every member.
+
+    Only the column of the members is read.
+    """
     return normalised.select("archive", F.posexplode("members").alias("record", "member")).select(
         "archive", "record", "member.offset", "member.length"
     )
 
 
-def read_records(normalised: DataFrame) -> DataFrame:
-    """Every record by its member alone; digest and length of a response are taken anew."""
+def indexed(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """``archive``, ``data`` and the ``members`` that the index has of it, in order of their records.
+
+    The members of one archive are few (an archive has about ARCHIVE_BYTES), so a list.
+    """
+    member = F.struct("record", "offset", "length")
+    lists = index.groupBy("archive").agg(F.sort_array(F.collect_list(member)).alias("members"))
+    return archives.select("archive", "data").join(small_lists(stored(lists), "members"), "archive")
+
+
+def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """The records that ``index`` has (all, or those looked for), each by its member alone.
+
+    Digest and length of a response are taken anew; nothing else of an archive is inflated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -215,7 +231,7 @@ def read_records(normalised: DataFrame) -> DataFrame:
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return normalised.select("data", "members").mapInArrow(run, RECORDS)
+    return indexed(archives, index).select("data", "members").mapInArrow(run, RECORDS)
 
 
 def parsed(one: bytes) -> dict:
@@ -240,15 +256,17 @@ def parsed(one: bytes) -> dict:
 def archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Normalised archives of ``pages`` (``page_id``, ``url``, ``html``) and their sidecar index.
 
-    A null html is an empty payload, a null url stands as ``urn:none``, a null page_id is
-    read back as null and never an original. Repeated rows are records each. Other columns
-    are ignored; an empty table has no archives. Both tables lie in the shared folder.
+    Two tables in the shared folder: ``archive``, ``data`` and ``archive``, ``record``, ``offset``,
+    ``length``. A null html is an empty payload, a null url stands as ``urn:none``, a null page_id
+    is read back as null and never an original. A page of any length is one record, larger
+    than ARCHIVE_BYTES an archive alone. Repeated rows are records each. Other columns are
+    ignored; an empty table has no archives.
     """
     normalised = stored(normalise(stored(write_monolithic(with_originals(pages)))))
-    return normalised, sidecar(normalised)
+    return normalised.select("archive", "data"), stored(sidecar(normalised))
 
 
-def save_files(normalised: DataFrame, folder: str) -> DataFrame:
+def save_files(archives: DataFrame, index: DataFrame, folder: str) -> DataFrame:
     """Write each archive as ``NAME.warc.gz`` with ``NAME.idx`` into a folder every executor mounts.
 
     Returns the paths and bytes; a task that runs again replaces its files as a whole.
@@ -259,12 +277,13 @@ def save_files(normalised: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, data, members in zip(*batch.columns):
                 path = os.path.join(folder, name.as_py())
-                index = "".join(f"{m['offset']} {m['length']}\n" for m in members.as_py()).encode()
-                for file, content in ((f"{path}.warc.gz", data.as_buffer()), (f"{path}.idx", index)):
+                lines = "".join(f"{m['offset']} {m['length']}\n" for m in members.as_py()).encode()
+                for file, content in ((f"{path}.warc.gz", data.as_buffer()), (f"{path}.idx", lines)):
                     part = f"{file}.{TaskContext.get().taskAttemptId()}"
                     with open(part, "wb") as out:
                         out.write(content)
                     os.replace(part, file)
                 yield pa.RecordBatch.from_pylist([{"path": f"{path}.warc.gz", "bytes": data.as_buffer().size}])
 
-    return normalised.select("archive", "data", "members").mapInArrow(run, "path string, bytes bigint")
+    rows = indexed(archives, index).select("archive", "data", "members")
+    return rows.mapInArrow(run, "path string, bytes bigint")

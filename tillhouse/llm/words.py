@@ -10,18 +10,22 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def byte_classes(separators: set[int], lower: bool = False) -> np.ndarray:
-    """Per byte 0 for a separator, else a code; optionally A-Z as a-z."""
-    codes = np.arange(1, 257, dtype=np.uint16)
+@dataclass(frozen=True)
+class ByteClasses:
+    inside: np.ndarray  # per byte whether it belongs to a word
+    folded: np.ndarray  # and the byte it counts as
+
+
+def byte_classes(separators: set[int], lower: bool = False) -> ByteClasses:
+    """Words of all bytes but the separators; optionally A-Z as a-z."""
+    inside, folded = np.ones(256, bool), np.arange(256, dtype=np.uint8)
+    inside[sorted(separators)] = False
     if lower:
-        codes[0x41:0x5B] += 32
-    codes[sorted(separators)] = 0
-    return codes
+        folded[0x41:0x5B] += 32
+    return ByteClasses(inside, folded)
 
 
 # Words [^\x20\x09-\x0D]+, unchanged, and words of letters and digits with A-Z lowered,
@@ -32,16 +36,6 @@ ALPHANUMERIC = byte_classes(
 )
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
-        for at, base in enumerate((_BASE, _BASE_INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[at] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread every bit of a 64-bit value over all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -69,10 +63,9 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.start))
 
 
-def words(data: np.ndarray, texts: np.ndarray, classes: np.ndarray) -> Words:
+def words(data: np.ndarray, texts: np.ndarray, classes: ByteClasses) -> Words:
     """Words of the texts that start at ``texts[:-1]`` in ``data`` and end at ``texts[1:]``."""
-    codes = classes[data]
-    inside = codes != 0
+    inside = classes.inside[data]
     opens, closes = inside.copy(), inside.copy()
     if len(data):
         filled = texts[:-1] < texts[1:]
@@ -83,19 +76,50 @@ def words(data: np.ndarray, texts: np.ndarray, classes: np.ndarray) -> Words:
         held[texts[1:][filled & (texts[1:] < len(data))] - 1] = False
         closes[:-1] &= ~held
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes * power[: len(data)], out=sums[1:])
-    raw = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)
-    return Words(np.searchsorted(start, texts), start, end, mixed(raw))
+    return Words(np.searchsorted(start, texts), start, end, _hashes(classes.folded[data], start, end))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word: its eight-byte pieces, each mixed with its place, and its length.
+
+    Mixing comes before the sum, so that no pattern of letters cancels out.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    pieces = (size + 7) >> 3
+    opens = np.cumsum(pieces) - pieces
+    nth = np.arange(pieces.sum()) - np.repeat(opens, pieces)
+    at, left = np.repeat(start, pieces) + 8 * nth, np.repeat(size, pieces) - 8 * nth
+    aligned = np.zeros(len(data) // 8 + 2, "<u8")
+    aligned.view(np.uint8)[: len(data)] = data
+    shift = (at & 7).astype(np.uint64) << np.uint64(3)
+    # A shift by all 64 bits gives zero.
+    piece = aligned[at >> 3] >> shift | aligned[(at >> 3) + 1] << (np.uint64(64) - shift)
+    piece &= ~np.uint64(0) >> (np.uint64(64) - (np.minimum(left, 8).astype(np.uint64) << np.uint64(3)))
+    place = mixed(np.arange(1, int(pieces.max()) + 1, dtype=np.uint64) * _BASE)
+    return mixed(np.add.reduceat(mixed(piece ^ place[nth]), opens) + size.astype(np.uint64) * _BASE)
+
+
+def same_words(data: np.ndarray, found: Words) -> np.ndarray:
+    """A number per word, the same for the same bytes: hashes, made sure of byte by byte."""
+    _, first, number = np.unique(found.hash, return_index=True, return_inverse=True)
+    size = found.end - found.start
+    like = first[number]
+    if (size == size[like]).all():
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        if (data[np.repeat(found.start, size) + within] == data[np.repeat(found.start[like], size) + within]).all():
+            return number
+    known: dict[bytes, int] = {}  # two words of one hash
+    return np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(found.start, found.end)])
 
 
 def grams(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of the ``k`` words from each word on; the last entries of a text reach beyond it."""
-    out = np.full(len(hashes), (seed * 2 + 1) * _BASE & (1 << 64) - 1, np.uint64)
-    odd = _power_tables(k + 1)[0]
+    factors = mixed(np.arange(seed * 64 + 1, seed * 64 + k + 2, dtype=np.uint64)) | np.uint64(1)
+    out = np.full(len(hashes), factors[0], np.uint64)
     for j in range(min(k, len(out))):
-        out[: len(out) - j] += hashes[j:] * odd[j + 1]
+        out[: len(out) - j] += hashes[j:] * factors[j + 1]
     return mixed(out)
 
 
