@@ -48,18 +48,17 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays as it is. A document that loses all its words goes. A column ``n_chars`` follows
     the text.
     """
-    found = substrings.removed(docs, carry=True)
-    found = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    changed = F.col("n_removed") > 0
+    whole, cut = substrings.shortened(docs)
+    cut = cut.filter(F.col("n_removed") < F.col("n_words"))
     columns = []
     for field in docs.schema:
-        old = F.col(ROW)[field.name]
+        value = F.col(ROW)[field.name]
         if field.name == "text":
-            old = F.when(changed, F.col("kept")).otherwise(old)
+            value = F.col("kept")
         elif field.name == "n_chars":
-            old = F.when(changed, F.length("kept").cast(field.dataType)).otherwise(old)
-        columns.append(old.alias(field.name))
-    return found.select(*columns)
+            value = F.length("kept").cast(field.dataType)
+        columns.append(value.alias(field.name))
+    return whole.unionByName(cut.select(*columns))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,22 +12,24 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from tillhouse.operators.contracts import conform
-from tillhouse.schemas import TABLES
+from tillhouse.schemas import TABLES, Table
 
 
 def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def write_table(rows: DataFrame, root: str, name: str) -> None:
-    """Replace a warehouse table; nulls in required columns fail the write.
+def laid_out(rows: DataFrame, table: Table) -> DataFrame:
+    """Rows of a table in its layout: cut into ranges of its columns and sorted by them.
 
-    A table with a layout is cut into ranges of its columns and sorted by them, so that a
-    lookup by them skips the other files and row groups.
+    A lookup by them then skips the other files and row groups.
     """
-    rows, layout = conform(rows, TABLES[name]), TABLES[name].layout
-    if layout:
-        rows = rows.repartitionByRange(*layout).sortWithinPartitions(*layout)
+    return rows.repartitionByRange(*table.layout).sortWithinPartitions(*table.layout) if table.layout else rows
+
+
+def write_table(rows: DataFrame, root: str, name: str) -> None:
+    """Replace a table in a folder; nulls in required columns fail the write."""
+    rows = laid_out(conform(rows, TABLES[name]), TABLES[name])
     rows.write.mode("overwrite").parquet(table_path(root, name))
 
 
@@ -77,9 +79,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Bytes of a row group of scratch files: a task holds one while it writes.
+SCRATCH_GROUP = 32 << 20
+
+
 def materialize(rows: DataFrame, folder: str, *partition_by: str) -> DataFrame:
     """Write rows once and read them back, so that later steps start from the files."""
-    rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(folder)
+    writer = rows.write.mode("errorifexists").option("parquet.block.size", SCRATCH_GROUP)
+    writer.partitionBy(*partition_by).parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
