@@ -140,7 +140,7 @@ def test_sql_and_sql_models(spark, exports, tmp_path):
     (models / "b_regions.sql").write_text("SELECT region, sum(net_revenue) AS net FROM mart_daily_sales_by_store GROUP BY region")
     (models / "a_lines.sql").write_text("SELECT count(*) AS n FROM fact_sales")
     assert run_sql_models(spark, root, str(models)) == ["a_lines", "b_regions"]
-    assert {tuple(r) for r in spark.read.parquet(f"{root}/b_regions").collect()} == {("North", 69.75), ("South", 150.0)}
+    assert {tuple(r) for r in stored_tables(spark, root)["b_regions"].collect()} == {("North", 69.75), ("South", 150.0)}
 
 
 def test_validate(spark, exports):

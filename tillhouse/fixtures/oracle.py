@@ -266,6 +266,17 @@ UNION ALL SELECT 'gross_profit', cast(sum(profit) AS double) FROM fact
 UNION ALL {counts}"""
 
 
+def _null_rates() -> str:
+    """Nulls per raw column; a rate in ten thousandths is rounded half up."""
+    columns = [c.strip() for c in _RAW.split(",")]
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_nulls,
+((20000 * count(*) FILTER ({c} IS NULL) + count(*)) // (2 * count(*))) / 10000.0 AS null_rate,
+((20000 * count(*) FILTER ({c} IS NULL) + count(*)) // (2 * count(*))) / 10000.0 > 0.01 AS stops FROM raw_transactions"""
+        for c in columns
+    )
+
+
 def _gate(rate: str, enabled: str) -> str:
     return f"SELECT {rate} AS max_rate, quarantine_rate, {enabled} AND quarantine_rate > {rate} AS stops FROM ({_REPORT})"
 
@@ -329,6 +340,11 @@ def statements(store_id: str, customer_id: str) -> dict[str, str]:
         "contract_not_null_raw": _null_counts_raw(),
         "contract_unique_keys_raw": _repeated("stg_transactions", "raw_transactions"),
         "refresh_twice": _totals(),
+        "delta_totals": _totals(),
+        "delta_daily_mart": "SELECT * FROM daily",
+        "delta_monthly_mart": "SELECT * FROM monthly",
+        "delta_customer_mart": "SELECT * FROM customers",
+        "gate_null_rate": _null_rates(),
         "report_json": f"SELECT 'transactions' AS \"table\", * FROM ({_REPORT})",
         "sql_model_files": "SELECT region, cast(sum(n_transactions) AS bigint) AS n_transactions FROM daily GROUP BY region",
         "limit_bounds": " UNION ALL ".join(
@@ -341,4 +357,12 @@ def statements(store_id: str, customer_id: str) -> dict[str, str]:
     }
     selects |= {name.replace("q_", "stored_", 1): selects[name] for name in (
         "q_daily_sales", "q_daily_sales_store", "q_monthly_by_category", "q_customer_lookup", "q_top_customers")}
-    return {name: _CTES + select for name, select in selects.items()}
+    # The same tables as if ids that end in 7 had never come; line numbers end the ids.
+    lines = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+    without = _CTES.replace(lines, f"{lines} WHERE l_linenumber % 10 <> 7")
+    withdrawn = {
+        "withdrawn_totals": _totals(),
+        "withdrawn_monthly_mart": "SELECT * FROM monthly",
+        "withdrawn_customer_mart": "SELECT * FROM customers",
+    }
+    return {name: _CTES + select for name, select in selects.items()} | {n: without + t for n, t in withdrawn.items()}

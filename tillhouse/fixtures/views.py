@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tillhouse.fixtures.testview import LINE_ORDER, TestView
 from tillhouse.operators import analytics, contracts, marts, quality, star
-from tillhouse.operators.quality import Gate, SCHEDULED_GATE
+from tillhouse.operators.quality import Gate, NullGate, SCHEDULED_GATE
 from tillhouse.operators.skew import mark_repeats
+from tillhouse.plans.delta import run_delta
 from tillhouse.plans.refresh import (
     Exports,
     query,
@@ -28,6 +29,8 @@ from tillhouse.sources import csv_files
 from tillhouse.sources.tables import scratch_folder, scratch_scope
 
 AS_OF = date(2026, 1, 1)
+# Days at which loads of shipments begin and end.
+DELTAS = ("0001-01-01", "1995-01-01", "1996-01-01", "1997-01-01", "9999-01-01")
 STORE_ID = "ST-0001"
 CUSTOMER_ID = "CUST-000007"
 
@@ -122,6 +125,39 @@ class Views(TestView):
             run_pipeline(self.spark, self.exports, root, AS_OF)
         return stored_tables(self.spark, root)
 
+    def _once(self, kind: str, build: Callable[[str], None]) -> Mapping[str, DataFrame]:
+        """Tables that ``build`` writes into a folder, once per session."""
+        key = (self.spark.sparkContext.applicationId, f"{kind} {self._folder}")
+        if key not in _WAREHOUSES:
+            root = f"{scratch_folder(self.spark)}/warehouse"
+            build(root)
+            _WAREHOUSES[key] = root
+        return stored_tables(self.spark, _WAREHOUSES[key])
+
+    def _shipped(self, low: str, high: str) -> DataFrame:
+        return self.transactions.filter((F.col("l_shipdate") >= low) & (F.col("l_shipdate") < high))
+
+    def by_deltas(self) -> Mapping[str, DataFrame]:
+        """The tables after a refresh with the first shipments and three loads of later ones."""
+
+        def build(root: str) -> None:
+            run_pipeline(self.spark, Exports(self.stores, self.products, self._shipped(*DELTAS[:2]), LINE_ORDER), root, AS_OF)
+            for low, high in zip(DELTAS[1:], DELTAS[2:]):
+                run_delta(self.spark, root, self._shipped(low, high), LINE_ORDER)
+
+        return self._once("deltas", build)
+
+    def withdrawn(self) -> Mapping[str, DataFrame]:
+        """The tables after a load that takes back the ids that end in 7 and adds later shipments without such."""
+
+        def build(root: str) -> None:
+            first, rest = self._shipped(DELTAS[0], DELTAS[2]), self._shipped(DELTAS[2], DELTAS[-1])
+            run_pipeline(self.spark, Exports(self.stores, self.products, first, LINE_ORDER), root, AS_OF)
+            sevenths = F.col("transaction_id").endswith("7")
+            run_delta(self.spark, root, rest.filter(~sevenths), LINE_ORDER, self.keys.filter(sevenths))
+
+        return self._once("withdrawn", build)
+
     def csv_exports(self) -> list[str]:
         """The exports as CSV files, written in line order so that file order is that order."""
         folder = scratch_folder(self.spark)
@@ -187,7 +223,7 @@ class Views(TestView):
         """A table that a ``.sql`` file builds from the stored ones."""
         root = self.warehouse()
         (name,) = run_sql_models(self.spark, root, str(Path(__file__).parent / "models"))
-        return self.spark.read.parquet(f"{root}/{name}")
+        return stored_tables(self.spark, root)[name]
 
     def limits(self) -> DataFrame:
         """Rows that each read query returns at and beyond its limits; null if it refuses."""
@@ -290,6 +326,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _view(name
     "nb_profit_by_category": _of(lambda v: analytics.profit_by_category(v.mart_monthly_sales_by_category)),
     "refresh_daily_mart": _of(lambda v: v.refreshed(v.csv_exports())),
     "refresh_twice": _of(lambda v: analytics.totals(v.twice())),
+    "delta_totals": _of(lambda v: analytics.totals(v.by_deltas())),
+    "delta_daily_mart": _of(lambda v: v.by_deltas()["mart_daily_sales_by_store"]),
+    "delta_monthly_mart": _of(lambda v: v.by_deltas()["mart_monthly_sales_by_category"]),
+    "delta_customer_mart": _of(lambda v: v.by_deltas()["mart_customer_summary"]),
+    "withdrawn_totals": _of(lambda v: analytics.totals(v.withdrawn())),
+    "withdrawn_monthly_mart": _of(lambda v: v.withdrawn()["mart_monthly_sales_by_category"]),
+    "withdrawn_customer_mart": _of(lambda v: v.withdrawn()["mart_customer_summary"]),
+    "gate_null_rate": _of(lambda v: NullGate(columns=tuple(TRANSACTIONS.names)).rates(v.raw)),
     "raw_transactions_csv_floats": _of(Views.from_floats),
     "dq_first_copy_more_in_first": _of(lambda v: v.first_copies(1)),
     "dq_first_copy_more_in_second": _of(lambda v: v.first_copies(2)),

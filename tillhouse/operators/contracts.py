@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tillhouse.schemas import TABLES, Table
@@ -15,17 +15,17 @@ class ContractError(RuntimeError):
     """A table breaks its declared contract."""
 
 
-def conform(rows: DataFrame, table: Table) -> DataFrame:
+def conform(rows: DataFrame, table: Table, strict: bool = True) -> DataFrame:
     """Rows in the table's column order and types; columns it does not know are left out.
 
     An optional column the rows lack is null. A null in a required column fails the job
-    that reads the result, in the same pass.
+    that reads the result, in the same pass, unless someone else counts them (not ``strict``).
     """
     columns = []
     for field in table.schema.fields:
         lacking = field.nullable and field.name not in rows.columns
         value = (F.lit(None) if lacking else F.col(field.name)).cast(field.dataType)
-        if not field.nullable:
+        if strict and not field.nullable:
             failure = F.raise_error(F.lit(f"null in required column {table.name}.{field.name}"))
             value = F.coalesce(value, failure.cast(field.dataType))
         columns.append(value.alias(field.name))
@@ -70,9 +70,9 @@ def require_unique_keys(tables: Mapping[str, DataFrame]) -> None:
         raise ContractError("; ".join(f"{r.n_repeated} repeated keys in {r.table_name}" for r in broken))
 
 
-def require_partition(check: DataFrame) -> None:
-    """``check``: the row of :func:`quality.partition_check`."""
-    row = check.first()
+def require_partition(check: DataFrame | Row) -> None:
+    """``check``: the row of :func:`quality.partition_check` or :func:`quality.observed_partition`."""
+    row = check.first() if isinstance(check, DataFrame) else check
     if not row.holds:
         raise ContractError(
             f"{row.clean_rows} clean and {row.quarantined_rows} quarantined rows of {row.total_rows}"
@@ -81,6 +81,11 @@ def require_partition(check: DataFrame) -> None:
 
 def require_rows(tables: Mapping[str, DataFrame]) -> None:
     """Smoke check after a load: none of the tables is empty."""
-    empty = [name for name, frame in tables.items() if frame.isEmpty()]
+    require_counts({name: 0 if frame.isEmpty() else 1 for name, frame in tables.items()})
+
+
+def require_counts(rows: Mapping[str, int]) -> None:
+    """The same from row counts, as they were taken in the write."""
+    empty = [name for name, n in rows.items() if not n]
     if empty:
         raise ContractError(f"empty after the load: {', '.join(empty)}")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tillhouse.functions.numbers import half_up_div
-from tillhouse.operators.skew import HEAVY_ROWS, fits_broadcast, lookup, mark_repeats
+from tillhouse.operators.skew import HEAVY_ROWS, fits_broadcast, lookup, mark_repeats, sized
 from tillhouse.schemas import TRANSACTIONS
 from tillhouse.sources.tables import materialize, release, scratch_folder
 
@@ -137,15 +137,21 @@ def annotate(
     rules: Iterable[Rule] = RULES,
     min_rows: int = HEAVY_ROWS,
     keys_of: DataFrame | None = None,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """Raw rows plus ``dq_reasons``: the broken rules in rule order, empty when clean.
 
-    ``order`` names the columns that give file order. A later copy of an id is a repeat
+    ``seen`` has one row per ``transaction_id`` that an earlier load had; its copies are all
+    repeats. ``order`` names the columns that give file order. A later copy of an id is a repeat
     even where the first copy breaks another rule, so the ids are numbered on all rows.
     ``keys_of`` may name a cheaper frame with the same transaction, store and product ids.
     """
     keys_of = raw if keys_of is None else keys_of
     marked = mark_repeats(raw, "transaction_id", order, REPEATED, min_rows, keys_of)
+    if seen is not None:
+        seen = sized(seen.select(F.col("transaction_id").alias("_seen"), F.lit(True).alias("_again")))
+        marked = marked.join(seen, F.col("transaction_id").eqNullSafe(F.col("_seen")), "left")
+        marked = marked.withColumn(REPEATED, F.col(REPEATED) | _or_false(F.col("_again"))).drop("_seen", "_again")
     marked = mark_known(marked, stores, "store_id", STORE_KNOWN, min_rows, keys_of)
     marked = mark_known(marked, products, "product_id", PRODUCT_KNOWN, min_rows, keys_of)
     reasons = F.concat_ws(SEPARATOR, *(F.when(rule.broken(), F.lit(rule.name)) for rule in rules))
@@ -193,6 +199,37 @@ def report(annotated: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     return counted.withColumn("quarantine_rate", F.coalesce(rate, F.lit(0.0)))
 
 
+def observed(rules: Iterable[Rule] = RULES) -> list[Column]:
+    """The counts of the report as metrics of a pass over annotated rows, one value each."""
+    listed = F.concat(F.lit(SEPARATOR), REASONS, F.lit(SEPARATOR))
+    return [
+        F.count(F.lit(1)).alias("total_rows"),
+        F.count_if(F.col(REASONS) == "").alias("clean_rows"),
+        F.count_if(F.col("customer_id").isNull()).alias("null_customer_id_count"),
+        *(F.count_if(listed.contains(f"{SEPARATOR}{rule.name}{SEPARATOR}")).alias(rule.name) for rule in rules),
+    ]
+
+
+def report_of(spark: SparkSession, counts: Mapping[str, int], rules: Iterable[Rule] = RULES) -> DataFrame:
+    """The report row, as :func:`report` makes it, from the metrics of :func:`observed`."""
+    total, bad = counts["total_rows"], counts["total_rows"] - counts["clean_rows"]
+    names = [rule.name for rule in rules]
+    # Rounded half up to four decimals, in whole numbers.
+    rate = (20_000 * bad + total) // (2 * total) / 10_000 if total else 0.0
+    longs = {"total_rows": total, "clean_rows": counts["clean_rows"], "quarantined_rows": bad}
+    longs |= {n: counts[n] for n in ("null_customer_id_count", *names)}
+    schema = ", ".join([*(f"`{n}` bigint" for n in longs), "quarantine_rate double"])
+    return spark.createDataFrame([(*longs.values(), rate)], schema)
+
+
+def observed_partition(totals: Row, raw_rows: int) -> Row:
+    """The row of :func:`partition_check` from a report that was counted in the write."""
+    both = totals["clean_rows"] + totals["quarantined_rows"]
+    return Row(
+        total_rows=raw_rows, clean_rows=totals["clean_rows"], quarantined_rows=totals["quarantined_rows"], holds=both == raw_rows
+    )
+
+
 def report_document(report_row: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     """The report nested the way it is published, one JSON object."""
     return report_row.select(
@@ -257,6 +294,40 @@ class Gate:
 
 SCHEDULED_GATE = Gate(SCHEDULED_MAX_RATE, enabled=True)
 
+# Fixed value: the highest share of nulls in one raw column.
+MAX_NULL_RATE = 0.01
+
+
+@dataclass(frozen=True)
+class NullGate:
+    """Stops a run in which a raw column has too many nulls; off unless enabled.
+
+    The columns are those that a null makes useless; a guest has no customer id.
+    """
+
+    max_rate: float = MAX_NULL_RATE
+    enabled: bool = False
+    columns: tuple[str, ...] = tuple(c for c in TRANSACTIONS.names if c != "customer_id")
+
+    def rates(self, rows: DataFrame) -> DataFrame:
+        """Nulls per column, as (column_name, n_rows, n_nulls, null_rate, stops), in one pass.
+
+        The rate is rounded half up to four decimals; no rows have no nulls.
+        """
+        counts = rows.agg(F.count("*").alias("n_rows"), *(F.count_if(F.col(c).isNull()).alias(c) for c in self.columns))
+        pairs = F.explode(F.create_map(*(x for c in self.columns for x in (F.lit(c), F.col(c)))))
+        counts = counts.select("n_rows", pairs.alias("column_name", "n_nulls"))
+        rate = half_up_div(F.col("n_nulls") * 10_000, F.col("n_rows")).cast("double") / F.lit(10_000.0)
+        rate = F.coalesce(rate, F.lit(0.0))
+        return counts.select("column_name", "n_rows", "n_nulls", rate.alias("null_rate"), (rate > self.max_rate).alias("stops"))
+
+    def check(self, rows: DataFrame) -> None:
+        if not self.enabled:
+            return
+        broken = self.rates(rows).filter("stops").orderBy("column_name").collect()  # one row per column at most
+        if broken:
+            raise QualityGateError("; ".join(f"{r.null_rate:.2%} of {r.column_name} are null, more than {self.max_rate:.2%}" for r in broken))
+
 
 class QualityGateError(RuntimeError):
     """The quarantine rate of a run is above its gate."""

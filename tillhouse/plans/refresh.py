@@ -6,26 +6,19 @@ import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
+from graphlib import CycleError, TopologicalSorter
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tillhouse.operators import contracts, marts, quality, star
-from tillhouse.operators.quality import RULES, Gate, Rule
-from tillhouse.operators.skew import HEAVY_ROWS
-from tillhouse.schemas import TABLES
+from tillhouse.operators.quality import RULES, Gate, NullGate, Rule
+from tillhouse.operators.skew import HEAVY_ROWS, row_count
 from tillhouse.session import EXACT, TWO_WRITERS, settings, shuffle_partitions, shuffle_width, stored_bytes
 from tillhouse.sources import csv_files
-from tillhouse.sources.tables import (
-    materialize,
-    read_table,
-    release,
-    scratch_folder,
-    scratch_scope,
-    table_path,
-    write_table,
-)
+from tillhouse.sources.tables import materialize, release, scratch_folder, scratch_scope, table_path
+from tillhouse.sources.versions import Run, new_version, prune, stored_tables  # noqa: F401  read by callers
 
 
 @dataclass(frozen=True)
@@ -73,49 +66,83 @@ def write_report(report_row: DataFrame, path: str, rules: Iterable[Rule] = RULES
     quality.report_document(report_row, rules).coalesce(1).write.mode("overwrite").json(path)
 
 
-def run_models(spark: SparkSession, root: str, models: Mapping[str, Model]) -> None:
-    """Build and replace each table in order; every model reads the stored tables."""
-    for name, model in models.items():
-        write_table(model(stored_tables(spark, root)), root, name)
+def run_models(run: Run, models: Mapping[str, Model]) -> dict[str, int]:
+    """Build the tables of a version in order; every model reads those written before it."""
+    return {name: run.write(model(run.tables), name) for name, model in models.items()}
 
 
 def run_sql_models(spark: SparkSession, root: str, folder: str) -> list[str]:
-    """Run each ``.sql`` file, one SELECT over the warehouse tables, in name order.
+    """Run the ``.sql`` files of a folder, each one SELECT over the warehouse tables and each other.
 
-    The result replaces the table named like the file. Returns the names.
+    The result is the table named like the file. A file runs after those whose tables it
+    names, files that need each other are an error, and all results are published together.
+    Returns the names in the order in which they ran.
     """
-    names = []
-    for file in sorted(Path(folder).glob("*.sql")):
-        tables = stored_tables(spark, root)
-        rows = query(spark, tables, file.read_text(encoding="utf-8"))
-        if file.stem in TABLES:
-            write_table(rows, root, file.stem)
-        else:
-            rows.write.mode("overwrite").parquet(table_path(root, file.stem))
-        names.append(file.stem)
-    return names
+    texts = {file.stem: file.read_text(encoding="utf-8") for file in sorted(Path(folder).glob("*.sql"))}
+    order = model_order(spark, texts)
+    with new_version(spark, root) as run:
+        for name in order:
+            held = {n.lower(): n for n in run.tables.folders}
+            read = {held[n]: run.tables[held[n]] for n in table_references(spark, texts[name]) if n in held}
+            run.write(query(spark, read, texts[name]), name)
+    return order
 
 
-class StoredTables(Mapping[str, DataFrame]):
-    """The warehouse tables under a folder, opened when asked for."""
+def table_references(spark: SparkSession, text: str) -> set[str]:
+    """The tables that a statement reads, as its parsed plan names them.
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self._spark, self._root = spark, root
-
-    def __getitem__(self, name: str) -> DataFrame:
-        if name not in TABLES:
-            raise KeyError(name)
-        return read_table(self._spark, self._root, name)
-
-    def __iter__(self):
-        return iter(TABLES)
-
-    def __len__(self) -> int:
-        return len(TABLES)
+    Names of its own WITH clauses are not among them.
+    """
+    found: set[str] = set()
+    own: set[str] = set()
+
+    def every(list_) -> list:
+        return [list_.apply(i) for i in range(list_.size())]
+
+    def visit(plan) -> None:
+        kind = plan.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            found.add(plan.tableName().replace("`", "").lower())
+        if kind == "UnresolvedWith":
+            for relation in every(plan.cteRelations()):
+                own.add(relation._1().lower())
+                visit(relation._2())
+        for expression in every(plan.expressions()):
+            look_into(expression)
+        for child in every(plan.children()):
+            visit(child)
+
+    def look_into(expression) -> None:
+        if expression.getClass().getSimpleName() in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+            visit(expression.plan())
+        for child in every(expression.children()):
+            look_into(child)
+
+    visit(spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
+    return found - own
+
+
+def model_order(spark: SparkSession, texts: Mapping[str, str]) -> list[str]:
+    """Names of SQL models such that each comes after those it reads; ties in order of name."""
+    names = {name.lower(): name for name in texts}
+    needs = {
+        name: {names[t] for t in table_references(spark, text) if t in names and names[t] != name} for name, text in texts.items()
+    }
+    try:
+        sorter = TopologicalSorter(needs)
+        sorter.prepare()
+    except CycleError as error:
+        raise ModelCycleError(f"SQL models that read each other: {' -> '.join(error.args[1])}") from error
+    order = []
+    while sorter.is_active():
+        ready = sorted(sorter.get_ready())
+        order += ready
+        sorter.done(*ready)
+    return order
 
 
-def stored_tables(spark: SparkSession, root: str) -> StoredTables:
-    return StoredTables(spark, root)
+class ModelCycleError(ValueError):
+    """SQL models that need each other."""
 
 
 def query(
@@ -129,7 +156,7 @@ def query(
     The names hold for this statement only; a view the session has under one of them is
     there again afterwards.
     """
-    named = [name for name in tables if re.search(rf"\b{re.escape(name)}\b", text)]
+    named = [name for name in tables if re.search(rf"\b{re.escape(name)}\b", text, re.IGNORECASE)]
     views = [v.name for v in spark.catalog.listTables() if v.isTemporary and v.name in named]
     own = {name: spark.table(name) for name in views}
     bound = dict(args) if isinstance(args, Mapping) else list(args or ())
@@ -146,7 +173,10 @@ def query(
 
 @dataclass(frozen=True)
 class Validated:
-    """The outcome of the quality gate; all frames read the files under ``scratch``."""
+    """The outcome of the quality gate; all frames read the files under ``scratch``.
+
+    ``report`` and ``partition`` are what was counted while the annotated rows were written.
+    """
 
     raw: DataFrame
     stores: DataFrame
@@ -154,6 +184,7 @@ class Validated:
     clean: DataFrame
     quarantined: DataFrame
     report: DataFrame
+    partition: Row
     scratch: Sequence[str]
 
 
@@ -164,23 +195,28 @@ def validate(
 
     The exports land once as Parquet in the scratch folder, so that text is parsed once
     and file order is fixed. The annotated rows, the one result of the wide shuffle, are
-    written there too, split by status; the three results read those files.
+    written there too, split by status, and counted on the way; no later step scans them
+    for the report.
     """
     folders = [scratch_folder(spark) for _ in range(4)]
     stores = materialize(exports.stores, folders[0])
     products = materialize(exports.products, folders[1])
     raw = materialize(exports.transactions, folders[2])
     width = shuffle_width(spark, shuffle_partitions(stored_bytes(spark, folders[2])))
+    counts = Observation()
     with settings(spark, width | TWO_WRITERS | EXACT):
         rows = quality.annotate(raw, stores, products, exports.order, rules, min_rows)
-        rows = materialize(rows.withColumn("is_clean", F.col(quality.REASONS) == ""), folders[3], "is_clean")
+        rows = rows.withColumn("is_clean", F.col(quality.REASONS) == "")
+        rows = materialize(rows.observe(counts, *quality.observed(rules)), folders[3], "is_clean")
+    report = quality.report_of(spark, counts.get, rules)
     return Validated(
         raw,
         stores,
         products,
         quality.clean(rows.filter("is_clean").drop("is_clean")),
         rows.filter("not is_clean").drop("is_clean"),
-        quality.report(rows, rules),
+        report,
+        quality.observed_partition(report.first(), row_count(raw)),
         folders,
     )
 
@@ -194,15 +230,20 @@ def run_pipeline(
     report_path: str | None = None,
     rules: Sequence[Rule] = RULES,
     min_rows: int = HEAVY_ROWS,
+    keep_versions: int = 2,
+    null_gate: NullGate = NullGate(),
 ) -> dict[str, object]:
-    """Validate, gate, load, build and check; every table is replaced.
+    """Validate, gate, load, build, check and publish a new version of every table.
 
-    The report is published before the gate. The gate, the keys and the required columns of
-    all that is loaded are checked before the first table is touched. Scratch tables are gone
-    when the run ends, also by an error.
+    The report is published before the gate. Readers see the version before until every
+    table is written and checked, then the new one, never some of each; a run that is
+    stopped or dies changes nothing for them. Scratch tables are gone when the run ends,
+    also by an error, and so are versions before the last ``keep_versions``.
     """
     with scratch_scope(spark), settings(spark, EXACT):
-        return _refresh(spark, exports, root, as_of, gate, report_path, rules, min_rows)
+        summary = _refresh(spark, exports, root, as_of, gate, report_path, rules, min_rows, null_gate)
+    prune(spark, root, keep_versions)
+    return summary
 
 
 def _refresh(
@@ -214,12 +255,14 @@ def _refresh(
     report_path: str | None,
     rules: Sequence[Rule],
     min_rows: int,
+    null_gate: NullGate,
 ) -> dict[str, object]:
     checked = validate(spark, exports, rules, min_rows)
     totals = checked.report.first()
-    published = spark.createDataFrame([totals], checked.report.schema)
-    write_report(published, report_path or table_path(root, "dq_report"), rules)
+    write_report(checked.report, report_path or table_path(root, "dq_report"), rules)
     gate.check(totals)
+    null_gate.check(checked.raw)
+    contracts.require_partition(checked.partition)
 
     loaded = {
         "stg_stores": checked.stores,
@@ -229,17 +272,14 @@ def _refresh(
     }
     # Keys of the later tables are unique by construction: one row per id or group.
     contracts.require_unique_keys({n: loaded[n] for n in ("stg_stores", "stg_products")})
-    contracts.require_not_null(loaded | {"dim_product": star.dim_product(checked.products)})
-    contracts.require_partition(quality.partition_check(checked.raw, checked.clean, checked.quarantined))
-    for name, rows in loaded.items():
-        write_table(rows, root, name)
-    release(spark, *checked.scratch)
-    tables = stored_tables(spark, root)
-
-    width = shuffle_width(spark, shuffle_partitions(stored_bytes(spark, table_path(root, "stg_transactions"))))
-    with settings(spark, width):
-        run_models(spark, root, star_models(as_of, min_rows) | MODELS)
-    contracts.require_rows({n: tables[n] for n in ("fact_sales", "mart_daily_sales_by_store")})
+    with new_version(spark, root) as run:
+        for name, rows in loaded.items():
+            run.write(rows, name)
+        release(spark, *checked.scratch)
+        width = shuffle_width(spark, shuffle_partitions(stored_bytes(spark, run.tables.paths("stg_transactions"))))
+        with settings(spark, width):
+            built = run_models(run, star_models(as_of, min_rows) | MODELS)
+        contracts.require_counts({n: built[n] for n in ("fact_sales", "mart_daily_sales_by_store")})
     return {"dq_report": report_dict(totals, rules), "warehouse_path": root}
 
 

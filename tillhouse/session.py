@@ -35,8 +35,8 @@ def shuffle_partitions(stored_bytes: int, target_bytes: int = 256 << 20, most: i
     return max(1, min(most, -(-stored_bytes * EXPANSION // target_bytes)))
 
 
-def stored_bytes(spark: SparkSession, folder: str) -> int:
-    """Size of the Parquet files under a folder, from the listing alone."""
+def stored_bytes(spark: SparkSession, folder: str | list[str]) -> int:
+    """Size of the Parquet files under a folder or several, from the listing alone."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
     return files.load(folder).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
