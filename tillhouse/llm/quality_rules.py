@@ -193,5 +193,8 @@ def keep(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> Da
     given = docs.select(docs[f"`{host}`"].alias("_host"), docs["text"].alias("_given"))
     verdicts = host_verdicts(_flagged(given, limits), limits)
     rows = docs.select(whole_row(docs), docs[f"`{host}`"].alias("_host"), docs["text"].alias("_given"))
-    rows = _flagged(rows, limits).filter(~F.col("base_failed"))
-    return rows.join(small(verdicts), "_host", "left").filter(~_rejected()).select(f"{ROW}.*")
+    # A number of the row holds the filter back: below the projections it would repeat all of
+    # their work for every mention of a count.
+    rows = _flagged(rows, limits).withColumn("_at", F.monotonically_increasing_id())
+    kept = rows.join(small(verdicts), "_host", "left").withColumn("_rejected", F.col("base_failed") | _rejected())
+    return kept.filter(~F.col("_rejected") & (F.col("_at") >= 0)).select(f"{ROW}.*")
