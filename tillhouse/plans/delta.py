@@ -6,7 +6,7 @@ read, checked and priced, tables grow by folders, and the marts are merged.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,21 +47,23 @@ def run_delta(
     rules: Sequence[Rule] = RULES,
     min_rows: int = HEAVY_ROWS,
     keep_versions: int = 2,
+    beside: Mapping[str, DataFrame] | None = None,
 ) -> dict[str, object]:
     """Load raw ``transactions`` that follow all earlier ones, and publish the next version.
 
     ``withdrawn`` (``transaction_id``) leave first, with all their rows, as if they had never
     come. Stores and products are those of the warehouse. An id that an earlier load had,
     clean or not, is a repeat, as in a full refresh. The gate is asked about the new rows
-    alone. Readers see the version before until the new one is complete.
+    alone. Readers see the version before until the new one is complete. ``beside``: further
+    tables that are to be published with it.
     """
     with scratch_scope(spark), settings(spark, EXACT):
-        summary = _delta(spark, root, transactions, order, withdrawn, gate, rules, min_rows)
+        summary = _delta(spark, root, transactions, order, withdrawn, gate, rules, min_rows, beside or {})
     prune(spark, root, keep_versions)
     return summary
 
 
-def _delta(spark, root, transactions, order, withdrawn, gate, rules, min_rows) -> dict[str, object]:
+def _delta(spark, root, transactions, order, withdrawn, gate, rules, min_rows, beside) -> dict[str, object]:
     with new_version(spark, root) as run:
         tables = run.tables
         raw = materialize(transactions, scratch_folder(spark))
@@ -108,6 +110,8 @@ def _delta(spark, root, transactions, order, withdrawn, gate, rules, min_rows) -
             # Every clean row is a sale of some store on its day.
             days = run.tables["mart_daily_sales_by_store"].select(F.col("date_key").alias("transaction_date"))
             run.write(star.dim_date(days), "dim_date")
+            for name, rows_beside in beside.items():
+                run.write(rows_beside, name)
         contracts.require_rows({n: run.tables[n] for n in ("fact_sales", "mart_daily_sales_by_store")})
     return {"dq_report": report_dict(report, rules), "warehouse_path": root}
 
