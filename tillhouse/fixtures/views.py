@@ -30,7 +30,7 @@ from tillhouse.sources.tables import scratch_folder, scratch_scope
 
 AS_OF = date(2026, 1, 1)
 # Days at which loads of shipments begin and end.
-DELTAS = ("0001-01-01", "1995-01-01", "1996-01-01", "1997-01-01", "9999-01-01")
+DELTAS = ("0001-01-01", "1998-01-01", "1999-01-01", "2000-06-01", "9999-01-01")
 STORE_ID = "ST-0001"
 CUSTOMER_ID = "CUST-000007"
 
