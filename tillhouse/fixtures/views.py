@@ -192,7 +192,8 @@ class Views(TestView):
             F.col("copy.day").alias("day"),
         )
         path = scratch_folder(self.spark)
-        rows.write.partitionBy("day").option("header", True).csv(path)
+        # Ids in a row shrink to an eighth; a file is what one task writes, so none is too large to be read whole.
+        rows.write.partitionBy("day").option("header", True).option("compression", "gzip").csv(path)
         read = csv_files.read_transactions(self.spark, path)
         marked = mark_repeats(read, "transaction_id", csv_files.FILE_ORDER, "_again")
         return marked.filter("not _again").select("transaction_id", "customer_id")
