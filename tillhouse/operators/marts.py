@@ -6,6 +6,8 @@ join sees a few rows per key however many sales the key has.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,10 +111,16 @@ def _stored_sums(mart: DataFrame, *keys: str) -> DataFrame:
     return mart.select(*keys, "n_transactions", "total_quantity", *(cents(F.col(m)).alias(m) for m in MONEY))
 
 
-def merge_daily(mart: DataFrame, change: DataFrame, stores: DataFrame) -> DataFrame:
-    """:func:`daily_sales_by_store` after ``change``, from the mart before; days without sales go."""
+def merge_daily(mart: DataFrame, change: DataFrame, stores: DataFrame, layout: Sequence[str] = ()) -> DataFrame:
+    """:func:`daily_sales_by_store` after ``change``, from the mart before; days without sales go.
+
+    With a ``layout`` of the two keys the rows are cut into ranges of it before they are merged,
+    and stay there while the stores are broadcast: the one shuffle of the mart.
+    """
     keys = ("date_key", "store_id")
     both = _stored_sums(mart, *keys).unionByName(change.groupBy(*keys).agg(*_signed_sums()))
+    if layout:
+        both = both.repartitionByRange(*layout)
     sums = both.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in COUNTED)).filter("n_transactions > 0")
     regions = sized(stores.select("store_id", "region"), stores)
     return sums.join(regions, "store_id").select("date_key", "store_id", "region", "n_transactions", "total_quantity", *_amounts())

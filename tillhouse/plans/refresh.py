@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from tillhouse.operators import contracts, marts, quality, star
 from tillhouse.operators.quality import RULES, Gate, NullGate, Rule
-from tillhouse.operators.skew import HEAVY_ROWS, row_count
-from tillhouse.session import EXACT, TWO_WRITERS, settings, shuffle_partitions, shuffle_width, stored_bytes
+from tillhouse.operators.skew import HEAVY_ROWS, fits_broadcast, row_count
+from tillhouse.schemas import TABLES
+from tillhouse.session import EXACT, TWO_WRITERS, job_width, settings, stored_bytes
 from tillhouse.sources import csv_files
-from tillhouse.sources.tables import materialize, release, scratch_folder, scratch_scope, table_path
+from tillhouse.sources.tables import CODEC, Ranged, materialize, release, scratch_folder, scratch_scope, table_path
 from tillhouse.sources.versions import Run, new_version, prune, stored_tables  # noqa: F401  read by callers
 
 
@@ -40,17 +41,26 @@ class Exports:
         )
 
 
-Model = Callable[[Mapping[str, DataFrame]], DataFrame]
+Model = Callable[[Mapping[str, DataFrame]], DataFrame | Ranged]
 
 # Tables built from earlier ones, in build order. A further mart is one more entry here
 # or one more file for ``run_sql_models``.
 MODELS: dict[str, Model] = {
     "mart_customer_summary": lambda t: marts.customer_summary(t["fact_sales"]),
-    "mart_daily_sales_by_store": lambda t: marts.daily_sales_by_store(t["fact_sales"], t["dim_store"]),
+    "mart_daily_sales_by_store": lambda t: _daily(t["fact_sales"], t["dim_store"], t["dim_date"]),
     "mart_monthly_sales_by_category": lambda t: marts.monthly_sales_by_category(t["fact_sales"], t["dim_product"]),
 }
 
 
+def _daily(fact: DataFrame, stores: DataFrame, dates: DataFrame) -> DataFrame | Ranged:
+    """The daily mart; where most of its rows are one sale, the sales are cut into its ranges and summed there."""
+    sparse = row_count(fact) <= row_count(stores) * row_count(dates)
+    if not sparse or not fits_broadcast(stores):
+        return marts.daily_sales_by_store(fact, stores)
+    layout = TABLES["mart_daily_sales_by_store"].layout
+    return Ranged(marts.daily_sales_by_store(fact.repartitionByRange(*layout), stores))
+
+
 def star_models(as_of: date | None, min_rows: int = HEAVY_ROWS) -> dict[str, Model]:
     """The dimensions and the fact, from the staging tables."""
     return {
@@ -201,13 +211,14 @@ def validate(
     folders = [scratch_folder(spark) for _ in range(4)]
     stores = materialize(exports.stores, folders[0])
     products = materialize(exports.products, folders[1])
-    raw = materialize(exports.transactions, folders[2])
-    width = shuffle_width(spark, shuffle_partitions(stored_bytes(spark, folders[2])))
+    with settings(spark, job_width(spark, 0)):
+        raw = materialize(exports.transactions, folders[2], codec=CODEC)
+    width = job_width(spark, stored_bytes(spark, folders[2]))
     counts = Observation()
     with settings(spark, width | TWO_WRITERS | EXACT):
         rows = quality.annotate(raw, stores, products, exports.order, rules, min_rows)
         rows = rows.withColumn("is_clean", F.col(quality.REASONS) == "")
-        rows = materialize(rows.observe(counts, *quality.observed(rules)), folders[3], "is_clean")
+        rows = materialize(rows.observe(counts, *quality.observed(rules)), folders[3], "is_clean", codec=CODEC)
     report = quality.report_of(spark, counts.get, rules)
     return Validated(
         raw,
@@ -276,7 +287,7 @@ def _refresh(
         for name, rows in loaded.items():
             run.write(rows, name)
         release(spark, *checked.scratch)
-        width = shuffle_width(spark, shuffle_partitions(stored_bytes(spark, run.tables.paths("stg_transactions"))))
+        width = job_width(spark, stored_bytes(spark, run.tables.paths("stg_transactions")))
         with settings(spark, width):
             built = run_models(run, star_models(as_of, min_rows) | MODELS)
         contracts.require_counts({n: built[n] for n in ("fact_sales", "mart_daily_sales_by_store")})

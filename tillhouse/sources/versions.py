@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tillhouse.operators.contracts import ContractError, conform
 from tillhouse.schemas import TABLES
-from tillhouse.sources.tables import laid_out, release, table_path
+from tillhouse.sources.tables import CODEC, Ranged, laid_out, release, table_path
 
 LOG, DATA = "_versions", "data"
 # A run may take so long: folders without a log entry are left alone for that time.
@@ -130,19 +130,27 @@ class Run:
         """What readers would see if this run were published now."""
         return StoredTables(self.spark, self.root, dict(self.before.tables if self.before else {}) | self.written)
 
+    def full(self, name: str) -> bool:
+        """Whether a table has so many folders that an append writes it anew."""
+        return name not in self.written and len(self.tables.folders.get(name, [])) >= MOST_FOLDERS
+
     def append(self, rows: DataFrame, name: str) -> int:
-        """Add rows to a table of the version before, in a folder of their own.
+        """Add rows to a table as it is so far, in a folder of their own.
 
-        A table in too many folders is written anew as a whole.
+        A table of the version before in too many folders is written anew as a whole.
         """
-        before = self.tables.folders.get(name, [])
-        if len(before) >= MOST_FOLDERS:
+        if self.full(name):
             return self.write(self.tables[name].unionByName(rows), name)
+        before = self.tables.folders.get(name, [])
         added = self.write(rows, name)
         self.written[name] = [*before, *self.written[name]]
         return added
 
-    def write(self, rows: DataFrame, name: str) -> int:
+    def last(self, name: str) -> DataFrame:
+        """What was added to a table last."""
+        return StoredTables(self.spark, self.root, {name: self.tables.folders[name][-1:]})[name]
+
+    def write(self, rows: DataFrame | Ranged, name: str) -> int:
         """Write a table of this version, check it in the same pass, and return its rows.
 
         A declared table gets its columns, types and layout; nulls in its required columns
@@ -150,18 +158,22 @@ class Run:
         """
         counts = Observation()
         nulls: dict[str, F.Column] = {}
+        ranged = isinstance(rows, Ranged)
+        rows = rows.rows if ranged else rows
         if name in TABLES:
             table = TABLES[name]
-            rows = laid_out(conform(rows, table, strict=False), table)
+            rows = laid_out(conform(rows, table, strict=False), table, ranged)
             nulls = {c: F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in table.required}
         # On top of the plan: these are the rows of the tasks that write, each counted once.
         rows = rows.observe(counts, F.count(F.lit(1)).alias("rows"), *nulls.values())
-        rows.write.mode("errorifexists").parquet(table_path(self.folder, name))
+        # A table that this run has written already gets a further folder.
+        folder = f"{name}.{len(self.written[name])}" if name in self.written else name
+        rows.write.mode("errorifexists").option("compression", CODEC).parquet(table_path(self.folder, folder))
         seen = counts.get
         broken = {c: seen[f"null {c}"] for c in nulls if seen[f"null {c}"]}
         if broken:
             raise ContractError("; ".join(f"{n} nulls in {name}.{c}" for c, n in broken.items()))
-        self.written[name] = [f"{DATA}/{self.name}/{name}"]
+        self.written[name] = [f"{DATA}/{self.name}/{folder}"]
         return seen["rows"]
 
     def publish(self) -> Version:
