@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from tillhouse.operators import contracts, marts, quality, star
 from tillhouse.operators.quality import RULES, Gate, Rule
-from tillhouse.operators.skew import HEAVY_ROWS, sized
+from tillhouse.operators.skew import HEAVY_ROWS, filtered, fits_broadcast
+from tillhouse.schemas import TABLES
 from tillhouse.plans.refresh import report_dict
-from tillhouse.session import EXACT, settings, shuffle_partitions, shuffle_width, stored_bytes
-from tillhouse.sources.tables import materialize, scratch_folder, scratch_scope
-from tillhouse.sources.versions import StoredTables, new_version, prune
+from tillhouse.session import EXACT, job_width, settings, stored_bytes
+from tillhouse.sources.tables import CODEC, Ranged, materialize, scratch_folder, scratch_scope
+from tillhouse.sources.versions import Run, StoredTables, new_version, prune
 
 # A table beside the declared ones, kept for the merge of the monthly mart.
 MARGINS = "state_monthly_margins"
@@ -26,9 +27,17 @@ _ID = "transaction_id"
 
 
 def _has(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows whose id is (``left_semi``) or is not (``left_anti``) among ``ids``; a null id is one id."""
+    """Rows whose id is (``left_semi``) or is not (``left_anti``) among ``ids``; a null id is one id.
+
+    Ids too many for a broadcast are met by a shuffle on the id, but only by rows that
+    :func:`filtered` cannot rule out; the others never leave their task.
+    """
     ids = ids.select(F.col(_ID).alias("_id"))
-    return rows.join(sized(ids), rows[_ID].eqNullSafe(ids["_id"]), how)
+    if fits_broadcast(ids):
+        return rows.join(F.broadcast(ids), rows[_ID].eqNullSafe(ids["_id"]), how)
+    out, maybe = filtered(rows, ids, _ID)
+    met = maybe.join(ids, maybe[_ID].eqNullSafe(ids["_id"]), how)
+    return met if how == "left_semi" else out.unionByName(met)
 
 
 def _ids_of(tables: StoredTables, ids: DataFrame) -> DataFrame:
@@ -66,41 +75,33 @@ def run_delta(
 def _delta(spark, root, transactions, order, withdrawn, gate, rules, min_rows, beside) -> dict[str, object]:
     with new_version(spark, root) as run:
         tables = run.tables
-        raw = materialize(transactions, scratch_folder(spark))
-        gone = None
-        if withdrawn is not None:
-            gone = materialize(withdrawn.select(_ID).distinct(), scratch_folder(spark))
-        width = shuffle_width(spark, shuffle_partitions(stored_bytes(spark, tables.paths("stg_transactions"))))
-        with settings(spark, width):
-            seen = _ids_of(tables, raw.select(_ID).distinct())
+        with settings(spark, job_width(spark, 0)):
+            raw = _scratch(transactions)
+            gone = None if withdrawn is None else _scratch(withdrawn.select(_ID).distinct())
+        with settings(spark, job_width(spark, stored_bytes(spark, tables.paths("stg_transactions")))):
+            seen = _ids_of(tables, raw.select(_ID))
             if gone is not None:
                 seen = _has(seen, gone, "left_anti")
-            seen = materialize(seen, scratch_folder(spark))
+            seen = _scratch(seen)
             rows = quality.annotate(
                 raw, tables["stg_stores"], tables["stg_products"], order, rules, min_rows, seen=seen
             )
-            rows = materialize(rows, scratch_folder(spark))
+            rows = _scratch(rows)
             report = quality.report(rows, rules).first()
             gate.check(report)
 
-            staged = materialize(star.staged(quality.clean(rows)), scratch_folder(spark))
-            fact = materialize(star.fact_sales(staged, tables["dim_product"], min_rows), scratch_folder(spark))
+            staged = _load(run, star.staged(quality.clean(rows)), "stg_transactions", gone)
+            _load(run, quality.quarantined(rows), "stg_quarantined_transactions", gone)
+            fact = _load(run, star.fact_sales(staged, tables["dim_product"], min_rows), "fact_sales", gone)
             taken = fact.limit(0)
             if gone is not None:
-                taken = materialize(_has(tables["fact_sales"], gone, "left_semi").select(fact.columns), scratch_folder(spark))
-            for name, new in (
-                ("stg_transactions", staged),
-                ("stg_quarantined_transactions", quality.quarantined(rows)),
-                ("fact_sales", fact),
-            ):
-                if gone is None:
-                    run.append(new, name)
-                else:
-                    run.write(_has(tables[name], gone, "left_anti").unionByName(new.select(tables[name].columns)), name)
+                taken = _scratch(_has(tables["fact_sales"], gone, "left_semi").select(fact.columns))
 
             change = marts.signed(fact, taken)
             margins = _margins(tables)
-            run.write(marts.merge_daily(tables["mart_daily_sales_by_store"], change, tables["dim_store"]), "mart_daily_sales_by_store")
+            layout = TABLES["mart_daily_sales_by_store"].layout if fits_broadcast(tables["dim_store"]) else ()
+            daily = marts.merge_daily(tables["mart_daily_sales_by_store"], change, tables["dim_store"], layout)
+            run.write(Ranged(daily) if layout else daily, "mart_daily_sales_by_store")
             monthly, margins = marts.merge_monthly(
                 tables["mart_monthly_sales_by_category"], margins, change, tables["dim_product"]
             )
@@ -116,6 +117,25 @@ def _delta(spark, root, transactions, order, withdrawn, gate, rules, min_rows, b
     return {"dq_report": report_dict(report, rules), "warehouse_path": root}
 
 
+def _scratch(rows: DataFrame) -> DataFrame:
+    return materialize(rows, scratch_folder(rows.sparkSession), codec=CODEC)
+
+
+def _load(run: Run, new: DataFrame, name: str, gone: DataFrame | None) -> DataFrame:
+    """Add new rows to a table, without those of the ids that are ``gone``; returns the new rows, read back.
+
+    They are written once, as a folder of the table, unless the table is due to be written anew.
+    """
+    if gone is not None:
+        run.write(_has(run.tables[name], gone, "left_anti"), name)
+    if run.full(name):
+        new = _scratch(new)
+        run.append(new, name)
+        return new
+    run.append(new, name)
+    return run.last(name)
+
+
 def _margins(tables: StoredTables) -> DataFrame:
     """The kept sums; a full refresh has none, then they are summed from its fact once."""
     if MARGINS in tables.folders and not _older(tables):
