@@ -273,6 +273,45 @@ def test_jaccard_dense_group(spark):
     assert got == sorted(brute.similar(rows), key=repr)
 
 
+def near_copies(n, edits, seed=5):
+    """Copies of 200 words, each with up to ``edits`` words changed."""
+    rnd, base, rows = random.Random(seed), [f"b{i}" for i in range(200)], []
+    for i in range(n):
+        text = list(base)
+        for _ in range(rnd.randint(0, edits)):
+            text[rnd.randrange(200)] = f"x{rnd.random()}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_jaccard_large_group_of_near_copies_is_dealt_once(spark, monkeypatch):
+    """What is sent to be compared grows with the group, not with its square; all links are counted."""
+    sent, deal = [], jaccard._block_places
+    monkeypatch.setattr(jaccard, "_block_places", lambda rows, bucket: sent.append(deal(rows, bucket)) or sent[-1])
+    counts = []
+    for n in (100, 400):
+        rows = near_copies(n, 2) + [(1000 + i, " ".join(f"c{j}" for j in range(50))) for i in range(3)]
+        got = rows_of(jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), bucket=30), "doc_id", "n_links", "class_id")
+        assert got == sorted(brute.similar(rows), key=repr)
+        counts.append(sent[-1].count())
+    assert counts[1] <= 8 * counts[0]  # by squares it would be sixteen times
+
+
+def test_jaccard_sketches_lose_no_pair():
+    """Bits that differ are no more than tokens that do, also between sketches of two lengths."""
+    rnd = np.random.default_rng(4)
+    for n, more in ((1, 0), (60, 10), (64, 1), (500, 100), (1000, 250)):
+        token = rnd.integers(0, 1 << 48, n + more, dtype=np.uint64)
+        small, large = np.sort(token[:n]), np.sort(token)
+        both = np.concatenate([small, large])
+        packed = jaccard.sketches(both, np.array([0, n, 2 * n + more]))
+        apart = jaccard.Sketches(packed, 0.8).apart(np.array([0, 0]), np.array([0, 1]))
+        assert apart[0] == 0 and apart[1] <= more
+    sets = [np.sort(rnd.integers(0, 1 << 48, 300, dtype=np.uint64)) for _ in range(2)]
+    packed = jaccard.sketches(np.concatenate(sets), np.array([0, 300, 600]))
+    assert jaccard.Sketches(packed, 0.8).apart(np.array([0]), np.array([1]))[0] * 9 > 600  # unlike sets go no further
+
+
 def test_jaccard_recall_of_paths_split_twice():
     """Pairs just at the threshold, one set inside the other, that must share a path on three levels."""
     rnd, pairs = np.random.default_rng(3), 2000

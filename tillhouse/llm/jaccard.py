@@ -5,7 +5,16 @@ the shingles of its set whose hash falls below 1 / (threshold * size): similar s
 common one with a chance of 1 - 1/e at least, whatever their sizes. A bucket of nodes that
 chose the same shingle is compared by brute force if it is small; a large one is split again
 by further shingles of its members, unless most of it stays together, which means that its
-members are similar: then it is compared in blocks. Runs repeat until the target recall.
+members are similar: then cliques are taken out of it. Runs repeat until the target recall.
+
+A clique is a centre, any set, with the nodes that differ from it in no more shingles than a
+share of their own size. That share is such that every two of them are similar by the triangle
+inequality, so their links are counted, not compared. What is left of a large bucket is
+compared in blocks, with itself and with the largest clique in it.
+
+Buckets are compared twice. First by sketches, the parities of the shingles that fall on each
+of about as many bits as there are shingles: bits that differ never outnumber the shingles that
+do, so no similar pair is lost, and only where one may be do the whole sets go.
 
 Pairs never leave the task that compares them: a pair that meets in several buckets counts
 in the first of them, each node adds up its links, and of each bucket only a spanning star
@@ -16,15 +25,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillhouse.llm.common import ROW, grouped, slices, small, small_batches, small_lists, stored, text_bytes, types, whole_row
+from tillhouse.llm.common import (
+    ROW, grouped, slices, small, small_batches, small_lists, stored, text_bytes, types, whole_groups, whole_row,
+)
 from tillhouse.llm.graph import components
 from tillhouse.llm.words import BY_SPACE, grams, mixed, words
+from tillhouse.operators.skew import row_count
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -35,6 +48,11 @@ SPLITS = 2
 BUCKET = 1000
 # Sets that one task of the comparison reads, about.
 PLACE_ROWS_PER_TASK = 20_000
+# Centres tried for the nodes of one place, and sets that a centre is the majority of. Whatever
+# the centres are, the result is the same: what is in no clique is compared.
+CENTRES, VOTERS = 16, 63
+# Room for rounding in comparisons that only leave pairs out.
+SLACK = 1e-6
 
 _TOKEN_BYTES = 6
 _ALL = 1 << 64
@@ -92,6 +110,18 @@ def limits_of(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return np.minimum(_ALL / (threshold * np.maximum(sizes, 1)), float(_ALL - 2048)).astype(np.uint64)
 
 
+def sketches(tokens: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Of each set, on how many of its tokens each bit falls, modulo 2; a power of 2 of bits, 64 at least."""
+    sizes = np.diff(first)
+    bits = np.array([max(64, 1 << int(n - 1).bit_length()) if n else 64 for n in sizes.tolist()], np.int64)
+    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(starts[owner] + bit, minlength=int(starts[-1])) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a >> 3 : b >> 3] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     """Values as a list per owner 0..n-1; ``owner`` ascends."""
     ends = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
@@ -120,9 +150,10 @@ def _first_paths(runs: int, threshold: float):
                         part.column(1),
                         _binary(nodes_of(tokens, first)),
                         pa.array(sizes.astype(np.int64)),
+                        pa.array(sketches(tokens, first), pa.binary()),
                         _lists(paths[order], owner[at][order], len(sizes)),
                     ],
-                    names=["doc_id", "_text_key", "node", "n_shingles", "paths"],
+                    names=["doc_id", "_text_key", "node", "n_shingles", "sketch", "paths"],
                 )
 
     return run
@@ -143,23 +174,208 @@ def _split(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                nodes, parents, children = [], [], []
+                nodes, sizes, parents, children = [], [], [], []
                 for i, tokens in _given_nodes(part):
                     limit = limits_of(np.array([len(tokens)]), threshold)[0]
                     for parent in part.column(2)[i].as_py():
                         _, paths = chosen(tokens, limit, np.int64(parent).view(np.uint64))
                         nodes += [part.column(1)[i].as_py()] * len(paths)
+                        sizes += [len(tokens)] * len(paths)
                         parents += [parent] * len(paths)
                         children += paths.view(np.int64).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.binary()), pa.array(parents, pa.int64()), pa.array(children, pa.int64())],
-                    names=["node", "parent", "path"],
+                    [pa.array(nodes, pa.binary()), *(pa.array(c, pa.int64()) for c in (sizes, parents, children))],
+                    names=["node", "size", "parent", "path"],
                 )
 
     return run
 
 
-PLACE = "struct<place:bigint,path:bigint,side:int>"
+def _packed(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_TOKEN_BYTES].tobytes()
+
+
+def _unpacked(rows: pa.Table) -> list[np.ndarray]:
+    sets = []
+    for packed in rows.column("tokens").to_pylist():
+        wide = np.zeros((len(packed) // _TOKEN_BYTES, 8), np.uint8)
+        wide[:, :_TOKEN_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, _TOKEN_BYTES)
+        sets.append(wide.view("<u8").ravel())
+    return sets
+
+
+def _named_once(rows: pa.Table) -> pa.Table:
+    """Each node once, since a repeated row brings its node again; in order of name, as in every other task."""
+    at: dict[bytes, int] = {}
+    for i, name in enumerate(rows.column("node").to_pylist()):
+        at.setdefault(name, i)
+    return rows.take(pa.array([at[name] for name in sorted(at)]))
+
+
+SET_SQL = "place bigint, node binary, tokens binary"
+
+
+def _sets_at_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per node with its set, for the one place it is sent to."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rows = [(part.column(2)[i].as_py(), part.column(1)[i].as_py(), _packed(tokens)) for i, tokens in _given_nodes(part)]
+            places, nodes, packed = zip(*rows) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(places, pa.int64()), pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())],
+                names=["place", "node", "tokens"],
+            )
+
+
+def centred(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Centres, and the positions of the sets near each; every two sets near one centre are similar.
+
+    With ``d`` tokens not in common and sizes ``m`` and ``n``, two sets are similar if and only if
+    ``(1 + threshold) * d <= (1 - threshold) * (m + n)``. For sets near a centre each half holds
+    of the way by the centre.
+    """
+    left = np.arange(len(sets))
+    for _ in range(CENTRES):
+        if len(left) < 2:
+            return
+        sizes = np.array([len(sets[i]) for i in left])
+        every = np.concatenate([sets[i] for i in left])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        tokens, counts = np.unique(np.concatenate([sets[i] for i in left[:VOTERS]]), return_counts=True)
+        for centre in (tokens[2 * counts > min(len(left), VOTERS)], sets[left[0]]):
+            if not len(centre):
+                continue
+            held = centre[np.minimum(np.searchsorted(centre, every), len(centre) - 1)] == every
+            apart = sizes + len(centre) - 2 * np.add.reduceat(held.astype(np.int64), starts)
+            near = (1 + threshold) * apart <= (1 - threshold) * sizes
+            if near.sum() > 1:
+                yield centre, left[near]
+                left = left[~near]
+                break
+        else:
+            left = left[1:]
+
+
+def _in_cliques(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "place"):
+            rows = _named_once(rows)
+            names, sets = rows.column("node").to_pylist(), _unpacked(rows)
+            nodes, cliques = [], []
+            for centre, near in centred(sets, threshold):
+                nodes += [names[i] for i in near]
+                cliques += [nodes_of(centre, np.array([0, len(centre)]))[0].tobytes()] * len(near)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(cliques, pa.binary())], names=["node", "clique"])
+
+    return run
+
+
+class Sketches:
+    """Sketches of rows, by their number of 64-bit words; longer ones fold to shorter ones."""
+
+    def __init__(self, packed: list[bytes], threshold: float):
+        self.level = np.array([(len(x) >> 3).bit_length() - 1 for x in packed])
+        self.folds = math.ceil(math.log2(1 / threshold))  # between the sketches of two sizes that allow a link
+        self.packed, self.folded = packed, {}
+
+    def _at(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each row is, and the sketches of this level, with longer ones folded to it."""
+        if level not in self.folded:
+            where, parts, n = np.full(len(self.packed), -1), [], 0
+            for fold in range(self.folds + 1):
+                at = np.flatnonzero(self.level == level + fold)
+                held = np.frombuffer(b"".join(self.packed[i] for i in at), "<u8").reshape(len(at), 1 << fold, 1 << level)
+                parts.append(np.bitwise_xor.reduce(held, 1))
+                where[at] = n + np.arange(len(at))
+                n += len(at)
+            self.folded[level] = where, np.concatenate(parts)
+        return self.folded[level]
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """At least so many tokens are in one set only; ``b`` are the larger sets, of sizes that allow a link."""
+        out = np.zeros(len(a), np.int64)
+        for level in np.unique(self.level[a]).tolist():
+            where, held = self._at(level)
+            pairs, step = np.flatnonzero(self.level[a] == level), max(1, (1 << 19) >> level)
+            for low in range(0, len(pairs), step):
+                part = pairs[low : low + step]
+                out[part] = np.bitwise_count(held[where[a[part]]] ^ held[where[b[part]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def _own_paths(rows: pa.Table) -> list[np.ndarray]:
+    lists = rows.column("_own").combine_chunks()
+    return np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+
+
+def _padded(own: list[np.ndarray]) -> np.ndarray:
+    paths = np.full((len(own), max(map(len, own))), np.iinfo(np.int64).max)
+    for i, o in enumerate(own):
+        paths[i, : len(o)] = o
+    return paths
+
+
+def counted(paths: np.ndarray, a: np.ndarray, b: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Whether a pair counts ``here``: at the least path its two rows share."""
+    out = np.zeros(len(a), bool)
+    for low in range(0, len(a), 1 << 12):
+        at = slice(low, low + (1 << 12))
+        x, y = paths[a[at]], paths[b[at]]
+        both = (x[:, :, None] == y[:, None, :]).any(2)
+        out[at] = np.where(both, x, np.iinfo(np.int64).max).min(1) == here[at]
+    return out
+
+
+def _cliques_of(rows: pa.Table) -> np.ndarray:
+    """A number per clique, -1 for none."""
+    return rows.column("clique").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+
+
+def _sides(place: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether the place of each row has two sides; rows of a place follow each other."""
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    two = np.minimum.reduceat(side, starts) != np.maximum.reduceat(side, starts)
+    return np.repeat(two, np.diff(np.append(starts, len(place))))
+
+
+def may_link(rows: pa.Table, threshold: float) -> np.ndarray:
+    """Which rows, sorted by place and size, have a row that they may be similar to and that counts there."""
+    place, path, side, size = (rows.column(c).to_numpy() for c in ("place", "path", "side", "size"))
+    clique, two = _cliques_of(rows), _sides(place, side)
+    sketch = Sketches(rows.column("sketch").to_pylist(), threshold)
+    paths = _padded(_own_paths(rows))
+    hit = np.zeros(len(place), bool)
+
+    def look(a: np.ndarray, b: np.ndarray) -> None:
+        keep = ~(hit[a] & hit[b])  # both are known to go on
+        a, b = a[keep], b[keep]
+        keep = (1 + threshold) * sketch.apart(a, b) <= (1 - threshold) * (size[a] + size[b]) + SLACK
+        a, b = a[keep], b[keep]
+        keep = counted(paths, a, b, path[a])
+        hit[a[keep]] = hit[b[keep]] = True
+
+    left, step, held, n_held = np.arange(len(place)), 0, [], 0
+    while len(left):
+        step += 1
+        left = left[left + step < len(place)]
+        left = left[(place[left] == place[left + step]) & (size[left] >= threshold * size[left + step] - SLACK)]
+        a = left[~two[left] | (side[left] != side[left + step])]
+        a = a[(clique[a] < 0) | (clique[a] != clique[a + step])]
+        held.append((a, a + step))
+        n_held += len(a)
+        if n_held > 1 << 17 or not len(left):
+            look(*(np.concatenate(x) for x in zip(*held)))
+            held, n_held = [], 0
+    return hit
+
+
+def _candidates(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "place"):
+            found = rows.filter(pa.array(may_link(rows, threshold))).select(["place", "path", "side", "node"])
+            yield from found.to_batches()
+
+    return run
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +384,10 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             rows = []
             for i, tokens in _given_nodes(part):
-                packed = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_TOKEN_BYTES].tobytes()
-                places = part.column(3)[i].as_py()
-                own = np.unique(np.array([p["path"] for p in places], np.int64)).tobytes()
-                node, copies = part.column(1)[i].as_py(), part.column(2)[i].as_py()
+                node, copies, clique, own, places = (part.column(c)[i].as_py() for c in range(1, 6))
+                packed = _packed(tokens)
                 for p in places:
-                    rows.append((p["place"], p["path"], p["side"], node, copies, own, packed))
+                    rows.append((p["place"], p["path"], p["side"], node, copies, clique, own, packed))
                 if len(rows) > 2000:
                     yield _place_rows(rows)
                     rows = []
@@ -183,10 +397,10 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PLACE_ROWS = pa.schema(
     [
         ("place", pa.int64()), ("path", pa.int64()), ("side", pa.int32()), ("node", pa.binary()),
-        ("copies", pa.int64()), ("own", pa.binary()), ("tokens", pa.binary()),
+        ("copies", pa.int64()), ("clique", pa.binary()), ("_own", pa.list_(pa.int64())), ("tokens", pa.binary()),
     ]
 )
-PLACE_SQL = "place bigint, path bigint, side int, node binary, copies bigint, own binary, tokens binary"
+PLACE_SQL = "place bigint, path bigint, side int, node binary, copies bigint, clique binary, _own array<bigint>, tokens binary"
 
 
 def _place_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -216,28 +430,27 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare(path: int, sides: np.ndarray, sets: list[np.ndarray], own: list[np.ndarray], threshold: float):
-    """Similar pairs of the rows of one place: all of them, and which count here.
+def compare(path: int, sides: np.ndarray, cliques: np.ndarray, sets: list[np.ndarray], own: list[np.ndarray], threshold: float):
+    """Similar pairs of the rows of one place that count here: at the least path their two rows share.
 
     With two sides only pairs across are compared; the sides by themselves have their own
-    places. A pair counts at the least path its two rows share.
+    places. Pairs of one clique are counted elsewhere.
     """
     sizes = np.array([len(s) for s in sets], np.float64)
-    common = overlaps(sets).astype(np.float64)
-    similar = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-    if sides.min() != sides.max():
-        similar &= sides[:, None] != sides[None, :]
-    a, b = np.nonzero(np.triu(similar, 1))
-    wide = max(map(len, own))
-    paths = np.full((len(own), wide), np.iinfo(np.int64).max)
-    for i, o in enumerate(own):
-        paths[i, : len(o)] = o
-    counts = np.zeros(len(a), bool)
-    for low in range(0, len(a), 1 << 14):
-        x, y = paths[a[low : low + (1 << 14)]], paths[b[low : low + (1 << 14)]]
-        both = (x[:, :, None] == y[:, None, :]).any(2)
-        counts[low : low + (1 << 14)] = np.where(both, x, np.iinfo(np.int64).max).min(1) == path
-    return a, b, counts
+    common, found = overlaps(sets), []
+    across = sides.min() != sides.max()
+    for low in range(0, len(sets), 256):
+        rows = slice(low, low + 256)
+        similar = common[rows] >= threshold * (sizes[rows, None] + sizes[None, :] - common[rows]) - 1e-9
+        similar &= np.arange(len(sets)) > np.arange(low, low + len(similar))[:, None]
+        similar &= (cliques[rows, None] < 0) | (cliques[rows, None] != cliques[None, :])
+        if across:
+            similar &= sides[rows, None] != sides[None, :]
+        a, b = np.nonzero(similar)
+        found.append((a + low, b))
+    a, b = (np.concatenate(x) for x in zip(*found))
+    counts = counted(_padded(own), a, b, np.full(len(a), path))
+    return a[counts], b[counts]
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -256,32 +469,19 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _compared(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, "place"):
-            names = rows.column("node").to_pylist()
-            keep, seen = [], set()
-            for i, name in enumerate(names):  # a repeated row brings its node again
-                if name not in seen:
-                    seen.add(name)
-                    keep.append(i)
-            if len(keep) < 2:
+            rows = _named_once(rows)
+            if rows.num_rows < 2:
                 continue
-            # In order of name, so that every task picks the same roots.
-            keep.sort(key=lambda i: names[i])
-            rows = rows.take(pa.array(keep))
-            names = [names[i] for i in keep]
-            sets = []
-            for packed in rows.column("tokens").to_pylist():
-                wide = np.zeros((len(packed) // _TOKEN_BYTES, 8), np.uint8)
-                wide[:, :_TOKEN_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, _TOKEN_BYTES)
-                sets.append(wide.view("<u8").ravel())
-            own = [np.frombuffer(o, np.int64) for o in rows.column("own").to_pylist()]
+            names = rows.column("node").to_pylist()
+            own = _own_paths(rows)
             sides = rows.column("side").to_numpy()
-            a, b, counts = compare(rows.column("path")[0].as_py(), sides, sets, own, threshold)
+            a, b = compare(rows.column("path")[0].as_py(), sides, _cliques_of(rows), _unpacked(rows), own, threshold)
             if not len(a):
                 continue
             copies = rows.column("copies").to_numpy()
             links = np.zeros(len(names), np.int64)
-            np.add.at(links, a[counts], copies[b[counts]])
-            np.add.at(links, b[counts], copies[a[counts]])
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
             root = local_roots(len(names), a, b)
             linked = np.unique(np.concatenate([a, b]))
             yield pa.RecordBatch.from_arrays(
@@ -296,18 +496,58 @@ def _compared(threshold: float):
     return run
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """Paths with several nodes; of paths with the very same nodes, one."""
+def _buckets(members: DataFrame, threshold: float) -> DataFrame:
+    """Paths with several nodes, of two with sizes that allow a link; of paths with the very same nodes, one."""
     return (
         members.groupBy("path")
-        .agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.min("node").alias("least"))
-        .filter("n > 1")
+        .agg(
+            F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.min("node").alias("least"),
+            F.min("size").alias("low"), F.max("size").alias("high"),
+        )
+        .filter((F.col("n") > 2) | (F.col("n") == 2) & (F.col("low") >= threshold * F.col("high") - SLACK))
         .groupBy("n", "who", "least")
         .agg(F.min("path").alias("path"))
         .select("path", "n")
     )
 
 
+def _leaf_places(leaves: DataFrame, threshold: float) -> DataFrame:
+    """Where the nodes of small buckets are compared: those that have another of their size, not all of one clique."""
+    bucket = Window.partitionBy("path")
+    by_size = bucket.orderBy("size", "node")
+    other = (F.lag("size").over(by_size) >= threshold * F.col("size") - SLACK) | (
+        F.col("size") >= threshold * F.lead("size").over(by_size) - SLACK
+    )
+    one = (F.count("clique").over(bucket) == F.count("*").over(bucket)) & (
+        F.min("clique").over(bucket) == F.max("clique").over(bucket)
+    )
+    rows = leaves.withColumn("_other", F.coalesce(other, F.lit(False))).withColumn("_one", F.coalesce(one, F.lit(False)))
+    return rows.filter("_other and not _one").select("node", "clique", "path", F.col("path").alias("place"), F.lit(0).alias("side"))
+
+
+def _block_places(rows: DataFrame, bucket: int) -> DataFrame:
+    """Where the nodes of large buckets are compared: all but the largest clique, with each other and with it.
+
+    Both are dealt over blocks by a hash of the node, and every two blocks meet at one place.
+    """
+    of = rows.groupBy("path", "clique").agg(F.count("*").alias("n")).groupBy("path").agg(
+        F.sum("n").alias("n"), F.max(F.when(F.col("clique").isNotNull(), F.struct("n", "clique"))).alias("_top")
+    )
+    rest = F.col("n") - F.coalesce("_top.n", F.lit(0))
+    of = of.select(
+        "path", F.col("_top.clique").alias("_main"), F.ceil(rest / bucket).cast("int").alias("_rest"),
+        F.ceil(F.coalesce("_top.n", F.lit(0)) / bucket).cast("int").alias("_blocks"),
+    ).filter("_rest > 0")
+    rows = rows.select("path", "node", "clique").join(of, "path")
+    main = F.coalesce(F.col("clique") == F.col("_main"), F.lit(False))
+    side = F.when(main, F.col("_rest") + F.pmod(F.hash("node"), F.greatest("_blocks", F.lit(1))))
+    side = side.otherwise(F.pmod(F.hash("node"), F.col("_rest")))
+    most = F.col("_rest") + F.when(main, F.lit(0)).otherwise(F.col("_blocks"))
+    cut = rows.withColumn("side", side.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), most - 1)))
+    place = F.xxhash64("path", F.least("side", "other"), F.greatest("side", "other"))
+    return cut.select("node", "clique", "path", place.alias("place"), "side")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
     """Class and links of every row of ``docs`` (``doc_id``, ``text``).
 
@@ -327,13 +567,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     sets = stored(
         texts.mapInArrow(
             _first_paths(runs, threshold),
-            types(texts, "doc_id", "_text_key", node="binary", n_shingles="bigint", paths="array<bigint>"),
+            types(texts, "doc_id", "_text_key", node="binary", n_shingles="bigint", sketch="binary", paths="array<bigint>"),
         )
     )
     usable = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     nodes = stored(
         usable.groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("paths").alias("paths")
+            F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"),
+            F.first("sketch").alias("sketch"), F.first("paths").alias("paths"),
         )
     )
 
@@ -341,8 +582,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         """Texts of the wanted nodes, found by the doc_id of one of their documents."""
         return texts.drop("_text_key").join(small_lists(wanted, lists), "doc_id")
 
-    members = nodes.select("node", F.explode("paths").alias("path"))
-    buckets = stored(_buckets(members))
+    members = nodes.select("node", "size", F.explode("paths").alias("path"))
+    buckets = stored(_buckets(members, threshold))
     leaves, dense = [members.join(buckets.filter(F.col("n") <= bucket), "path")], []
     for split in range(SPLITS):
         large = buckets.filter(F.col("n") > bucket)
@@ -354,7 +595,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         children = stored(
             with_text(parents.select("doc_id", "node", "parents"), "parents")
             .select("text", "node", "parents")
-            .mapInArrow(_split(threshold), "node binary, parent bigint, path bigint")
+            .mapInArrow(_split(threshold), "node binary, size bigint, parent bigint, path bigint")
             .distinct()
         )
         # A bucket of which half stays together on one path is dense: splitting is no help.
@@ -365,38 +606,75 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         )
         dense.append(members.join(held.filter("dense").drop("dense"), "path"))
         going = held.filter("not dense").select(F.col("path").alias("parent"))
-        members = stored(children.join(small(going), "parent", "left_semi").select("node", "path").distinct())
-        buckets = stored(_buckets(members))
+        members = stored(children.join(small(going), "parent", "left_semi").select("node", "size", "path").distinct())
+        buckets = stored(_buckets(members, threshold))
         leaves.append(members.join(buckets.filter(F.col("n") <= bucket), "path"))
     else:
         dense.append(members.join(buckets.filter(F.col("n") > bucket), "path"))
 
-    places = leaves[0].select("node", "path", F.col("path").alias("place"), F.lit(0).alias("side"))
-    for rows in leaves[1:]:
-        places = places.unionByName(rows.select("node", "path", F.col("path").alias("place"), F.lit(0).alias("side")))
-    for rows in dense:
-        # Blocks of a bucket by a hash of the node; every two blocks meet at one place.
-        blocks = F.ceil(F.col("n") / bucket).cast("int")
-        cut = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.hash("node"), F.col("blocks")))
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        place = F.xxhash64("path", F.least("side", "other"), F.greatest("side", "other"))
-        places = places.unionByName(cut.select("node", "path", place.alias("place"), "side"))
+    def union(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [rows.select("path", "node", "size", "n") for rows in parts])
+
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves, cliques = union(leaves).withColumn("clique", F.lit(None).cast("binary")), None
+    dense = stored(union(dense)) if dense else None
+    if dense is None or dense.isEmpty():
+        places = _leaf_places(leaves, threshold)
+    else:
+        # Every node goes to one place of the first of its large buckets; as few places as hold them.
+        at = stored(dense.groupBy("node").agg(F.min("path").alias("path")))
+        parts = at.groupBy("path").agg(F.ceil(F.count("*") / bucket).cast("int").alias("_parts"))
+        place = F.xxhash64("path", F.pmod(F.hash("node"), F.col("_parts"))).alias("place")
+        at = stored(at.join(small(stored(parts)), "path").select("node", place).join(nodes.select("node", "doc_id"), "node"))
+        found = (
+            texts.drop("_text_key").join(small(at), "doc_id")
+            .select("text", "node", "place")
+            .mapInArrow(_sets_at_place, SET_SQL)
+            .repartition(max(width, -(-row_count(at) // PLACE_ROWS_PER_TASK)), "place")
+            .sortWithinPartitions("place")
+            .mapInArrow(_in_cliques(threshold), "node binary, clique binary")
+        )
+        found = stored(found)
+        totals = found.join(nodes.select("node", "copies"), "node").groupBy("clique").agg(
+            F.sum("copies").alias("total"), F.min("node").alias("least"), F.count("*").alias("n")
+        )
+        totals = stored(totals.filter("n > 1").drop("n"))
+        cliques = found.join(small(totals), "clique")
+        known = small(stored(cliques.select("node", "clique")))
+        places = _leaf_places(leaves.drop("clique").join(known, "node", "left"), threshold).unionByName(
+            _block_places(stored(dense.join(known, "node", "left")), bucket)
+        )
     wanted = stored(
         places.groupBy("node")
-        .agg(F.collect_list(F.struct("place", "path", "side")).alias("places"))
-        .join(nodes, "node")
-        .select("doc_id", "node", "copies", "places")
+        .agg(F.first("clique").alias("clique"), F.collect_list(F.struct("place", "path", "side")).alias("places"))
+        .join(nodes.drop("paths"), "node")
+        .select("doc_id", "node", "copies", "size", "sketch", "clique", "places")
     )
+    own = F.array_distinct(F.transform("places", lambda p: p["path"]))
     sent = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
-    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent // PLACE_ROWS_PER_TASK))
+    going = stored(
+        wanted.select("node", "size", "clique", "sketch", own.alias("_own"), F.explode("places").alias("_at"))
+        .select("_at.*", "node", "size", "clique", "sketch", "_own")
+        .repartition(max(width, -(-sent // PLACE_ROWS_PER_TASK)), "place")
+        .sortWithinPartitions("place", "size")
+        .mapInArrow(_candidates(threshold), "place bigint, path bigint, side int, node binary")
+    )
+    sent = going.count()
+    listed = going.groupBy("node").agg(F.collect_list(F.struct("place", "path", "side")).alias("going"))
+    listed = stored(wanted.select("node", "doc_id", "copies", "clique", own.alias("_own")).join(listed, "node"))
     compared = stored(
-        with_text(wanted, "places")
-        .select("text", "node", "copies", "places")
+        with_text(listed, "going")
+        .select("text", "node", "copies", "clique", "_own", "going")
         .mapInArrow(_with_sets, PLACE_SQL)
-        .repartition(width, "place")
+        .repartition(max(width, -(-sent // PLACE_ROWS_PER_TASK)), "place")
         .sortWithinPartitions("place")
         .mapInArrow(_compared(threshold), "u binary, v binary, links bigint")
     )
+    if cliques is not None:
+        # The links of a clique: all its rows but those with the same set.
+        within = cliques.join(nodes.select("node", "copies"), "node")
+        within = within.select(F.col("node").alias("u"), F.col("least").alias("v"), (F.col("total") - F.col("copies")).alias("links"))
+        compared = stored(compared.unionByName(within))
     links = compared.groupBy("u").agg(F.sum("links").alias("links")).select(F.col("u").alias("node"), "links")
     roots = components(compared.select("u", "v"))
     named = roots.join(nodes.select("node", "doc_id"), "node")
@@ -410,7 +688,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     )
     found = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     copies = F.when(found, F.coalesce("copies", F.lit(1))).otherwise(F.lit(1)).cast("long")
-    return sets.drop("paths").join(small(known), "node", "left").select(
+    return sets.drop("paths", "sketch").join(small(known), "node", "left").select(
         "doc_id",
         "_text_key",
         "n_shingles",
