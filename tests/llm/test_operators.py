@@ -239,6 +239,37 @@ def test_held_out_notices(scanner):
     assert len(notices.TEMPLATES) >= 15
 
 
+def test_licences_learn_from_all_texts(spark):
+    """Every distinct text counts, however many there are: for single words, and for the thresholds."""
+    rows = [(i, f"ordinary line {i}\nlicense of the house {i}" if i % 2 else f"plain {i}") for i in range(4000)] + [(0, "plain 0")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert licenses.line_counts(docs, ["license", "plain", "house", "warranty"]) == (6000, [2000, 2000, 2000, 0])
+    seen = []
+    fit = licenses.LogisticRegression.fit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(licenses.LogisticRegression, "fit", lambda self, table: seen.append(table) or fit(self, table))
+        scanner, paragraphs = licenses.trained(docs)
+    taught = seen[0].filter("label = 0").agg(F.sum("weight")).first()[0]
+    held = paragraphs.filter(F.pmod(F.xxhash64(*licenses.UNIT, F.lit(1)), F.lit(5)) == 0).count()
+    assert ("license",) not in scanner.vocabulary.grams and ("warranty",) in scanner.vocabulary.grams
+    assert taught == 6000 - held
+
+
+def test_licence_threshold_is_that_of_sorted_risks(spark):
+    """Counting in bins finds what sorting all of them finds."""
+    rnd = random.Random(9)
+    risks = [(rnd.choice([0.5, 0.7, 0.9, 1 - 1e-15, rnd.random()]), float(rnd.randint(1, 5))) for _ in range(500)]
+    table = spark.createDataFrame(risks, "risk double, n double")
+    for allowed in (0.0, 3.0, 100.0, 600.0, 1e9):
+        passed, expected = 0.0, None
+        for risk, n in sorted((r for r in risks if r[0] >= 0.5), reverse=True):
+            passed += n
+            if passed > allowed:
+                expected = risk
+                break
+        assert licenses._highest(table, allowed, 0.5) == expected
+
+
 def test_notices_wrapped_over_lines(spark, scanner):
     """Each longer template wrapped, in a comment between ordinary lines, is one notice of its family."""
     wrapped = [(f, textwrap.wrap(t, 72)) for f, ts in licenses.TEMPLATES.items() for t in ts if len(t) > 72]
