@@ -328,6 +328,54 @@ def test_jaccard_large_group_of_near_copies_is_dealt_once(spark, monkeypatch):
     assert counts[1] <= 8 * counts[0]  # by squares it would be sixteen times
 
 
+def dealt(spark, monkeypatch, rows, bucket):
+    """Paths and rows that are compared in blocks; classes and links are those of brute force."""
+    sent, deal = [], jaccard._block_places
+    with monkeypatch.context() as m:
+        m.setattr(jaccard, "_block_places", lambda rows, bucket: sent.append(deal(rows, bucket)) or sent[-1])
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        assert rows_of(jaccard.classes(docs, bucket=bucket), "doc_id", "n_links", "class_id") == sorted(brute.similar(rows), key=repr)
+    return sum(x.select("path").distinct().count() for x in sent), sum(x.count() for x in sent)
+
+
+def test_jaccard_common_line_of_unlike_texts_is_split(spark, monkeypatch):
+    """Texts that have a line or a passage in common, and little else, are not compared in blocks."""
+    line, rnd = passage(90, 12), random.Random(8)
+    rows = [(i, f"{line}\n{passage(100 + i, rnd.choice((20, 40, 100)))}") for i in range(300)]
+    rows += [(1000 + i, f"{text}{' more' * (i % 2)}") for i, (_, text) in enumerate(rows[:40])]
+    rows += [(2000 + i, f"{passage(91, 60)} {passage(600 + i, 40)}") for i in range(100)]
+    assert dealt(spark, monkeypatch, rows, 30)[1] <= len(rows)
+
+
+def test_jaccard_loose_near_copies_meet_in_one_bucket(spark, monkeypatch):
+    """A group that no clique holds is compared in blocks once, not in each bucket that it fills."""
+    paths, _ = dealt(spark, monkeypatch, near_copies(120, 9), 30)
+    assert paths <= 2
+
+
+def test_jaccard_split_outside_of_the_common_part():
+    """Of two similar sets both are split, with as many tokens to share as they count on, or both stay."""
+    rnd = np.random.default_rng(6)
+    split, stay = jaccard.common_shares(0.8)
+    seen = Counter()
+    for _ in range(4000):
+        tokens = rnd.permutation(1 << 12)[:400].astype(np.uint64)
+        n = int(rnd.integers(5, 200))
+        first, second = rnd.integers(0, n // 5 + 1), rnd.integers(0, n // 5 + 1)
+        a, b = np.sort(tokens[: n - first]), np.sort(np.concatenate([tokens[: n - second - first], tokens[n - first : n]]))
+        both = len(np.intersect1d(a, b))
+        if 1.8 * both < 0.8 * (len(a) + len(b)):
+            continue
+        common = np.sort(np.concatenate([rnd.permutation(a)[: rnd.integers(0, len(a) + 1)], tokens[300:]]))
+        (out_a, limit_a, share_a), (out_b, limit_b, share_b) = (jaccard.outside(x, common, 0.8) for x in (a, b))
+        divided, staying = share_a < split and share_b < split, share_a >= stay and share_b >= stay
+        assert divided or staying
+        seen[divided, staying] += 1
+        if divided:
+            assert len(np.intersect1d(out_a, out_b)) * float(min(limit_a, limit_b)) >= (1 - 1e-9) * 2.0**64 * min(1, len(out_a))
+    assert len(seen) == 3
+
+
 def test_jaccard_sketches_lose_no_pair():
     """Bits that differ are no more than tokens that do, also between sketches of two lengths."""
     rnd = np.random.default_rng(4)

@@ -3,9 +3,10 @@
 Method: documents with the same set of shingles are one node. In each run a node follows
 the shingles of its set whose hash falls below 1 / (threshold * size): similar sets choose a
 common one with a chance of 1 - 1/e at least, whatever their sizes. A bucket of nodes that
-chose the same shingle is compared by brute force if it is small; a large one is split again
-by further shingles of its members, unless most of it stays together, which means that its
-members are similar: then cliques are taken out of it. Runs repeat until the target recall.
+chose the same shingle is compared by brute force if it is small. A large one is split again by
+shingles outside of what most of its members have in common: a line or a passage of many unlike
+texts. Members that consist of little else stay together, in one bucket for all that have this
+in common, and cliques are taken out of it. Runs repeat until the target recall.
 
 A clique is a centre, any set, with the nodes that differ from it in no more shingles than a
 share of their own size. That share is such that every two of them are similar by the triangle
@@ -29,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillhouse.llm.common import (
@@ -51,6 +52,10 @@ PLACE_ROWS_PER_TASK = 20_000
 # Centres tried for the nodes of one place, and sets that a centre is the majority of. Whatever
 # the centres are, the result is the same: what is in no clique is compared.
 CENTRES, VOTERS = 16, 63
+# Share of the threshold up to which a set may lie in what its bucket has in common and still be split.
+COMMON = 7 / 8
+# Entries of the common parts of all buckets that are split at once, about; a part may be any set.
+COMMON_ENTRIES = 500_000
 # Room for rounding in comparisons that only leave pairs out.
 SLACK = 1e-6
 
@@ -168,24 +173,86 @@ def _given_nodes(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield i, tokens[first[i] : first[i + 1]]
 
 
+def common_shares(threshold: float) -> tuple[float, float]:
+    """Shares of a set in the common part below which it is split, and from which on it stays.
+
+    Both hold between the two. Of two similar sets either both are split or both stay: if one has
+    the share ``split`` or more, the other has ``stay`` at least, the worst cases being that one
+    set holds the other.
+    """
+    split = COMMON * threshold
+    return split, min(threshold * split, (split - (1 - threshold)) / threshold)
+
+
+def outside(tokens: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, np.uint64, float]:
+    """The tokens not in ``common``, the limit at which they are followed, and the share that is in it.
+
+    A similar set has ``threshold * len(tokens)`` of the tokens at least, so that number less the
+    common ones outside: two similar sets choose one of these with a chance of 1 - 1/e, as before.
+    """
+    held = np.isin(tokens, common, assume_unique=True)
+    shared = max(threshold * len(tokens) - held.sum(), 1.0)
+    return tokens[~held], np.uint64(min(_ALL / shared, float(_ALL - 2048))), held.sum() / len(tokens)
+
+
+def _voters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per path and node that votes on what the bucket of the path has in common."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rows = [(p, part.column(1)[i].as_py(), _packed(tokens)) for i, tokens in _given_nodes(part) for p in part.column(2)[i].as_py()]
+            paths, nodes, packed = zip(*rows) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.int64()), pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())],
+                names=["path", "node", "tokens"],
+            )
+
+
+def _in_common(most: int, split: int):
+    """What more than half of the voters of a path hold, ``most`` tokens of it, and the path of those that stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "path"):
+            sets = _unpacked(_named_once(rows))
+            tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+            tokens, counts = tokens[2 * counts > len(sets)], counts[2 * counts > len(sets)]
+            tokens = np.sort(tokens[np.lexsort((tokens, -counts))[:most]])
+            name = nodes_of(tokens, np.array([0, len(tokens)]))[0, 0]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([rows.column("path")[0].as_py()], pa.int64()),
+                    pa.array([tokens.view(np.int64).tolist()], pa.list_(pa.int64())),
+                    pa.array(mixed(np.array([name ^ np.uint64(split + 1)])).view(np.int64)),
+                ],
+                names=["path", "common", "stay"],
+            )
+
+    return run
+
+
 def _split(threshold: float):
-    """For each node and bucket to be split, the paths on which it goes on."""
+    """For each node and bucket to be split, the paths on which it goes on, and that on which it stays."""
+    split, stay = common_shares(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                nodes, sizes, parents, children = [], [], [], []
+                nodes, sizes, children, stays = [], [], [], []
                 for i, tokens in _given_nodes(part):
-                    limit = limits_of(np.array([len(tokens)]), threshold)[0]
-                    for parent in part.column(2)[i].as_py():
-                        _, paths = chosen(tokens, limit, np.int64(parent).view(np.uint64))
-                        nodes += [part.column(1)[i].as_py()] * len(paths)
-                        sizes += [len(tokens)] * len(paths)
-                        parents += [parent] * len(paths)
-                        children += paths.view(np.int64).tolist()
+                    parent, common, staying = (part.column(c)[i].as_py() for c in (2, 3, 4))
+                    rest, limit, share = outside(tokens, np.array(common or [], np.int64).view(np.uint64), threshold)
+                    paths = []
+                    if share < split:
+                        paths += chosen(rest, limit, np.int64(parent).view(np.uint64))[1].view(np.int64).tolist()
+                    stays += [False] * len(paths)
+                    if share >= stay and staying is not None:
+                        paths.append(staying)
+                        stays.append(True)
+                    nodes += [part.column(1)[i].as_py()] * len(paths)
+                    sizes += [len(tokens)] * len(paths)
+                    children += paths
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.binary()), *(pa.array(c, pa.int64()) for c in (sizes, parents, children))],
-                    names=["node", "size", "parent", "path"],
+                    [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(children, pa.int64()), pa.array(stays, pa.bool_())],
+                    names=["node", "size", "path", "stays"],
                 )
 
     return run
@@ -502,12 +569,12 @@ def _buckets(members: DataFrame, threshold: float) -> DataFrame:
         members.groupBy("path")
         .agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who"), F.min("node").alias("least"),
-            F.min("size").alias("low"), F.max("size").alias("high"),
+            F.min("size").alias("low"), F.max("size").alias("high"), F.max("stays").alias("stays"),
         )
         .filter((F.col("n") > 2) | (F.col("n") == 2) & (F.col("low") >= threshold * F.col("high") - SLACK))
         .groupBy("n", "who", "least")
-        .agg(F.min("path").alias("path"))
-        .select("path", "n")
+        .agg(F.min(F.struct(~F.col("stays"), "path")).alias("_first"), F.max("stays").alias("stays"))
+        .select("_first.path", "n", "stays")
     )
 
 
@@ -563,6 +630,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     are ignored.
     """
     runs = runs_for(recall, SPLITS)
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = small_batches(docs).select("doc_id", F.xxhash64("text").alias("_text_key"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(
         texts.mapInArrow(
@@ -582,40 +650,46 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         """Texts of the wanted nodes, found by the doc_id of one of their documents."""
         return texts.drop("_text_key").join(small_lists(wanted, lists), "doc_id")
 
-    members = nodes.select("node", "size", F.explode("paths").alias("path"))
+    members = nodes.select("node", "size", F.explode("paths").alias("path"), F.lit(False).alias("stays"))
     buckets = stored(_buckets(members, threshold))
-    leaves, dense = [members.join(buckets.filter(F.col("n") <= bucket), "path")], []
+
+    def of(wanted: Column) -> DataFrame:
+        return members.drop("stays").join(buckets.filter(wanted).drop("stays"), "path")
+
+    leaves, dense = [of(F.col("n") <= bucket)], []
     for split in range(SPLITS):
-        large = buckets.filter(F.col("n") > bucket)
+        large = stored(buckets.filter((F.col("n") > bucket) & ~F.col("stays")))
         if large.isEmpty():
             break
-        parents = stored(
-            members.join(large, "path").groupBy("node").agg(F.collect_list("path").alias("parents")).join(nodes, "node")
+        going = stored(members.drop("stays").join(small(large.select("path", "n")), "path").join(nodes.select("node", "doc_id"), "node"))
+        voters = going.filter(F.pmod(F.xxhash64("node", "path"), F.col("n")) < VOTERS)
+        voters = stored(voters.groupBy("doc_id", "node").agg(F.collect_list("path").alias("paths")))
+        common = stored(
+            with_text(voters, "paths")
+            .select("text", "node", "paths")
+            .mapInArrow(_voters, "path bigint, node binary, tokens binary")
+            .repartition(width, "path")
+            .sortWithinPartitions("path")
+            .mapInArrow(_in_common(max(8, COMMON_ENTRIES // large.count()), split), "path bigint, common array<bigint>, stay bigint")
         )
-        children = stored(
-            with_text(parents.select("doc_id", "node", "parents"), "parents")
-            .select("text", "node", "parents")
-            .mapInArrow(_split(threshold), "node binary, size bigint, parent bigint, path bigint")
+        parents = stored(going.groupBy("doc_id", "node").agg(F.collect_list("path").alias("parents")))
+        members = stored(
+            with_text(parents, "parents")
+            .select("text", "node", F.explode("parents").alias("path"))
+            .join(F.broadcast(common), "path", "left")
+            .select("text", "node", "path", "common", "stay")
+            .mapInArrow(_split(threshold), "node binary, size bigint, path bigint, stays boolean")
             .distinct()
         )
-        # A bucket of which half stays together on one path is dense: splitting is no help.
-        stays = children.groupBy("parent", "path").count().groupBy("parent").agg(F.max("count").alias("most"))
-        held = stored(
-            large.join(stays, large["path"] == stays["parent"], "left")
-            .select("path", "n", (2 * F.coalesce("most", F.lit(0)) >= F.col("n")).alias("dense"))
-        )
-        dense.append(members.join(held.filter("dense").drop("dense"), "path"))
-        going = held.filter("not dense").select(F.col("path").alias("parent"))
-        members = stored(children.join(small(going), "parent", "left_semi").select("node", "size", "path").distinct())
         buckets = stored(_buckets(members, threshold))
-        leaves.append(members.join(buckets.filter(F.col("n") <= bucket), "path"))
+        leaves.append(of(F.col("n") <= bucket))
+        dense.append(of((F.col("n") > bucket) & F.col("stays")))
     else:
-        dense.append(members.join(buckets.filter(F.col("n") > bucket), "path"))
+        dense.append(of((F.col("n") > bucket) & ~F.col("stays")))
 
     def union(parts: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, [rows.select("path", "node", "size", "n") for rows in parts])
 
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves, cliques = union(leaves).withColumn("clique", F.lit(None).cast("binary")), None
     dense = stored(union(dense)) if dense else None
     if dense is None or dense.isEmpty():
