@@ -17,7 +17,7 @@ from tillhouse.operators.quality import RULES, Gate, Rule
 from tillhouse.operators.skew import HEAVY_ROWS, filtered, fits_broadcast
 from tillhouse.schemas import TABLES
 from tillhouse.plans.refresh import report_dict
-from tillhouse.session import EXACT, job_width, settings, stored_bytes
+from tillhouse.session import COUNTED, EXACT, job_width, settings, stored_bytes
 from tillhouse.sources.tables import CODEC, Ranged, materialize, scratch_folder, scratch_scope
 from tillhouse.sources.versions import Run, StoredTables, new_version, prune
 
@@ -66,7 +66,7 @@ def run_delta(
     alone. Readers see the version before until the new one is complete. ``beside``: further
     tables that are to be published with it.
     """
-    with scratch_scope(spark), settings(spark, EXACT):
+    with scratch_scope(spark), settings(spark, EXACT | COUNTED):
         summary = _delta(spark, root, transactions, order, withdrawn, gate, rules, min_rows, beside or {})
     prune(spark, root, keep_versions)
     return summary

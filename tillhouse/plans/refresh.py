@@ -16,7 +16,7 @@ from tillhouse.operators import contracts, marts, quality, star
 from tillhouse.operators.quality import RULES, Gate, NullGate, Rule
 from tillhouse.operators.skew import HEAVY_ROWS, fits_broadcast, row_count
 from tillhouse.schemas import TABLES
-from tillhouse.session import EXACT, TWO_WRITERS, job_width, settings, stored_bytes
+from tillhouse.session import COUNTED, EXACT, TWO_WRITERS, job_width, settings, stored_bytes
 from tillhouse.sources import csv_files
 from tillhouse.sources.tables import CODEC, Ranged, materialize, release, scratch_folder, scratch_scope, table_path
 from tillhouse.sources.versions import Run, new_version, prune, stored_tables  # noqa: F401  read by callers
@@ -251,7 +251,7 @@ def run_pipeline(
     stopped or dies changes nothing for them. Scratch tables are gone when the run ends,
     also by an error, and so are versions before the last ``keep_versions``.
     """
-    with scratch_scope(spark), settings(spark, EXACT):
+    with scratch_scope(spark), settings(spark, EXACT | COUNTED):
         summary = _refresh(spark, exports, root, as_of, gate, report_path, rules, min_rows, null_gate)
     prune(spark, root, keep_versions)
     return summary
